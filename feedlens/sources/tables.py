@@ -127,6 +127,6 @@ def news_items_sql() -> str:
       SELECT base.*,
              list_sort(list_distinct(list_transform(
                regexp_extract_all(concat_ws(' ', title, description), '(?i)CVE-\\p{{Nd}}{{4}}-\\p{{Nd}}{{4,7}}'),
-               x -> upper(x)))) AS cve_ids
+               lambda x: upper(x)))) AS cve_ids
       FROM base)
     """
