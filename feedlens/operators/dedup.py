@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 from .. import constants as C
 from ..functions import text as T
 from .graph import greedy_leaders
@@ -102,7 +104,7 @@ def fuzzy_groups(canon: DataFrame, threshold: float = C.DEFAULT_SIMILARITY_THRES
     titles = c.groupBy("nt").agg(first.alias("f")).select(
         "nt", F.col("f.r_pos").alias("tid"), *[F.col(f"f.{k}").alias(k) for k in RANK_COLS], F.col("f.fp").alias("first_fp")
     )
-    titles = titles.checkpoint()
+    titles = cut_lineage(titles)
     pairs = similar_title_pairs(titles.select("tid", "nt"), threshold)
     lead = greedy_leaders(titles.select(F.col("tid").alias("id"), *RANK_COLS), pairs, RANK_COLS)
     # leader title -> its first item's fingerprint
@@ -122,8 +124,8 @@ def deduplicate(items: DataFrame, threshold: float = C.DEFAULT_SIMILARITY_THRESH
     and ``n_dup`` (length of its duplicate-source list).
     attribution: (fp, stage, ord, source_name) for every survivor.
     """
-    canon = exact_dedup(items).checkpoint()
-    grouped = fuzzy_groups(canon, threshold).checkpoint()
+    canon = cut_lineage(exact_dedup(items))
+    grouped = cut_lineage(fuzzy_groups(canon, threshold))
     survivors = grouped.where("is_leader").drop("is_leader", "leader_fp")
     exact = exact_attribution(items).join(survivors.select("fp"), "fp", "left_semi").select(
         "fp", F.lit(0).alias("stage"), F.struct(F.col("ord").alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3")).alias("ord"), "source_name"

@@ -7,10 +7,21 @@ stays short and a lost executor only costs the current round.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
+
+log = logging.getLogger(__name__)
+
+# Broadcast per-node tables below this many rows (checked by a count).
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def _side(n_rows: int):
+    return (lambda df: F.broadcast(df)) if n_rows <= BROADCAST_MAX_ROWS else (lambda df: df)
 
 UNDECIDED, LEADER, ABSORBED = 0, 1, 2
 
@@ -35,7 +46,7 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, rank_cols: list[str], id_
     nr = nodes.select(F.col(id_col).alias("id"), rank.alias("r"))
 
     ea = edges.select(F.col("a"), F.col("b")).where(F.col("a") != F.col("b"))
-    directed = (
+    directed = cut_lineage(
         ea.join(nr.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a")
         .join(nr.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b")
         .select(
@@ -44,26 +55,30 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, rank_cols: list[str], id_
             F.least("ra", "rb").alias("ru"),
         )
         .dropDuplicates(["u", "v"])
-        .checkpoint()
     )
 
     # only nodes that have a neighbour need rounds; the rest lead themselves
     touched = directed.select(F.col("u").alias("id")).union(directed.select(F.col("v").alias("id"))).distinct()
-    status = touched.withColumn("st", F.lit(UNDECIDED)).checkpoint()
+    status = cut_lineage(touched.withColumn("st", F.lit(UNDECIDED)))
+    # the status table has one row per touched node; when a count proves it
+    # small it is broadcast, so the edge table is never shuffled for lookups
+    side = _side(status.count())
     active = directed.select("u", "v")
 
+    rounds = 0
     while True:
+        rounds += 1
         st_u = status.select(F.col("id").alias("u"), F.col("st").alias("ust"))
         votes = (
-            active.join(st_u, "u")
+            active.join(side(st_u), "u")
             .groupBy("v")
             .agg(
                 F.max((F.col("ust") == LEADER).cast("int")).alias("has_leader"),
                 F.max((F.col("ust") == UNDECIDED).cast("int")).alias("has_undecided"),
             )
         )
-        status = (
-            status.join(votes, status["id"] == votes["v"], "left")
+        status = cut_lineage(
+            status.join(side(votes), status["id"] == votes["v"], "left")
             .select(
                 "id",
                 F.when(F.col("st") != UNDECIDED, F.col("st"))
@@ -72,18 +87,17 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, rank_cols: list[str], id_
                 .otherwise(F.lit(LEADER))
                 .alias("st"),
             )
-            .checkpoint()
         )
         if status.where(F.col("st") == UNDECIDED).limit(1).count() == 0:
             break
         # keep only edges that can still matter: into undecided nodes, from
         # nodes that are not absorbed
-        active = (
-            active.join(status.where(F.col("st") != ABSORBED).select(F.col("id").alias("u")), "u")
-            .join(status.where(F.col("st") == UNDECIDED).select(F.col("id").alias("v")), "v")
+        active = cut_lineage(
+            active.join(side(status.where(F.col("st") != ABSORBED).select(F.col("id").alias("u"))), "u")
+            .join(side(status.where(F.col("st") == UNDECIDED).select(F.col("id").alias("v"))), "v")
             .select("u", "v")
-            .checkpoint()
         )
+    log.info("greedy_leaders: %d rounds", rounds)
 
     leaders = status.where(F.col("st") == LEADER).select(F.col("id").alias("u"))
     absorbed = status.where(F.col("st") == ABSORBED).select(F.col("id").alias("v"))
@@ -114,26 +128,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     spark = edges.sparkSession
     checkpoint_dir(spark)
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where(F.col("x") != F.col("y"))
-    und = e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
-    labels = und.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node")).checkpoint()
+    und = cut_lineage(e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    labels = cut_lineage(und.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node")))
+    side = _side(labels.count())
 
+    rounds = 0
     while True:
+        rounds += 1
         nbr = (
-            und.join(labels.select(F.col("node").alias("x"), "label"), "x")
+            und.join(side(labels.select(F.col("node").alias("x"), "label")), "x")
             .groupBy("y")
             .agg(F.min("label").alias("m"))
         )
-        step = labels.join(nbr, labels["node"] == nbr["y"], "left").select(
+        step = labels.join(side(nbr), labels["node"] == nbr["y"], "left").select(
             "node", F.least(F.col("label"), F.coalesce(F.col("m"), F.col("label"))).alias("label")
         )
-        hop = step.alias("p").join(step.alias("q"), F.col("p.label") == F.col("q.node")).select(
+        hop = step.alias("p").join(side(step.alias("q")), F.col("p.label") == F.col("q.node")).select(
             F.col("p.node").alias("node"), F.least(F.col("p.label"), F.col("q.label")).alias("label")
         )
-        new = hop.checkpoint()
+        new = cut_lineage(hop)
         changed = (
-            new.alias("n").join(labels.alias("o"), "node").where(F.col("n.label") != F.col("o.label")).limit(1).count()
+            new.alias("n").join(side(labels.alias("o")), "node").where(F.col("n.label") != F.col("o.label")).limit(1).count()
         )
         labels = new
         if changed == 0:
             break
+    log.info("connected_components: %d rounds", rounds)
     return labels.select("node", F.col("label").alias("comp"))

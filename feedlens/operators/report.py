@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 from .. import constants as C
 
 def score_order() -> list[Column]:
@@ -24,9 +26,9 @@ def order_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFr
     locally and shifted by the row count of the partitions before it (one
     small row per partition). Nothing funnels through a single task.
     """
-    sorted_df = df.orderBy(*order).withColumn("_pid", F.spark_partition_id()).withColumn(
+    sorted_df = cut_lineage(df.orderBy(*order).withColumn("_pid", F.spark_partition_id()).withColumn(
         "_mid", F.monotonically_increasing_id()
-    ).checkpoint()
+    ))
     counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))

@@ -23,7 +23,7 @@ from ..operators import report as R
 from ..operators.dedup import exact_attribution, exact_dedup, deduplicate, fuzzy_groups
 from ..operators.similarity import similar_title_pairs
 from ..operators.topics import cluster, shared_keyword_pairs, topic_components, with_keywords
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sources.tables import news_items
 from . import oracle_sql as O
 from .digest import news_digest
@@ -361,7 +361,7 @@ def q_dedup_order(spark, sf):
 )
 def q_fuzzy_pairs(spark, sf):
     c = exact_dedup(_items(spark, sf)).withColumn("nt", T.normalize_title("title"))
-    titles = c.groupBy("nt").agg(F.min("pos").alias("tid")).checkpoint()
+    titles = cut_lineage(c.groupBy("nt").agg(F.min("pos").alias("tid")))
     pairs = similar_title_pairs(titles, THRESHOLD)
     ta = titles.select(F.col("tid").alias("a"), F.col("nt").alias("x"))
     tb = titles.select(F.col("tid").alias("b"), F.col("nt").alias("y"))
@@ -373,7 +373,7 @@ def q_fuzzy_pairs(spark, sf):
     _with(NI, O.exact_cte("news_items"), O.fuzzy_ctes("canon", THRESHOLD)) + "\nSELECT fp, leader_fp, is_leader FROM fz_groups",
 )
 def q_fuzzy_dedup(spark, sf):
-    canon = exact_dedup(_items(spark, sf)).checkpoint()
+    canon = cut_lineage(exact_dedup(_items(spark, sf)))
     return fuzzy_groups(canon, THRESHOLD).select("fp", "leader_fp", "is_leader")
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 from .. import constants as C
 from ..functions import display as D
 from ..functions import text as T
@@ -56,7 +58,7 @@ def news_digest(
 ) -> Digest:
     window, scored, attribution = scored_survivors(raw, now, hours, categories, threshold, watchlist, weights)
     shown = FL.min_score(FL.keyword_filter(scored, keyword), min_score)
-    shown = with_keywords(shown).withColumn("item", F.col("pos")).checkpoint()
+    shown = cut_lineage(with_keywords(shown).withColumn("item", F.col("pos")))
     clusters, members = cluster(shown)
 
     # O3: top score desc, stable in discovery order (the lead's place), Other last on ties

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 from .. import constants as C
 from ..functions import display as D
 from ..functions import enrichment as E
@@ -126,7 +128,7 @@ def incident_report_enriched(raw: DataFrame, responses: DataFrame, now, **kw) ->
     """P2 with external responses joined in, re-ranked by the boosted score."""
     window, items, attribution = incident_candidates(raw, now, **kw)
     enriched, stats = enrich(items, responses)
-    enriched = enriched.checkpoint()
+    enriched = cut_lineage(enriched)
     ai_mode = bool(stats.first()["ai_mode"])
     rows = report_rows(enriched, attribution, now, ai_mode=ai_mode)
     return IncidentReport(rows, R.funnel(window, enriched), stats, attribution)

@@ -60,3 +60,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="feedlens-ckpt-")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the checkpoint folder and return the re-read.
+
+    The plan is persisted first so it runs once: a bare ``checkpoint()``
+    computes it for the action and again for the write.
+    """
+    from pyspark import StorageLevel
+
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
