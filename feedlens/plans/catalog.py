@@ -422,3 +422,89 @@ def q_score_sort(spark, sf):
 
     s = scan_rank_cols(exact_dedup(_items(spark, sf))).withColumn("score", S.relevance_score(NOW))
     return R.order_index(s, R.score_order(), "idx").select("fp", "score", "idx")
+
+
+# ---------------------------------------------------------------- topics (over exact-dedup survivors)
+
+_TOPIC = _with(NI, O.exact_cte("news_items"), O.topic_input_cte(), O.topic_ctes("topic_src"))
+
+
+def _topic_items(spark, sf):
+    from ..operators.dedup import scan_rank_cols
+
+    s = scan_rank_cols(exact_dedup(_items(spark, sf))).withColumn("score", S.relevance_score(NOW))
+    s = FL.min_score(s, MIN_SCORE).withColumn("item", F.col("pos"))
+    return cut_lineage(with_keywords(s))
+
+
+@register("shared_keyword_pairs", _TOPIC + "\nSELECT a, b, n_shared FROM tp_pairs")
+def q_shared_pairs(spark, sf):
+    return shared_keyword_pairs(_topic_items(spark, sf))
+
+
+@register("topic_components", _TOPIC + "\nSELECT node AS item, comp FROM tp_reach")
+def q_topic_components(spark, sf):
+    return topic_components(_topic_items(spark, sf))
+
+
+def _clusters(spark, sf):
+    clusters, members = cluster(_topic_items(spark, sf))
+    ranked = R.order_index(clusters, [F.desc("top_score"), F.asc("is_other"), F.asc("lead_key")], "cluster_rank")
+    return ranked, members
+
+
+@register("cluster_name", _TOPIC + "\nSELECT comp, name FROM tp_clusters")
+def q_cluster_name(spark, sf):
+    return _clusters(spark, sf)[0].select("comp", "name")
+
+
+@register(
+    "cluster_shared_keywords",
+    _TOPIC + "\nSELECT comp, array_to_string(shared_keywords, '|') AS shared_keywords FROM tp_clusters",
+)
+def q_cluster_shared(spark, sf):
+    return _clusters(spark, sf)[0].select("comp", F.array_join("shared_keywords", "|").alias("shared_keywords"))
+
+
+@register(
+    "cluster_summary",
+    _TOPIC + "\nSELECT comp, size, top_score, lead_item, is_other FROM tp_clusters",
+)
+def q_cluster_summary(spark, sf):
+    return _clusters(spark, sf)[0].select("comp", "size", "top_score", "lead_item", "is_other")
+
+
+@register("cluster_sort", _TOPIC + "\nSELECT comp, cluster_rank, top_score FROM tp_clusters")
+def q_cluster_sort(spark, sf):
+    return _clusters(spark, sf)[0].select("comp", "cluster_rank", "top_score")
+
+
+@register(
+    "top5_per_cluster",
+    _TOPIC
+    + f"""
+    SELECT c.cluster_rank, m.item,
+           row_number() OVER (PARTITION BY m.comp ORDER BY m.score DESC, m.r_tier, m.r_neg_pub, m.r_pos) AS item_rank,
+           greatest(c.size - {C.DIGEST_ITEMS_PER_CLUSTER}, 0) AS n_more
+    FROM tp_members m JOIN tp_clusters c ON c.comp = m.comp
+    QUALIFY item_rank <= {C.DIGEST_ITEMS_PER_CLUSTER}""",
+)
+def q_top5(spark, sf):
+    clusters, members = _clusters(spark, sf)
+    m = members.join(clusters.select("comp", "cluster_rank", "size"), "comp")
+    top = R.top_per_group(m, "comp", R.score_order(), C.DIGEST_ITEMS_PER_CLUSTER, "item_rank")
+    return top.select(
+        "cluster_rank", "item", "item_rank", F.greatest(F.col("size") - C.DIGEST_ITEMS_PER_CLUSTER, F.lit(0)).alias("n_more")
+    )
+
+
+@register(
+    "keyword_union",
+    _with(NI)
+    + f"""
+    SELECT seq, array_to_string({O.keywords_expr(O.keyword_text())}, '|') AS keywords,
+           len({O.keywords_expr(O.keyword_text())}) AS n_keywords FROM news_items""",
+)
+def q_keyword_union(spark, sf):
+    k = with_keywords(_items(spark, sf))
+    return k.select("seq", F.array_join("keywords", "|").alias("keywords"), F.size("keywords").alias("n_keywords"))

@@ -259,3 +259,67 @@ def fuzzy_ctes(canon: str, threshold: float = C.DEFAULT_SIMILARITY_THRESHOLD) ->
     fz_groups AS (
       SELECT i.*, f.first_fp AS leader_fp, (i.fp = f.first_fp) AS is_leader
       FROM fz_items i JOIN fz_title_map m ON m.nt = i.nt JOIN fz_first f ON f.tid = m.leader_tid)"""
+
+
+# ---------------------------------------------------------------- topics
+
+def py_title_sql(x: str) -> str:
+    chars = f"string_split({x}, '')"
+    return (
+        f"array_to_string(list_transform({chars}, lambda c, i: CASE WHEN i = 1 OR NOT regexp_full_match({chars}[i - 1], "
+        f"'[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]') THEN upper(c) ELSE lower(c) END), '')"
+    )
+
+
+def topic_ctes(src: str) -> str:
+    """Keywords, clique pairs (>= 2 shared), components by recursive
+    reachability, and per-cluster summaries over ``src`` (needs item, score,
+    r_tier, r_neg_pub, r_pos, title, description, cve_ids)."""
+    return f"""
+    tp_items AS (SELECT *, {keywords_expr(keyword_text())} AS keywords FROM {src}),
+    tp_kw AS (SELECT item, unnest(keywords) AS kw FROM tp_items),
+    tp_pairs AS (
+      SELECT a.item AS a, b.item AS b, count(*) AS n_shared
+      FROM tp_kw a JOIN tp_kw b ON a.kw = b.kw AND a.item < b.item
+      GROUP BY a.item, b.item HAVING count(*) >= {C.CLUSTER_MIN_SHARED}),
+    tp_edges AS (SELECT a AS x, b AS y FROM tp_pairs UNION ALL SELECT b AS x, a AS y FROM tp_pairs),
+    tp_reach AS (
+      WITH RECURSIVE r(node, label) AS (
+        SELECT x, x FROM tp_edges
+        UNION
+        SELECT e.y, r.label FROM r JOIN tp_edges e ON e.x = r.node)
+      SELECT node, min(label) AS comp FROM r GROUP BY node),
+    tp_members AS (
+      SELECT i.*, coalesce(c.comp, -1) AS comp, c.comp IS NULL AS is_other
+      FROM tp_items i LEFT JOIN tp_reach c ON c.node = i.item),
+    tp_freq AS (
+      SELECT comp, kw, count(*) AS cnt FROM (SELECT comp, unnest(keywords) AS kw FROM tp_members WHERE NOT is_other)
+      GROUP BY comp, kw),
+    tp_names AS (SELECT comp, first(kw ORDER BY cnt DESC, kw ASC) AS name_kw FROM tp_freq GROUP BY comp),
+    tp_shared AS (
+      SELECT comp, list(kw ORDER BY cnt DESC, kw ASC)[1:{C.CLUSTER_SHARED_SHOWN}] AS shared_keywords
+      FROM tp_freq WHERE cnt >= 2 GROUP BY comp),
+    tp_summary AS (
+      SELECT comp, is_other, count(*) AS size, max(score) AS top_score,
+             first(item ORDER BY score DESC, r_tier, r_neg_pub, r_pos) AS lead_item,
+             first(r_tier ORDER BY score DESC, r_tier, r_neg_pub, r_pos) AS l_tier,
+             first(r_neg_pub ORDER BY score DESC, r_tier, r_neg_pub, r_pos) AS l_neg,
+             first(r_pos ORDER BY score DESC, r_tier, r_neg_pub, r_pos) AS l_pos
+      FROM tp_members GROUP BY comp, is_other),
+    tp_clusters AS (
+      SELECT s.*,
+             CASE WHEN s.is_other THEN {q(C.CLUSTER_OTHER_NAME)}
+                  WHEN starts_with(n.name_kw, 'CVE-') THEN upper(n.name_kw)
+                  ELSE {py_title_sql('n.name_kw')} END AS name,
+             CASE WHEN s.is_other THEN []::VARCHAR[] ELSE coalesce(sh.shared_keywords, []::VARCHAR[]) END AS shared_keywords,
+             row_number() OVER (ORDER BY s.top_score DESC, s.is_other, -s.top_score, s.l_tier, s.l_neg, s.l_pos) AS cluster_rank
+      FROM tp_summary s LEFT JOIN tp_names n ON n.comp = s.comp LEFT JOIN tp_shared sh ON sh.comp = s.comp)"""
+
+
+def topic_input_cte(name: str = "topic_src") -> str:
+    """Exact-dedup survivors, scored, at or above the default minimum score."""
+    return f"""
+    {name}_s AS (SELECT *, {score_expr()} AS score FROM canon),
+    {name} AS (
+      SELECT *, pos AS item, source_tier AS r_tier, -epoch_us(published) AS r_neg_pub, pos AS r_pos
+      FROM {name}_s WHERE score >= {C.DEFAULT_MIN_SCORE})"""
