@@ -508,3 +508,111 @@ def q_top5(spark, sf):
 def q_keyword_union(spark, sf):
     k = with_keywords(_items(spark, sf))
     return k.select("seq", F.array_join("keywords", "|").alias("keywords"), F.size("keywords").alias("n_keywords"))
+
+
+# ---------------------------------------------------------------- composite: news digest
+
+def _digest(spark, sf):
+    return news_digest(_items(spark, sf), NOW, hours=DIGEST_HOURS, min_score=MIN_SCORE, threshold=THRESHOLD)
+
+
+_DIGEST_SQL = _with(
+    NI,
+    O.window_cte(DIGEST_HOURS, None),
+    O.survivors_ctes(THRESHOLD),
+    f"shown AS (SELECT *, pos AS item FROM surv WHERE score >= {MIN_SCORE})",
+    O.topic_ctes("shown"),
+    """dm AS (SELECT m.*, c.cluster_rank, c.name AS cluster_name, c.shared_keywords AS c_shared, c.size AS cluster_size
+              FROM tp_members m JOIN tp_clusters c ON c.comp = m.comp)""",
+) + f"""
+    SELECT cluster_rank, cluster_name, array_to_string(c_shared[1:{C.SHARED_KEYWORDS_SHOWN}], '|') AS shared_keywords,
+           cluster_size, greatest(cluster_size - {C.DIGEST_ITEMS_PER_CLUSTER}, 0) AS n_more,
+           row_number() OVER (PARTITION BY comp ORDER BY score DESC, r_tier, r_neg_pub, r_pos) AS item_rank,
+           {O.severity_sql()} AS severity,
+           score, {O.band_sql('score', C.SCORE_BAND_ELSE_DIGEST)} AS score_style, title,
+           {O.age_label_sql(O.age_hours('published'))} AS age,
+           array_to_string(cve_ids[1:{C.CVES_SHOWN}], ',') AS cves,
+           array_to_string(names[1:{C.DUP_SOURCES_SHOWN}], ',') AS also, n_dup, source_name, source_category, url,
+           concat(substr(coalesce(description, ''), 1, {C.DIGEST_DESC_MAX}),
+                  CASE WHEN length(coalesce(description, '')) > {C.DIGEST_DESC_MAX} THEN '...' ELSE '' END) AS snippet,
+           seq, fp
+    FROM dm
+    QUALIFY item_rank <= {C.DIGEST_ITEMS_PER_CLUSTER}"""
+
+
+def _digest_rows(d) -> DataFrame:
+    return d.rows.select(
+        "cluster_rank", "cluster_name", F.array_join("shared_keywords", "|").alias("shared_keywords"), "cluster_size", "n_more",
+        "item_rank", "severity", "score", "score_style", "title", "age", F.array_join("cves", ",").alias("cves"),
+        F.array_join("also", ",").alias("also"), "n_dup", "source_name", "source_category", "url", "snippet", "seq", "fp",
+    )
+
+
+@register("news_digest", _DIGEST_SQL)
+def q_news_digest(spark, sf):
+    return _digest_rows(_digest(spark, sf))
+
+
+@register(
+    "digest_funnel",
+    _with(
+        NI,
+        O.window_cte(DIGEST_HOURS, None),
+        O.survivors_ctes(THRESHOLD),
+    )
+    + f"""
+    SELECT (SELECT count(*) FROM win) AS total_raw,
+           (SELECT count(*) FROM surv WHERE score >= {MIN_SCORE}) AS items_shown,
+           (SELECT count(*) FROM win) - (SELECT count(*) FROM surv WHERE score >= {MIN_SCORE}) AS removed,
+           (SELECT count(DISTINCT source_name) FROM win) AS sources_hit""",
+)
+def q_digest_funnel(spark, sf):
+    return _digest(spark, sf).funnel
+
+
+# ---------------------------------------------------------------- composite: incident report
+
+def _incident_sql_rows(src: str, extra_cols: str = "", rationale: str = "''", ai: str = "NULL::BOOLEAN") -> str:
+    return f"""
+    SELECT row_number() OVER (ORDER BY score DESC, r_tier, r_neg_pub, r_pos) AS idx,
+           incident_type,
+           CASE incident_type {' '.join(f'WHEN {O.q(n)} THEN {O.q(i)}' for n, i in C.TYPE_ICONS)} ELSE {O.q(C.TYPE_ICON_DEFAULT)} END AS icon,
+           score, {O.band_sql('score', C.SCORE_BAND_ELSE_INCIDENT)} AS score_style,
+           {O.age_label_sql(O.age_hours('published'))} AS age, title, victim,
+           array_to_string(cve_ids[1:{C.CVES_SHOWN}], ',') AS cves, impact, root_cause, is_fixed,
+           {_tri_sql('is_fixed', C.FIXED_DISPLAY)} AS fixed, {_tri_sql('is_fixed', C.STATUS_COLOR)} AS border,
+           {rationale} AS rationale, {ai} AS ai_enriched, source_name, substr(url, 1, {C.URL_SHOWN_MAX}) AS url,
+           CASE WHEN length(coalesce(description, '')) > {C.INCIDENT_SNIPPET_MIN}
+                THEN concat(regexp_replace(substr(description, 1, {C.INCIDENT_SNIPPET_MAX}), '\\s+$', ''),
+                            CASE WHEN length(description) > {C.INCIDENT_SNIPPET_MAX} THEN '...' ELSE '' END) END AS snippet,
+           seq, fp {extra_cols}
+    FROM {src}"""
+
+
+_INCIDENT_BASE = [
+    NI,
+    O.window_cte(INCIDENT_DAYS * 24, C.DEFAULT_INCIDENT_CATEGORIES),
+    O.survivors_ctes(THRESHOLD),
+    f"""inc AS (
+      SELECT *, concat_ws(' ', title, coalesce(description, '')) AS text FROM surv
+      WHERE {O.contains_any("lower(concat_ws(' ', title, coalesce(description, '')))", C.INCIDENT_TERMS)}
+        AND score >= {MIN_SCORE})""",
+]
+_INCIDENT_SQL = _with(*_INCIDENT_BASE, f"inc2 AS (SELECT *, {O.incident_struct_cols()} FROM inc)") + _incident_sql_rows("inc2")
+
+
+def _incident_rows(rep) -> DataFrame:
+    return rep.rows.withColumn("cves", F.array_join("cves", ","))
+
+
+@register("incident_report", _INCIDENT_SQL)
+def q_incident_report(spark, sf):
+    return _incident_rows(incident_report(_items(spark, sf), NOW, days=INCIDENT_DAYS, min_score=MIN_SCORE, threshold=THRESHOLD))
+
+
+@register("incident_rank", _with(*_INCIDENT_BASE) + "\nSELECT seq, row_number() OVER (ORDER BY score DESC, r_tier, r_neg_pub, r_pos) AS idx FROM inc")
+def q_incident_rank(spark, sf):
+    from .incidents import incident_candidates
+
+    _, items, _ = incident_candidates(_items(spark, sf), NOW, days=INCIDENT_DAYS, min_score=MIN_SCORE, threshold=THRESHOLD)
+    return R.order_index(items, R.score_order(), "idx").select("seq", "idx")

@@ -323,3 +323,55 @@ def topic_input_cte(name: str = "topic_src") -> str:
     {name} AS (
       SELECT *, pos AS item, source_tier AS r_tier, -epoch_us(published) AS r_neg_pub, pos AS r_pos
       FROM {name}_s WHERE score >= {C.DEFAULT_MIN_SCORE})"""
+
+
+# ---------------------------------------------------------------- composite reports
+
+def window_cte(hours: int, categories: list[str] | None, name: str = "win") -> str:
+    cond = f"published >= {NOW_SQL} - INTERVAL {hours} HOUR"
+    if categories:
+        cond += " AND source_category IN (" + ", ".join(q(c) for c in categories) + ")"
+    return f"{name} AS (SELECT * FROM news_items WHERE {cond})"
+
+
+def survivors_ctes(threshold: float) -> str:
+    """Exact + fuzzy dedup over ``win``; attribution in long form; scores."""
+    return ",\n".join(
+        [
+            exact_cte("win").strip(),
+            exact_attr_cte("canon_fp").strip(),
+            fuzzy_ctes("canon", threshold).strip(),
+            """attr AS (
+      SELECT g.fp, 0 AS stage, a.ord AS o1, 0::BIGINT AS o2, 0::BIGINT AS o3, a.source_name
+      FROM fz_groups g JOIN exact_attr a ON a.fp = g.fp WHERE g.is_leader AND a.ord IS NOT NULL
+      UNION ALL
+      SELECT leader_fp AS fp, 1 AS stage, r_tier::BIGINT AS o1, r_neg_pub AS o2, r_pos AS o3, source_name
+      FROM fz_groups WHERE NOT is_leader)""",
+            """attr_list AS (
+      SELECT fp, count(*) AS n_dup, list(source_name ORDER BY stage, o1, o2, o3) AS names FROM attr GROUP BY fp)""",
+            f"""surv AS (
+      SELECT g.*, coalesce(l.n_dup, 0) AS n_dup, coalesce(l.names, []::VARCHAR[]) AS names, {score_expr()} AS score
+      FROM fz_groups g LEFT JOIN attr_list l ON l.fp = g.fp WHERE g.is_leader)""",
+        ]
+    )
+
+
+def age_label_sql(a: str) -> str:
+    return (
+        f"CASE WHEN {a} < 1 THEN concat(floor({a} * 60)::BIGINT, 'm ago') WHEN {a} < 24 THEN concat(round_even({a}, 0)::BIGINT, 'h ago') "
+        f"ELSE concat(round_even({a} / 24, 0)::BIGINT, 'd ago') END"
+    )
+
+
+def severity_sql() -> str:
+    return (
+        "CASE WHEN cvss_score IS NOT NULL THEN (CASE "
+        + " ".join(f"WHEN cvss_score >= {t} THEN {q(l)}" for t, l in C.SEVERITY_CVSS)
+        + f" ELSE {q(C.SEVERITY_CVSS_ELSE)} END) ELSE (CASE "
+        + " ".join(f"WHEN score >= {t} THEN {q(l)}" for t, l in C.SEVERITY_SCORE)
+        + f" ELSE {q(C.SEVERITY_SCORE_ELSE)} END) END"
+    )
+
+
+def band_sql(col: str, else_label: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} >= {t} THEN {q(l)}" for t, l in C.SCORE_BANDS) + f" ELSE {q(else_label)} END"
