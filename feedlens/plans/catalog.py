@@ -616,3 +616,137 @@ def q_incident_rank(spark, sf):
 
     _, items, _ = incident_candidates(_items(spark, sf), NOW, days=INCIDENT_DAYS, min_score=MIN_SCORE, threshold=THRESHOLD)
     return R.order_index(items, R.score_order(), "idx").select("seq", "idx")
+
+
+# ---------------------------------------------------------------- enrichment
+
+from ..functions import enrichment as E  # noqa: E402
+from ..sources.responses import derived_responses, responses_sql  # noqa: E402
+from .incidents import enrich, incident_candidates, incident_report_enriched  # noqa: E402
+
+_RESP = f"responses_t AS ({responses_sql('news_items', False)})"
+
+
+def _responses(spark, sf):
+    return derived_responses(_items(spark, sf))
+
+
+@register(
+    "strip_code_fence",
+    _with(NI, _RESP, O.enrichment_ctes()) + "\nSELECT seq, c AS cleaned FROM en_clean",
+)
+def q_strip_fence(spark, sf):
+    r = _responses(spark, sf).groupBy("seq").agg(F.min("raw").alias("raw"))
+    return r.select("seq", E.strip_code_fence(F.col("raw")).alias("cleaned"))
+
+
+@register(
+    "parse_response",
+    _with(NI, _RESP, O.enrichment_ctes()) + "\nSELECT seq, j IS NOT NULL AS parsed FROM en_parsed",
+)
+def q_parse_response(spark, sf):
+    r = _responses(spark, sf).groupBy("seq").agg(F.min("raw").alias("raw"))
+    return r.select("seq", E.parse_response(F.col("raw")).isNotNull().alias("parsed"))
+
+
+@register(
+    "validate_response",
+    _with(NI, _RESP, O.enrichment_ctes())
+    + "\nSELECT p.seq, v.seq IS NOT NULL AS valid FROM en_parsed p LEFT JOIN en_valid v ON v.seq = p.seq",
+)
+def q_validate_response(spark, sf):
+    r = _responses(spark, sf).groupBy("seq").agg(F.min("raw").alias("raw")).withColumn("c", E.strip_code_fence(F.col("raw")))
+    return r.select("seq", E.validate_response(F.try_parse_json("c"), F.col("c")).alias("valid"))
+
+
+@register(
+    "response_to_incident",
+    _with(NI, _RESP, O.enrichment_ctes())
+    + "\nSELECT seq, incident_type, victim, impact, root_cause, is_fixed, severity_rationale, ai_score_boost FROM en_fields",
+)
+def q_response_to_incident(spark, sf):
+    r = _responses(spark, sf).groupBy("seq").agg(F.min("raw").alias("raw")).withColumn("c", E.strip_code_fence(F.col("raw")))
+    r = r.withColumn("v", F.try_parse_json("c")).where(E.validate_response(F.col("v"), F.col("c")))
+    return r.select("seq", E.response_to_incident(F.col("v")).alias("i")).select("seq", "i.*")
+
+
+_ENRICHED_BASE = _INCIDENT_BASE + [
+    _RESP,
+    O.enrichment_ctes(),
+    f"""inc_h AS (SELECT *, {O.incident_struct_cols()} FROM inc)""",
+    """inc_e AS (
+      SELECT h.* EXCLUDE (incident_type, victim, impact, root_cause, is_fixed, score),
+             f.seq IS NOT NULL AS ai_enriched,
+             CASE WHEN f.seq IS NOT NULL THEN f.incident_type ELSE h.incident_type END AS incident_type,
+             CASE WHEN f.seq IS NOT NULL THEN f.victim ELSE h.victim END AS victim,
+             CASE WHEN f.seq IS NOT NULL THEN f.impact ELSE h.impact END AS impact,
+             CASE WHEN f.seq IS NOT NULL THEN f.root_cause ELSE h.root_cause END AS root_cause,
+             CASE WHEN f.seq IS NOT NULL THEN f.is_fixed ELSE h.is_fixed END AS is_fixed,
+             CASE WHEN f.seq IS NOT NULL THEN f.severity_rationale ELSE '' END AS severity_rationale,
+             CASE WHEN f.seq IS NOT NULL THEN f.ai_score_boost ELSE 0.0 END AS ai_score_boost,
+             CASE WHEN f.seq IS NOT NULL THEN least(h.score + f.ai_score_boost, 100.0) ELSE h.score END AS score
+      FROM inc_h h LEFT JOIN en_fields f ON f.seq = h.seq)""",
+]
+
+
+def _enriched(spark, sf):
+    items = _items(spark, sf)
+    _, cand, _ = incident_candidates(items, NOW, days=INCIDENT_DAYS, min_score=MIN_SCORE, threshold=THRESHOLD)
+    return enrich(cand, derived_responses(items))
+
+
+@register(
+    "enrichment_left_join",
+    _with(*_ENRICHED_BASE)
+    + "\nSELECT seq, ai_enriched, incident_type, victim, impact, root_cause, is_fixed, severity_rationale, ai_score_boost FROM inc_e",
+)
+def q_enrichment_join(spark, sf):
+    out, _ = _enriched(spark, sf)
+    return out.select(
+        "seq", "ai_enriched", "incident.incident_type", "incident.victim", "incident.impact", "incident.root_cause",
+        "incident.is_fixed", "incident.severity_rationale", "incident.ai_score_boost",
+    )
+
+
+@register("apply_boost", _with(*_ENRICHED_BASE) + "\nSELECT seq, score FROM inc_e")
+def q_apply_boost(spark, sf):
+    out, _ = _enriched(spark, sf)
+    return out.select("seq", "score")
+
+
+@register(
+    "enrichment_stats",
+    _with(*_ENRICHED_BASE)
+    + """
+    SELECT count(*) AS total, count(*) FILTER (WHERE ai_enriched) AS ai_success,
+           count(*) - count(*) FILTER (WHERE ai_enriched) AS heuristic_fallback,
+           (count(*) > 0 AND count(*) FILTER (WHERE ai_enriched) = 0) AS all_failed,
+           NOT (count(*) > 0 AND count(*) FILTER (WHERE ai_enriched) = 0) AS ai_mode
+    FROM inc_e""",
+)
+def q_enrichment_stats(spark, sf):
+    return _enriched(spark, sf)[1]
+
+
+@register(
+    "incident_report_enriched",
+    _with(*_ENRICHED_BASE)
+    + _incident_sql_rows(
+        "inc_e",
+        rationale="CASE WHEN (SELECT count(*) FILTER (WHERE ai_enriched) FROM inc_e) > 0 AND ai_enriched THEN severity_rationale ELSE '' END",
+        ai="ai_enriched",
+    ),
+)
+def q_incident_report_enriched(spark, sf):
+    items = _items(spark, sf)
+    rep = incident_report_enriched(items, derived_responses(items), NOW, days=INCIDENT_DAYS, min_score=MIN_SCORE, threshold=THRESHOLD)
+    return _incident_rows(rep)
+
+
+@register(
+    "enrichment_request",
+    _with(NI)
+    + f"\nSELECT seq, printf({O.q(E.REQUEST_TEMPLATE)}, title, substr(coalesce(description, ''), 1, {C.ENRICH_DESC_MAX})) AS request FROM news_items",
+)
+def q_enrichment_request(spark, sf):
+    return _items(spark, sf).select("seq", E.enrichment_request(F.col("title"), F.col("description")).alias("request"))

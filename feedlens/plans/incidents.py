@@ -81,7 +81,7 @@ def enrichment_stats(enriched: DataFrame) -> DataFrame:
         "ai_success",
         (F.col("total") - F.col("ai_success")).alias("heuristic_fallback"),
         ((F.col("total") > 0) & (F.col("ai_success") == 0)).alias("all_failed"),
-        ~((F.col("total") > 0) & (F.col("ai_success") == 0)).alias("ai_mode"),
+        (~((F.col("total") > 0) & (F.col("ai_success") == 0))).alias("ai_mode"),
     )
 
 

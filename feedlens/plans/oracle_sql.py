@@ -375,3 +375,52 @@ def severity_sql() -> str:
 
 def band_sql(col: str, else_label: str) -> str:
     return "CASE " + " ".join(f"WHEN {col} >= {t} THEN {q(l)}" for t, l in C.SCORE_BANDS) + f" ELSE {q(else_label)} END"
+
+
+# ---------------------------------------------------------------- enrichment
+
+def enrichment_ctes(resp_src: str = "responses_t") -> str:
+    types = "[" + ", ".join(q(t) for t in C.ENRICH_INCIDENT_TYPES) + "]"
+    keys = "[" + ", ".join(q(k) for k in C.ENRICH_REQUIRED_FIELDS) + "]"
+    ws = "'^\\s+|\\s+$'"
+
+    def text_field(k: str, default: str) -> str:
+        t = f"json_type(j, '$.{k}')"
+        v = f"(j->>'$.{k}')"
+        falsy = (
+            f"{v} IS NULL OR {v} = '' OR ({t} = 'BOOLEAN' AND {v} = 'false') "
+            f"OR ({t} IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') AND TRY_CAST({v} AS DOUBLE) = 0) "
+            f"OR ({t} = 'ARRAY' AND {v} = '[]') OR ({t} = 'OBJECT' AND {v} = '{{}}')"
+        )
+        return f"CASE WHEN {falsy} THEN {q(default)} ELSE {v} END"
+
+    num = "('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT')"
+    return f"""
+    en_resp AS (SELECT seq, min(raw) AS raw FROM {resp_src} GROUP BY seq),
+    en_clean AS (
+      SELECT seq, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, {ws}, '', 'g'),
+                 '^```(?:json)?\\s*', ''), '\\s*```$', ''), {ws}, '', 'g') AS c
+      FROM en_resp),
+    en_parsed AS (SELECT seq, c, CASE WHEN json_valid(c) THEN c::JSON END AS j FROM en_clean),
+    en_valid AS (
+      SELECT seq, j FROM en_parsed
+      WHERE j IS NOT NULL AND json_type(j) = 'OBJECT'
+        AND list_has_all(json_keys(j), {keys})
+        AND json_type(j, '$.incident_type') = 'VARCHAR' AND list_contains({types}, j->>'$.incident_type')
+        AND (json_type(j, '$.ai_score_boost') IN {num} OR json_type(j, '$.ai_score_boost') = 'BOOLEAN')),
+    en_fields AS (
+      SELECT seq,
+             {text_field('incident_type', C.INCIDENT_TYPE_DEFAULT)} AS incident_type,
+             {text_field('victim', C.VICTIM_DEFAULT)} AS victim,
+             {text_field('impact', C.IMPACT_DEFAULT)} AS impact,
+             {text_field('root_cause', C.ROOT_CAUSE_DEFAULT)} AS root_cause,
+             CASE WHEN json_type(j, '$.is_fixed') = 'BOOLEAN' THEN (j->>'$.is_fixed') = 'true'
+                  WHEN json_type(j, '$.is_fixed') = 'VARCHAR' AND lower(j->>'$.is_fixed') IN ('true', 'false') THEN lower(j->>'$.is_fixed') = 'true'
+                  WHEN json_type(j, '$.is_fixed') IN {num} AND TRY_CAST(j->>'$.is_fixed' AS DOUBLE) = 1 THEN true
+                  WHEN json_type(j, '$.is_fixed') IN {num} AND TRY_CAST(j->>'$.is_fixed' AS DOUBLE) = 0 THEN false
+                  ELSE NULL END AS is_fixed,
+             {text_field('severity_rationale', '')} AS severity_rationale,
+             coalesce(least(greatest(CASE WHEN json_type(j, '$.ai_score_boost') = 'BOOLEAN'
+                                          THEN CASE WHEN (j->>'$.ai_score_boost') = 'true' THEN 1.0 ELSE 0.0 END
+                                          ELSE TRY_CAST(j->>'$.ai_score_boost' AS DOUBLE) END, 0.0), 20.0), 0.0) AS ai_score_boost
+      FROM en_valid)"""
