@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 WORD_CLASS = r"\p{L}\p{N}_"          # Python's Unicode \w
+# Python's Unicode whitespace (str.isspace), spelled out so Java agrees
+PY_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CVE_PATTERN = r"(?i)CVE-\p{Nd}{4}-\p{Nd}{4,7}"
 
 
@@ -22,7 +24,7 @@ def _c(x) -> Column:
 
 def py_strip(x) -> Column:
     """Python ``str.strip()``: remove all leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_c(x), f"^{PY_WS}+|{PY_WS}+$", "")
 
 
 def strip_html(x) -> Column:
@@ -32,7 +34,7 @@ def strip_html(x) -> Column:
 
 def collapse_truncate(x, n: int = C.DESCRIPTION_MAX) -> Column:
     """Runs of whitespace → one space, keep the first ``n`` characters."""
-    return F.substring(F.regexp_replace(_c(x), r"(?U)\s+", " "), 1, n)
+    return F.substring(F.regexp_replace(_c(x), f"{PY_WS}+", " "), 1, n)
 
 
 def normalize_title(x) -> Column:
@@ -131,7 +133,7 @@ def truncate_ellipsis(x, n: int, rstrip: bool = False) -> Column:
     s = _c(x)
     head = F.substring(s, 1, n)
     if rstrip:
-        head = F.regexp_replace(head, r"(?U)\s+$", "")
+        head = F.regexp_replace(head, f"{PY_WS}+$", "")
     return F.concat(head, F.when(F.length(s) > n, F.lit("...")).otherwise(F.lit("")))
 
 

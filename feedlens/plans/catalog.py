@@ -750,3 +750,111 @@ def q_incident_report_enriched(spark, sf):
 )
 def q_enrichment_request(spark, sf):
     return _items(spark, sf).select("seq", E.enrichment_request(F.col("title"), F.col("description")).alias("request"))
+
+
+# ---------------------------------------------------------------- sources (SRC1–SRC8) and their scalars
+
+from ..sources import feeds as SRC  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+_PAGES_ENTRIES = f"""pe AS (
+      SELECT page_id AS seq, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS t, url AS link,
+             regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1) AS summ FROM pages)"""
+_SAFE = r"'^(?i)https?://[^/?#]+'"
+
+
+@register(
+    "read_rss",
+    _with(_PAGES_ENTRIES)
+    + f"""
+    SELECT seq, {O.py_strip('t')} AS title, {O.py_strip('link')} AS url, {O.NOW_SQL} AS published,
+           substr(regexp_replace({O.py_strip("regexp_replace(summ, '<[^>]+>', ' ', 'g')")}, '{O.PY_WS}+', ' ', 'g'), 1, {C.DESCRIPTION_MAX}) AS description
+    FROM pe WHERE {O.py_strip('t')} <> '' AND regexp_matches({O.py_strip('link')}, {_SAFE})""",
+)
+def q_read_rss(spark, sf):
+    entries = SRC.pages_as_entries(read_table(spark, sf, "pages", ["page_id", "url", "html"]))
+    items = SRC.rss_items(entries, "pages", "blogs", 2, None, NOW)
+    return items.select("seq", "title", "url", "published", "description")
+
+
+@register(
+    "strip_html",
+    _with(_PAGES_ENTRIES) + f"\nSELECT seq, {O.py_strip("regexp_replace(summ, '<[^>]+>', ' ', 'g')")} AS text FROM pe",
+)
+def q_strip_html(spark, sf):
+    e = SRC.pages_as_entries(read_table(spark, sf, "pages", ["page_id", "url", "html"]))
+    return e.select("seq", T.strip_html("summary").alias("text"))
+
+
+@register(
+    "collapse_truncate",
+    _with(_PAGES_ENTRIES)
+    + f"\nSELECT seq, substr(regexp_replace({O.py_strip("regexp_replace(summ, '<[^>]+>', ' ', 'g')")}, '{O.PY_WS}+', ' ', 'g'), 1, {C.DESCRIPTION_MAX}) AS text FROM pe",
+)
+def q_collapse(spark, sf):
+    e = SRC.pages_as_entries(read_table(spark, sf, "pages", ["page_id", "url", "html"]))
+    return e.select("seq", T.collapse_truncate(T.strip_html("summary")).alias("text"))
+
+
+@register("safe_url_filter", f"SELECT page_id, url FROM pages WHERE regexp_matches(url, {_SAFE})")
+def q_safe_url_filter(spark, sf):
+    return FL.safe_url_filter(read_table(spark, sf, "pages", ["page_id", "url"]))
+
+
+@register("safe_url", f"SELECT page_id, CASE WHEN regexp_matches(url, {_SAFE}) THEN url END AS safe FROM pages")
+def q_safe_url(spark, sf):
+    return read_table(spark, sf, "pages", ["page_id", "url"]).select("page_id", T.safe_url("url").alias("safe"))
+
+
+@register(
+    "required_fields",
+    _with(_PAGES_ENTRIES) + f"\nSELECT seq FROM pe WHERE {O.py_strip('t')} <> '' AND regexp_matches({O.py_strip('link')}, {_SAFE})",
+)
+def q_required_fields(spark, sf):
+    e = SRC.pages_as_entries(read_table(spark, sf, "pages", ["page_id", "url", "html"]))
+    e = e.select("seq", T.py_strip("title").alias("title"), T.safe_url(T.py_strip("link")).alias("url"))
+    return FL.required_fields(e).select("seq")
+
+
+_CVE_EVENTS_SQL = """ce AS (
+      SELECT event_id, CASE WHEN event_id % 23 = 0 THEN concat('GHSA-', CAST(user_id AS VARCHAR))
+             ELSE concat('CVE-', CAST(2010 + event_id % 16 AS VARCHAR), '-', lpad(CAST(user_id AS VARCHAR), 4, '0')) END AS cve_id
+      FROM events)"""
+
+
+@register(
+    "legacy_cve_filter",
+    _with(_CVE_EVENTS_SQL)
+    + f"\nSELECT event_id, cve_id FROM ce WHERE NOT regexp_matches(cve_id, '^CVE-[0-9]{{4}}-') OR CAST(substr(cve_id, 5, 4) AS INT) >= {C.KEV_MIN_CVE_YEAR}",
+)
+def q_legacy_cve(spark, sf):
+    ev = read_table(spark, sf, "events", ["event_id", "user_id"])
+    ce = ev.select(
+        "event_id",
+        F.when(F.col("event_id") % 23 == 0, F.concat(F.lit("GHSA-"), F.col("user_id").cast("string")))
+        .otherwise(F.concat(F.lit("CVE-"), (F.lit(2010) + F.col("event_id") % 16).cast("string"), F.lit("-"), F.lpad(F.col("user_id").cast("string"), 4, "0")))
+        .alias("cve_id"),
+    )
+    return FL.legacy_cve(ce, "cve_id")
+
+
+@register(
+    "parse_timestamp",
+    "SELECT event_id, ts AS iso, date_trunc('second', ts) AS rfc, date_trunc('day', ts) AS day, date_trunc('second', ts) AS epoch FROM events",
+)
+def q_parse_timestamp(spark, sf):
+    ev = read_table(spark, sf, "events", ["event_id", "ts"]).withColumn("t", F.col("ts").cast("timestamp"))
+    s = ev.select(
+        "event_id",
+        F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("s_iso"),
+        F.date_format("t", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("s_rfc"),
+        F.date_format("t", "yyyy-MM-dd").alias("s_day"),
+        F.unix_seconds("t").alias("s_epoch"),
+    )
+    return s.select(
+        "event_id",
+        SRC.parse_iso(F.col("s_iso")).cast("timestamp_ntz").alias("iso"),
+        SRC.parse_rfc822(F.col("s_rfc")).cast("timestamp_ntz").alias("rfc"),
+        SRC.parse_day(F.col("s_day")).cast("timestamp_ntz").alias("day"),
+        F.timestamp_seconds("s_epoch").cast("timestamp_ntz").alias("epoch"),
+    )

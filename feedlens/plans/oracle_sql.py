@@ -17,6 +17,8 @@ from ..sources.tables import news_items_sql
 NOW = "2024-01-31 00:00:00"
 NOW_SQL = f"TIMESTAMP '{NOW}'"
 WORD = r"\p{L}\p{N}_"
+# Python's Unicode whitespace, spelled out for RE2 (whose \s is ASCII)
+PY_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def q(s: str) -> str:
@@ -41,7 +43,7 @@ def fingerprint(title: str, url: str) -> str:
 
 
 def py_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{PY_WS}+|{PY_WS}+$', '', 'g')"
 
 
 def age_hours(published: str = "published") -> str:
