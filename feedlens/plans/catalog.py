@@ -858,3 +858,403 @@ def q_parse_timestamp(spark, sf):
         SRC.parse_day(F.col("s_day")).cast("timestamp_ntz").alias("day"),
         F.timestamp_seconds("s_epoch").cast("timestamp_ntz").alias("epoch"),
     )
+
+
+# NVD records derived from the item table, serialised to JSON and parsed back
+def _nvd_records(spark, sf) -> DataFrame:
+    it = _items(spark, sf)
+    cid = F.concat(F.lit("CVE-2024-"), F.lpad(F.col("seq").cast("string"), 5, "0"))
+    metric = F.array(F.struct(F.struct(F.col("cvss_score").alias("baseScore")).alias("cvssData")))
+    empty = F.array().cast(SRC._METRIC)
+    metrics = F.struct(
+        F.when(F.col("seq") % 4 == 1, metric).when(F.col("seq") % 4 == 2, empty).alias("cvssMetricV31"),
+        F.when(F.col("seq") % 4 == 2, metric).alias("cvssMetricV30"),
+        F.when(F.col("seq") % 4 == 3, F.array(F.struct(F.struct(F.lit(None).cast("double").alias("baseScore")).alias("cvssData")))).alias("cvssMetricV2"),
+    )
+    descs = F.when(
+        F.col("seq") % 3 == 0,
+        F.array(F.struct(F.lit("es").alias("lang"), F.lit("hola").alias("value")), F.struct(F.lit("en").alias("lang"), F.col("description").alias("value"))),
+    ).otherwise(F.array(F.struct(F.lit("en").alias("lang"), F.col("description").alias("value"))))
+    pub = F.when(F.col("seq") % 5 == 0, F.lit("not a date")).otherwise(F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    v = F.struct(F.struct(cid.alias("id"), pub.alias("published"), descs.alias("descriptions"), metrics.alias("metrics")).alias("cve"))
+    js = it.select("seq", F.to_json(v).alias("j"))
+    return js.select("seq", F.from_json("j", SRC.NVD_VULN_SCHEMA).alias("v"))
+
+
+@register(
+    "read_nvd",
+    _with(NI)
+    + f"""
+    SELECT seq,
+           CASE WHEN length(d) > 0 THEN concat(cid, ': ', substr(d, 1, {C.NVD_TITLE_DESC_MAX}), CASE WHEN length(d) > {C.NVD_TITLE_DESC_MAX} THEN '...' ELSE '' END) ELSE cid END AS title,
+           concat('https://nvd.nist.gov/vuln/detail/', cid) AS url,
+           CASE WHEN seq % 5 = 0 THEN {O.NOW_SQL} ELSE date_trunc('millisecond', published) END AS published,
+           d AS description,
+           CASE seq % 4 WHEN 1 THEN coalesce(cvss_score, 0.0) WHEN 2 THEN coalesce(cvss_score, 0.0) WHEN 3 THEN 0.0 ELSE NULL END AS cvss_score,
+           cid AS cve
+    FROM (SELECT *, concat('CVE-2024-', lpad(CAST(seq AS VARCHAR), 5, '0')) AS cid, substr(description, 1, {C.DESCRIPTION_MAX}) AS d FROM news_items)""",
+)
+def q_read_nvd(spark, sf):
+    out = SRC.nvd_items(_nvd_records(spark, sf), "NVD", "cve", 1, NOW)
+    return out.select("seq", "title", "url", F.col("published").cast("timestamp_ntz").alias("published"), "description", "cvss_score", F.col("cve_ids")[0].alias("cve"))
+
+
+@register(
+    "cvss_metric_pick",
+    _with(NI) + "\nSELECT seq, CASE seq % 4 WHEN 1 THEN coalesce(cvss_score, 0.0) WHEN 2 THEN coalesce(cvss_score, 0.0) WHEN 3 THEN 0.0 ELSE NULL END AS cvss FROM news_items",
+)
+def q_cvss_pick(spark, sf):
+    return _nvd_records(spark, sf).select("seq", SRC.cvss_metric_pick(F.col("v.cve.metrics")).alias("cvss"))
+
+
+@register(
+    "cve_title",
+    _with(NI)
+    + f"""
+    SELECT seq, CASE WHEN length(d) > 0 THEN concat(cid, ': ', substr(d, 1, {C.NVD_TITLE_DESC_MAX}), CASE WHEN length(d) > {C.NVD_TITLE_DESC_MAX} THEN '...' ELSE '' END) ELSE cid END AS title
+    FROM (SELECT seq, concat('CVE-2024-', lpad(CAST(seq AS VARCHAR), 5, '0')) AS cid, substr(description, 1, {C.DESCRIPTION_MAX}) AS d FROM news_items)""",
+)
+def q_cve_title(spark, sf):
+    return SRC.nvd_items(_nvd_records(spark, sf), "NVD", "cve", 1, NOW).select("seq", "title")
+
+
+# KEV rows derived from the item table
+_KEV_DERIVED = f"""kv AS (
+      SELECT seq, concat('CVE-', CAST(2014 + seq % 8 AS VARCHAR), '-', lpad(CAST(seq AS VARCHAR), 5, '0')) AS cid,
+             source_name AS vendor, source_category AS product, substr(title, 1, 40) AS vname,
+             substr(description, 1, {C.DESCRIPTION_MAX}) AS d,
+             CASE WHEN seq % 7 = 0 THEN NULL ELSE date_trunc('day', published) END AS added,
+             CASE WHEN seq % 3 = 0 THEN '' ELSE strftime(date_trunc('day', published) + INTERVAL 21 DAY, '%Y-%m-%d') END AS due
+      FROM news_items)"""
+
+
+def _kev_rows(spark, sf) -> DataFrame:
+    it = _items(spark, sf)
+    k = F.struct(
+        F.concat(F.lit("CVE-"), (F.lit(2014) + F.col("seq") % 8).cast("string"), F.lit("-"), F.lpad(F.col("seq").cast("string"), 5, "0")).alias("cveID"),
+        F.col("source_name").alias("vendorProject"),
+        F.col("source_category").alias("product"),
+        F.substring("title", 1, 40).alias("vulnerabilityName"),
+        F.col("description").alias("shortDescription"),
+        F.when(F.col("seq") % 7 == 0, F.lit("bad")).otherwise(F.date_format("published", "yyyy-MM-dd")).alias("dateAdded"),
+        F.when(F.col("seq") % 3 == 0, F.lit("")).otherwise(F.date_format(F.date_add(F.to_date("published"), 21), "yyyy-MM-dd")).alias("dueDate"),
+    )
+    js = it.select("seq", F.to_json(k).alias("j"))
+    return js.select("seq", F.from_json("j", SRC.KEV_VULN_SCHEMA).alias("k"))
+
+
+_KEV_CUTOFF = "2024-01-17 00:00:00"
+
+
+@register(
+    "read_kev",
+    _with(NI, _KEV_DERIVED)
+    + f"""
+    SELECT seq, concat('[CISA KEV] ', cid, ' — ', vendor, ' ', product, ': ', vname) AS title,
+           coalesce(added, {O.NOW_SQL}) AS published,
+           CASE WHEN due <> '' THEN concat('Patch required by ', due, '. Actively exploited in the wild. Patch is available. ', d)
+                ELSE concat('Actively exploited in the wild. Patch is available. ', d) END AS description
+    FROM kv WHERE coalesce(added, {O.NOW_SQL}) >= TIMESTAMP '{_KEV_CUTOFF}' AND CAST(substr(cid, 5, 4) AS INT) >= {C.KEV_MIN_CVE_YEAR}""",
+)
+def q_read_kev(spark, sf):
+    out = SRC.kev_items(_kev_rows(spark, sf), "KEV", "advisories", 1, _KEV_CUTOFF, NOW)
+    return out.select("seq", "title", F.col("published").cast("timestamp_ntz").alias("published"), "description")
+
+
+@register(
+    "kev_description",
+    _with(NI, _KEV_DERIVED)
+    + """
+    SELECT seq, CASE WHEN due <> '' THEN concat('Patch required by ', due, '. Actively exploited in the wild. Patch is available. ', d)
+                ELSE concat('Actively exploited in the wild. Patch is available. ', d) END AS description FROM kv""",
+)
+def q_kev_description(spark, sf):
+    k = _kev_rows(spark, sf)
+    return k.select("seq", SRC.kev_description(F.col("k.dueDate"), F.substring(F.col("k.shortDescription"), 1, C.DESCRIPTION_MAX)).alias("description"))
+
+
+# OSV records derived from the item table
+_ECOS = ["PyPI", "npm", "Go", "Maven", "RubyGems", "crates.io", "NuGet"]
+
+
+def _osv_records(spark, sf) -> DataFrame:
+    it = _items(spark, sf)
+    eco = F.element_at(F.array(*[F.lit(e) for e in _ECOS]), (F.col("seq") % len(_ECOS) + 1).cast("int"))
+    vid = F.concat(F.lit("GHSA-"), F.lpad(F.col("seq").cast("string"), 6, "0"))
+    iso = F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    sev = F.when(F.col("seq") % 5 == 0, F.array(
+        F.struct(F.lit("CVSS_V2").alias("type"), F.lit("AV:N/BS:5.0").alias("score")),
+        F.struct(F.lit("CVSS_V3").alias("type"), F.lit("CVSS:3.1/AV:N").alias("score")),
+        F.struct(F.lit("CVSS_V4").alias("type"), F.lit("BS:9.9").alias("score")),
+    )).when(F.col("cvss_score").isNotNull(), F.array(
+        F.struct(F.lit("CVSS_V3").alias("type"), F.concat(F.lit("CVSS:3.1/AV:N/BS:"), F.col("cvss_score").cast("string")).alias("score"))
+    ))
+    r = F.struct(
+        vid.alias("id"),
+        F.when(F.col("seq") % 5 != 1, F.col("title")).alias("summary"),
+        F.col("description").alias("details"),
+        F.concat(F.col("cve_ids"), F.array(F.lit("cve-lower"), vid)).alias("aliases"),
+        F.when(F.col("seq") % 6 == 0, F.lit(None)).when(F.col("seq") % 6 == 1, F.lit("garbage")).otherwise(iso).alias("modified"),
+        iso.alias("published"),
+        sev.alias("severity"),
+    )
+    js = it.select("seq", eco.alias("ecosystem"), F.concat(vid, F.lit(".json")).alias("filename"), F.to_json(r).alias("j"))
+    return js.select("seq", F.from_json("j", SRC.OSV_SCHEMA).alias("r"), "ecosystem", "filename")
+
+
+_OSV_CUTOFF = "2024-01-10 00:00:00"
+_OSV_SQL = _with(
+    NI,
+    f"""ov AS (
+      SELECT seq, ({'[' + ', '.join(O.q(e) for e in _ECOS) + ']'})[1 + seq % {len(_ECOS)}] AS ecosystem,
+             concat('GHSA-', lpad(CAST(seq AS VARCHAR), 6, '0')) AS vid, title, description, cve_ids, cvss_score, published
+      FROM news_items WHERE seq % 6 <> 1 AND published >= TIMESTAMP '{_OSV_CUTOFF}')""",
+) + f"""
+    SELECT seq, CASE WHEN seq % 5 <> 1 AND title <> '' THEN concat(vid, ': ', title) ELSE vid END AS title,
+           concat('https://osv.dev/vulnerability/', vid) AS url, published,
+           substr(description, 1, {C.DESCRIPTION_MAX}) AS description,
+           CASE WHEN seq % 5 = 0 THEN NULL ELSE cvss_score END AS cvss_score,
+           array_to_string(cve_ids, ',') AS cves
+    FROM ov
+    QUALIFY row_number() OVER (PARTITION BY ecosystem ORDER BY vid DESC) <= {C.OSV_MAX_PER_ECOSYSTEM}"""
+
+
+@register("read_osv", _OSV_SQL)
+def q_read_osv(spark, sf):
+    out = SRC.osv_items(_osv_records(spark, sf), "OSV", "cve", 1, _OSV_CUTOFF)
+    return out.select("seq", "title", "url", F.col("published").cast("timestamp_ntz").alias("published"), "description", "cvss_score", F.array_join("cve_ids", ",").alias("cves"))
+
+
+@register(
+    "latest_per_ecosystem",
+    _OSV_SQL.split("\n    SELECT seq, CASE")[0]
+    + f"\nSELECT ecosystem, seq FROM ov QUALIFY row_number() OVER (PARTITION BY ecosystem ORDER BY vid DESC) <= {C.OSV_MAX_PER_ECOSYSTEM}",
+)
+def q_latest_per_ecosystem(spark, sf):
+    rec = _osv_records(spark, sf)
+    out = SRC.osv_items(rec, "OSV", "cve", 1, _OSV_CUTOFF)
+    return out.join(rec.select("seq", "ecosystem"), "seq").select("ecosystem", "seq")
+
+
+@register(
+    "cvss_vector_score",
+    _with(NI) + "\nSELECT seq, CASE WHEN seq % 5 = 0 THEN NULL ELSE cvss_score END AS cvss FROM news_items",
+)
+def q_cvss_vector(spark, sf):
+    return _osv_records(spark, sf).select("seq", SRC.cvss_vector_score(F.col("r.severity")).alias("cvss"))
+
+
+@register("cve_aliases", _with(NI) + "\nSELECT seq, array_to_string(cve_ids, ',') AS cves FROM news_items")
+def q_cve_aliases(spark, sf):
+    return _osv_records(spark, sf).select("seq", F.array_join(SRC.cve_aliases(F.col("r.aliases")), ",").alias("cves"))
+
+
+# Archive manifest derived from pages
+_MANIFEST_SQL = """mf AS (
+      SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS ecosystem,
+             CASE WHEN page_id % 13 = 0 THEN concat('../', page_id, '.json')
+                  WHEN page_id % 17 = 0 THEN concat('/abs/', page_id, '.json')
+                  WHEN page_id % 19 = 0 THEN concat('a\\..\\', page_id, '.json')
+                  WHEN page_id % 11 = 0 THEN concat('docs/', page_id, '.txt')
+                  ELSE concat('vulns/', page_id, '.json') END AS filename,
+             CAST(length(html) AS BIGINT) * CASE regexp_extract(url, '/([a-z]{2})/', 1) WHEN 'fr' THEN 20000 ELSE 600 END AS file_size
+      FROM pages)"""
+
+
+def _manifest(spark, sf) -> DataFrame:
+    p = read_table(spark, sf, "pages", ["page_id", "url", "html"])
+    eco = F.regexp_extract("url", r"/([a-z]{2})/", 1)
+    pid = F.col("page_id").cast("string")
+    fn = (
+        F.when(F.col("page_id") % 13 == 0, F.concat(F.lit("../"), pid, F.lit(".json")))
+        .when(F.col("page_id") % 17 == 0, F.concat(F.lit("/abs/"), pid, F.lit(".json")))
+        .when(F.col("page_id") % 19 == 0, F.concat(F.lit("a\\..\\"), pid, F.lit(".json")))
+        .when(F.col("page_id") % 11 == 0, F.concat(F.lit("docs/"), pid, F.lit(".txt")))
+        .otherwise(F.concat(F.lit("vulns/"), pid, F.lit(".json")))
+    )
+    size = F.length("html").cast("long") * F.when(eco == "fr", F.lit(20000)).otherwise(F.lit(600))
+    return p.select("page_id", eco.alias("ecosystem"), fn.alias("filename"), size.alias("file_size"))
+
+
+@register(
+    "archive_manifest_guard",
+    _with(_MANIFEST_SQL, "tot AS (SELECT ecosystem, sum(file_size) AS t FROM mf GROUP BY ecosystem)")
+    + f"""
+    SELECT page_id, m.ecosystem, filename, file_size FROM mf m JOIN tot USING (ecosystem)
+    WHERE tot.t <= {C.OSV_MAX_TOTAL_BYTES} AND NOT starts_with(filename, '/')
+      AND NOT list_contains(string_split(replace(filename, '\\', '/'), '/'), '..')
+      AND file_size <= {C.OSV_MAX_MEMBER_BYTES} AND ends_with(filename, '.json')""",
+)
+def q_manifest_guard(spark, sf):
+    return SRC.archive_manifest_guard(_manifest(spark, sf)).select("page_id", "ecosystem", "filename", "file_size")
+
+
+# News-aggregator stories derived from the item table
+_HN_CUTOFF = "2024-01-01 00:00:00"
+
+
+def _hn(spark, sf) -> DataFrame:
+    it = _items(spark, sf)
+    ranked = R.order_index(it.select("seq", "hn_points"), [F.desc("hn_points"), F.asc("seq")], "r").select(
+        F.col("seq").alias("id"), (F.col("r") - 1).alias("rank")
+    )
+    items = it.select(
+        F.col("seq").alias("id"),
+        F.when(F.col("seq") % 9 == 0, F.lit("comment")).otherwise(F.lit("story")).alias("type"),
+        "title",
+        F.unix_seconds("published").alias("time"),
+        F.when(F.col("seq") % 10 == 0, F.lit("ftp://x")).otherwise(F.col("url")).alias("url"),
+        F.col("hn_points").alias("score"),
+        (F.col("seq") % 50).cast("int").alias("descendants"),
+    )
+    return SRC.hn_items(ranked, items, "HN", "community", 2, _HN_CUTOFF)
+
+
+_HN_SQL = _with(NI, "r AS (SELECT *, row_number() OVER (ORDER BY hn_points DESC, seq) - 1 AS rank FROM news_items)") + f"""
+    SELECT seq, {O.py_strip('title')} AS title,
+           CASE WHEN seq % 10 = 0 THEN concat('https://news.ycombinator.com/item?id=', seq) ELSE url END AS url,
+           concat('HackerNews | ', hn_points, ' points | ', seq % 50, ' comments') AS description, hn_points
+    FROM r
+    WHERE rank < {C.HN_TOP_STORIES} AND seq % 9 <> 0 AND {O.py_strip('title')} <> ''
+      AND {O.contains_any('lower(title)', C.HN_SECURITY_TERMS)}
+      AND date_trunc('second', published) >= TIMESTAMP '{_HN_CUTOFF}'
+    ORDER BY rank LIMIT {C.HN_MAX_ITEMS}"""
+
+
+@register("read_hn", _HN_SQL)
+def q_read_hn(spark, sf):
+    return _hn(spark, sf).select("seq", "title", "url", "description", "hn_points")
+
+
+@register("hn_scan_limit", _HN_SQL.replace(f"SELECT seq, {O.py_strip('title')} AS title,", "SELECT seq, rank,").replace(
+    "CASE WHEN seq % 10 = 0 THEN concat('https://news.ycombinator.com/item?id=', seq) ELSE url END AS url,\n           concat('HackerNews | ', hn_points, ' points | ', seq % 50, ' comments') AS description, hn_points", "hn_points"))
+def q_hn_scan_limit(spark, sf):
+    it = _items(spark, sf)
+    ranked = R.order_index(it.select("seq", "hn_points"), [F.desc("hn_points"), F.asc("seq")], "r").select("seq", (F.col("r") - 1).alias("rank"))
+    return _hn(spark, sf).select("seq", "hn_points").join(ranked, "seq").select("seq", "rank", "hn_points")
+
+
+# Generic JSON feeds: one document per source, built from its first 60 items
+_FEED_ROWS = 60
+
+
+def _feed_docs(spark, sf) -> DataFrame:
+    it = _items(spark, sf).withColumn("n", F.substring("source_name", 4, 10).cast("long"))
+    top = R.top_per_group(it, "source_name", [F.asc("seq")], _FEED_ROWS, "_rn")
+    iso = F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    entry = F.to_json(
+        F.struct(
+            F.when(F.col("seq") % 7 != 0, F.col("title")).alias("title"),
+            F.when(F.col("seq") % 7 == 0, F.col("title")).alias("name"),
+            F.when(F.col("seq") % 5 != 0, F.col("url")).alias("url"),
+            F.when(F.col("seq") % 5 == 0, F.col("url")).alias("link"),
+            F.when(F.col("seq") % 4 != 0, F.col("description")).alias("description"),
+            F.when(F.col("seq") % 4 == 0, F.col("description")).alias("body"),
+            F.when(F.col("seq") % 6 != 0, iso).alias("published_at"),
+            F.when(F.col("seq") % 6 == 0, iso).alias("updated_at"),
+        )
+    )
+    docs = top.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("seq", entry.alias("j")))).alias("es"))
+    arr = F.concat(F.lit("["), F.array_join(F.transform("es", lambda x: x["j"]), ","), F.lit("]"))
+    text = (
+        F.when(F.col("n") % 3 == 0, arr)
+        .when(F.col("n") % 3 == 1, F.concat(F.lit('{"items": '), arr, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"meta": 1, "data": '), arr, F.lit("}")))
+    )
+    return docs.select(F.col("n").alias("feed_id"), text.alias("text"))
+
+
+_FEED_SQL = _with(
+    NI,
+    f"""fr AS (
+      SELECT *, CAST(substr(source_name, 4, 10) AS BIGINT) AS n,
+             row_number() OVER (PARTITION BY source_name ORDER BY seq) - 1 AS pos
+      FROM news_items QUALIFY pos < {C.JSON_FEED_MAX_RAW})""",
+)
+
+
+@register(
+    "read_json_feed",
+    _FEED_SQL
+    + f"""
+    SELECT n * 1000 + pos AS seq, {O.py_strip('title')} AS title, {O.py_strip('url')} AS url, published,
+           substr({O.py_strip("regexp_replace(description, '<[^>]+>', ' ', 'g')")}, 1, {C.DESCRIPTION_MAX}) AS description
+    FROM fr WHERE {O.py_strip('title')} <> '' AND regexp_matches({O.py_strip('url')}, {_SAFE})""",
+)
+def q_read_json_feed(spark, sf):
+    out = SRC.json_feed_items(_feed_docs(spark, sf), "feed", "blogs", 2, None, NOW)
+    return out.select("seq", "title", "url", F.col("published").cast("timestamp_ntz").alias("published"), "description")
+
+
+@register("first_n_per_feed", _FEED_SQL + "\nSELECT n AS feed, pos FROM fr")
+def q_first_n_per_feed(spark, sf):
+    out = SRC.json_feed_items(_feed_docs(spark, sf), "feed", "blogs", 2, None, NOW)
+    return out.select((F.col("seq") / 1000).cast("long").alias("feed"), (F.col("seq") % 1000).alias("pos"))
+
+
+# Source registry derived from the distinct sources of ``documents``
+_REG_TYPES = ["rss", "nvd_api", "osv_api", "hn_api", "json_api", "json_api", "smtp"]
+
+
+def _registry(spark, sf) -> DataFrame:
+    d = read_table(spark, sf, "documents", ["source"]).distinct()
+    n = F.substring("source", 4, 10).cast("int")
+    from ..sources.tables import CATEGORY_BY_MOD6
+
+    return d.select(
+        F.element_at(F.array(*[F.lit(c) for c in CATEGORY_BY_MOD6]), (n % 6 + 1)).alias("category"),
+        F.col("source").alias("name"),
+        F.element_at(F.array(*[F.lit(t) for t in _REG_TYPES]), (n % len(_REG_TYPES) + 1)).alias("type"),
+        F.when(n % 2 == 0, F.concat(F.lit("https://www.cisa.gov/feeds/"), n.cast("string"))).otherwise(F.concat(F.lit("https://feeds.example.com/"), n.cast("string"))).alias("url"),
+        F.when(n % 5 == 0, F.lit(None).cast("int")).otherwise((n % 3 + 1).cast("int")).alias("tier"),
+        F.when(n % 6 == 0, F.lit(False)).when(n % 6 == 1, F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("enabled"),
+    )
+
+
+def _reg_sql() -> str:
+    from ..sources.tables import CATEGORY_BY_MOD6
+
+    cats = "[" + ", ".join(O.q(c) for c in CATEGORY_BY_MOD6) + "]"
+    types = "[" + ", ".join(O.q(t) for t in _REG_TYPES) + "]"
+    return f"""reg AS (
+      SELECT {cats}[1 + n % 6] AS category, source AS name, {types}[1 + n % {len(_REG_TYPES)}] AS type,
+             CASE WHEN n % 2 = 0 THEN concat('https://www.cisa.gov/feeds/', n) ELSE concat('https://feeds.example.com/', n) END AS url,
+             CASE WHEN n % 5 = 0 THEN NULL ELSE 1 + n % 3 END AS tier,
+             CASE WHEN n % 6 = 0 THEN false WHEN n % 6 = 1 THEN NULL ELSE true END AS enabled
+      FROM (SELECT DISTINCT source, CAST(substr(source, 4, 10) AS INT) AS n FROM documents)),
+    active AS (
+      SELECT name, category, coalesce(tier, {C.DEFAULT_TIER}) AS tier,
+             CASE type WHEN 'rss' THEN 'rss' WHEN 'nvd_api' THEN 'nvd' WHEN 'osv_api' THEN 'osv' WHEN 'hn_api' THEN 'hn'
+                       WHEN 'json_api' THEN CASE WHEN contains(lower(url), 'cisa') THEN 'kev' ELSE 'json_feed' END END AS parser
+      FROM reg WHERE coalesce(enabled, true))"""
+
+
+@register("source_registry_dispatch", _with(_reg_sql()) + "\nSELECT name, category, tier, parser FROM active WHERE parser IS NOT NULL")
+def q_registry_dispatch(spark, sf):
+    return SRC.active_registry(_registry(spark, sf)).select("name", "category", "tier", "parser")
+
+
+@register(
+    "source_registry_join",
+    _with(_reg_sql())
+    + "\nSELECT d.doc_id, d.source AS source_name, a.category AS source_category, a.tier AS source_tier, a.parser FROM documents d JOIN active a ON a.name = d.source WHERE a.parser IS NOT NULL",
+)
+def q_registry_join(spark, sf):
+    docs = read_table(spark, sf, "documents", ["doc_id", "source"]).withColumnRenamed("source", "source_name")
+    return SRC.attach_registry(docs, _registry(spark, sf)).select("doc_id", "source_name", "source_category", "source_tier", "parser")
+
+
+@register(
+    "merge_sources",
+    _with(NI, _PAGES_ENTRIES)
+    + f"""
+    SELECT seq, 'documents' AS origin, source_name, title FROM news_items
+    UNION ALL
+    SELECT seq, 'pages' AS origin, 'pages' AS source_name, {O.py_strip('t')} AS title
+    FROM pe WHERE {O.py_strip('t')} <> '' AND regexp_matches({O.py_strip('link')}, {_SAFE})""",
+)
+def q_merge_sources(spark, sf):
+    a = _items(spark, sf).select("seq", F.lit("documents").alias("origin"), "source_name", "title")
+    pages = SRC.rss_items(SRC.pages_as_entries(read_table(spark, sf, "pages", ["page_id", "url", "html"])), "pages", "blogs", 2, None, NOW)
+    b = pages.select("seq", F.lit("pages").alias("origin"), "source_name", "title")
+    return R.merge_sources(a, b)

@@ -148,7 +148,7 @@ def cvss_metric_pick(metrics: Column) -> Column:
     for k in ["cvssMetricV31", "cvssMetricV30", "cvssMetricV2"]:
         lst = metrics[k]
         cond = F.coalesce(F.size(lst), F.lit(0)) > 0
-        val = F.coalesce(F.element_at(lst, 1)["cvssData"]["baseScore"], F.lit(0.0))
+        val = F.coalesce(F.try_element_at(lst, F.lit(1))["cvssData"]["baseScore"], F.lit(0.0))
         expr = F.when(cond, val) if expr is None else expr.when(cond, val)
     return expr.otherwise(F.lit(None).cast("double"))
 
@@ -164,7 +164,7 @@ def nvd_items(vulns: DataFrame, name: str, category: str, tier: int, now) -> Dat
     cve = F.col("v.cve")
     cid = F.coalesce(cve["id"], F.lit(""))
     en = F.filter(F.coalesce(cve["descriptions"], F.array()), lambda d: d["lang"] == "en")
-    desc = F.substring(F.coalesce(F.element_at(en, 1)["value"], F.lit("")), 1, C.DESCRIPTION_MAX)
+    desc = F.substring(F.coalesce(F.try_element_at(en, F.lit(1))["value"], F.lit("")), 1, C.DESCRIPTION_MAX)
     out = vulns.select(
         "seq",
         cve_title(cid, desc).alias("title"),
@@ -207,7 +207,7 @@ def read_osv(spark: SparkSession, root: str) -> DataFrame:
 
 def cvss_vector_score(severity: Column) -> Column:
     """First CVSS_V3/CVSS_V4 entry's 'BS:<n>' value; later entries are not tried."""
-    first = F.element_at(F.filter(F.coalesce(severity, F.array()), lambda s: s["type"].isin("CVSS_V3", "CVSS_V4")), 1)
+    first = F.try_element_at(F.filter(F.coalesce(severity, F.array()), lambda s: s["type"].isin("CVSS_V3", "CVSS_V4")), F.lit(1))
     bs = F.regexp_extract(F.coalesce(first["score"], F.lit("")), r"BS:([\d.]+)", 1)
     return F.when(bs != "", bs.try_cast("double"))
 
@@ -259,7 +259,7 @@ def archive_manifest_guard(
     The total is a grouped sum joined back (no window over the group).
     """
     totals = manifest.groupBy("ecosystem").agg(F.sum("file_size").alias("_total"))
-    parts = F.split(F.regexp_replace("filename", r"\\\\", "/"), "/")
+    parts = F.split(F.regexp_replace("filename", r"\\", "/"), "/")
     safe = (
         ~F.col("filename").startswith("/")
         & ~F.array_contains(parts, "..")
