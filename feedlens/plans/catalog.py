@@ -1258,3 +1258,18 @@ def q_merge_sources(spark, sf):
     pages = SRC.rss_items(SRC.pages_as_entries(read_table(spark, sf, "pages", ["page_id", "url", "html"])), "pages", "blogs", 2, None, NOW)
     b = pages.select("seq", F.lit("pages").alias("origin"), "source_name", "title")
     return R.merge_sources(a, b)
+
+
+# ---------------------------------------------------------------- streaming (ST1, ST2): rows-only checks
+
+from ..streaming.ingest import run_ingest_dedup, run_report_refresh  # noqa: E402
+
+
+@register("stream_ingest_dedup")
+def q_stream_ingest_dedup(spark, sf):
+    return run_ingest_dedup(_items(spark, sf)).select("fp", "source_category")
+
+
+@register("stream_report_refresh")
+def q_stream_report_refresh(spark, sf):
+    return run_report_refresh(_items(spark, sf), NOW, days=INCIDENT_DAYS, min_score=MIN_SCORE, threshold=THRESHOLD).select("idx", "seq", "score")
