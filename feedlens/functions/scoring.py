@@ -27,7 +27,8 @@ def age_hours(published: Column, now) -> Column:
 
 
 def cvss_component(cvss: Column, weight: float) -> Column:
-    return F.coalesce(F.least(cvss, F.lit(10.0)) / F.lit(10.0) * F.lit(float(weight)), F.lit(0.0))
+    """Missing CVSS scores 0 (``least`` would skip the NULL and give 10)."""
+    return F.when(cvss.isNull(), F.lit(0.0)).otherwise(F.least(cvss, F.lit(10.0)) / F.lit(10.0) * F.lit(float(weight)))
 
 
 def recency_component(age: Column, weight: float) -> Column:

@@ -138,7 +138,7 @@ _W = C.DEFAULT_WEIGHTS
 _scalar(
     "cvss_component",
     lambda: F.round(S.cvss_component(F.col("cvss_score"), _W["cvss_weight"]), 9),
-    f"round(coalesce(least(cvss_score, 10.0::DOUBLE) / 10.0::DOUBLE * {_W['cvss_weight']}::DOUBLE, 0.0::DOUBLE), 9)",
+    f"round(CASE WHEN cvss_score IS NULL THEN 0.0::DOUBLE ELSE least(cvss_score, 10.0::DOUBLE) / 10.0::DOUBLE * {_W['cvss_weight']}::DOUBLE END, 9)",
 )
 _scalar(
     "recency_component",

@@ -64,7 +64,7 @@ def score_expr() -> str:
     hits = contains_count(text, C.DEFAULT_WATCHLIST)
     tier = " ".join(f"WHEN {t} THEN {s}::DOUBLE" for t, s in C.TIER_SHARE.items())
     return f"""round(least(
-        coalesce(least(cvss_score, 10.0::DOUBLE) / 10.0::DOUBLE * {w['cvss_weight']}::DOUBLE, 0.0::DOUBLE)
+        CASE WHEN cvss_score IS NULL THEN 0.0::DOUBLE ELSE least(cvss_score, 10.0::DOUBLE) / 10.0::DOUBLE * {w['cvss_weight']}::DOUBLE END
         + {w['recency_weight']}::DOUBLE * pow(0.5::DOUBLE, {age_hours()} / 12.0::DOUBLE)
         + (CASE source_tier {tier} ELSE {C.TIER_OTHER}::DOUBLE END) * {w['source_tier_weight']}::DOUBLE
         + (CASE WHEN hn_points <= 0 THEN 0.0::DOUBLE ELSE least(ln(hn_points + 1) / ln(501), 1.0::DOUBLE) * {w['engagement_weight']}::DOUBLE END)

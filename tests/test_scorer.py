@@ -12,7 +12,7 @@ W = {"cvss_weight": 30, "recency_weight": 25, "source_tier_weight": 20, "engagem
 
 def _score(spark, rows, watchlist=()):
     df = make_items(spark, rows)
-    return [r.s for r in df.select(relevance_score(NOW, list(watchlist), W).alias("s")).orderBy(F.lit(1)).collect()]
+    return [r.s for r in df.select("seq", relevance_score(NOW, list(watchlist), W).alias("s")).orderBy("seq").collect()]
 
 
 def _py_score(cvss, age, tier, points, hits):
