@@ -87,3 +87,14 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     """Broadcast ``df`` only when a count proves it small; otherwise leave
     the join to a shuffle (AQE splits skewed partitions)."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def write_report(df: DataFrame, path: str, fmt: str = "parquet", order: list[str] | None = None) -> None:
+    """SNK1/SNK2: persist a report table.
+
+    The ordering columns (cluster_rank/item_rank or idx) are kept as data,
+    so readers sort on them; rows are range-partitioned on them so each
+    output file holds a contiguous slice of the report.
+    """
+    out = df.repartitionByRange(*order) if order else df
+    out.write.mode("overwrite").format(fmt).save(path)

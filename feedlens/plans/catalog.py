@@ -1273,3 +1273,49 @@ def q_stream_ingest_dedup(spark, sf):
 @register("stream_report_refresh")
 def q_stream_report_refresh(spark, sf):
     return run_report_refresh(_items(spark, sf), NOW, days=INCIDENT_DAYS, min_score=MIN_SCORE, threshold=THRESHOLD).select("idx", "seq", "score")
+
+
+# ---------------------------------------------------------------- sinks (SNK1, SNK2), S12, A6 keyword frequencies
+
+import uuid  # noqa: E402
+
+
+def _sink_roundtrip(df: DataFrame, order: list[str]) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex[:12]}"
+    R.write_report(df, path, "parquet", order)
+    return spark.read.parquet(path)
+
+
+@register("digest_table", _DIGEST_SQL)
+def q_digest_table(spark, sf):
+    return _sink_roundtrip(_digest_rows(_digest(spark, sf)), ["cluster_rank", "item_rank"])
+
+
+@register("incident_table", _INCIDENT_SQL)
+def q_incident_table(spark, sf):
+    rep = incident_report(_items(spark, sf), NOW, days=INCIDENT_DAYS, min_score=MIN_SCORE, threshold=THRESHOLD)
+    return _sink_roundtrip(_incident_rows(rep), ["idx"])
+
+
+@register(
+    "py_title",
+    _with(NI)
+    + f"""
+    SELECT DISTINCT kw, {O.py_title_sql('kw')} AS titled
+    FROM (SELECT unnest({O.keywords_expr(O.keyword_text())}) AS kw FROM news_items)""",
+)
+def q_py_title(spark, sf):
+    k = with_keywords(_items(spark, sf)).select(F.explode("keywords").alias("kw")).distinct()
+    return k.select("kw", T.py_title("kw").alias("titled"))
+
+
+@register("cluster_keyword_freq", _TOPIC + "\nSELECT comp, kw, cnt FROM tp_freq")
+def q_cluster_kw_freq(spark, sf):
+    _, members = cluster(_topic_items(spark, sf))
+    return (
+        members.where(~F.col("is_other"))
+        .select("comp", F.explode(F.array_distinct("keywords")).alias("kw"))
+        .groupBy("comp", "kw")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+    )
