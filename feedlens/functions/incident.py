@@ -1,7 +1,8 @@
 """Incident field extraction (S25–S31) as one struct of native expressions.
 
 Rules are tried in order; the first matching pattern wins, exactly as a
-CASE WHEN chain evaluates. Patterns run with ``(?iUd)``: case-insensitive
+CASE WHEN chain evaluates. Each regex is preceded by a literal pre-check
+(``rule_guard``) that skips the scan on texts that cannot match. Patterns run with ``(?iUd)``: case-insensitive
 with Unicode classes (Python's defaults) and '.' stopping only at '\\n'.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .rule_guard import guard
 from .text import py_strip
 
 FLAGS = "(?iUd)"
@@ -33,7 +35,7 @@ def incident_type(text: Column) -> Column:
     """S25."""
     expr = None
     for pat, label in C.INCIDENT_TYPE_RULES:
-        cond = text.rlike(_rx(pat))
+        cond = guard(text, pat) & text.rlike(_rx(pat))
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     return expr.otherwise(F.lit(C.INCIDENT_TYPE_DEFAULT))
 
@@ -50,7 +52,7 @@ def root_cause(text: Column) -> Column:
     """S28."""
     expr = None
     for pat, template in C.ROOT_CAUSE_RULES:
-        cond = text.rlike(_rx(pat))
+        cond = guard(text, pat) & text.rlike(_rx(pat))
         val = _templated(text, pat, template)
         expr = F.when(cond, val) if expr is None else expr.when(cond, val)
     return expr.otherwise(F.lit(C.ROOT_CAUSE_DEFAULT))
@@ -64,7 +66,7 @@ def impact(text: Column) -> Column:
     """First matching rule, stripped, then first letter up and the rest down."""
     expr = None
     for pat, template in C.IMPACT_RULES:
-        cond = text.rlike(_rx(pat))
+        cond = guard(text, pat) & text.rlike(_rx(pat))
         val = py_capitalize(py_strip(_templated(text, pat, template)))
         expr = F.when(cond, val) if expr is None else expr.when(cond, val)
     return expr.otherwise(F.lit(C.IMPACT_DEFAULT))
@@ -109,8 +111,8 @@ def victim(text: Column) -> Column:
 
 def fix_status(text: Column) -> Column:
     """TRUE when a fix signal is present, FALSE when only a no-fix signal, else NULL."""
-    has_fix = text.rlike(_rx(C.FIX_SIGNAL_PATTERN))
-    no_fix = text.rlike(_rx(C.NO_FIX_SIGNAL_PATTERN))
+    has_fix = guard(text, C.FIX_SIGNAL_PATTERN) & text.rlike(_rx(C.FIX_SIGNAL_PATTERN))
+    no_fix = guard(text, C.NO_FIX_SIGNAL_PATTERN) & text.rlike(_rx(C.NO_FIX_SIGNAL_PATTERN))
     return F.when(has_fix, F.lit(True)).when(no_fix, F.lit(False)).otherwise(F.lit(None).cast("boolean"))
 
 
