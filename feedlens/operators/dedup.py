@@ -19,6 +19,7 @@ from ..session import cut_lineage
 from .. import constants as C
 from ..functions import text as T
 from .graph import greedy_leaders
+from .report import skew_safe_join
 from .similarity import similar_title_pairs
 
 ITEM_COLS = [
@@ -127,7 +128,11 @@ def deduplicate(items: DataFrame, threshold: float = C.DEFAULT_SIMILARITY_THRESH
     canon = cut_lineage(exact_dedup(items))
     grouped = cut_lineage(fuzzy_groups(canon, threshold))
     survivors = grouped.where("is_leader").drop("is_leader", "leader_fp")
-    exact = exact_attribution(items).join(survivors.select("fp"), "fp", "left_semi").select(
+    # a fingerprint can hold a large share of all copies: keep the rows of
+    # surviving fingerprints with a join that splits hot keys
+    exact = skew_safe_join(
+        cut_lineage(exact_attribution(items)), survivors.select("fp").withColumn("_keep", F.lit(True)), ["fp"]
+    ).select(
         "fp", F.lit(0).alias("stage"), F.struct(F.col("ord").alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3")).alias("ord"), "source_name"
     )
     fuzzy = grouped.where(~F.col("is_leader")).select(

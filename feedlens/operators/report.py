@@ -98,3 +98,36 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", order: list[str
     """
     out = df.repartitionByRange(*order) if order else df
     out.write.mode("overwrite").format(fmt).save(path)
+
+
+def skew_safe_join(
+    big: DataFrame,
+    small: DataFrame,
+    keys: list[str],
+    how: str = "inner",
+    salts: int = 32,
+    hot_fraction: float = 0.001,
+) -> DataFrame:
+    """Join ``big`` to ``small`` (at most one row per key) so that no hot
+    key lands in a single task.
+
+    Keys holding more than ``hot_fraction`` of ``big``'s rows are found with
+    a partial aggregate; there are at most ``1 / hot_fraction`` of them, so
+    that list has a proven size and is broadcast. Rows of a hot key are
+    spread over ``salts`` sub-keys by a hash of the row; the matching
+    ``small`` row is replicated once per sub-key. Cold keys join as usual.
+    """
+    total = big.count()
+    limit = max(1, int(total * hot_fraction))
+    hot = (
+        big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+        .select(*keys).withColumn("_hot", F.lit(True))
+    )
+    salt_of_row = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    b = big.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), salt_of_row).otherwise(F.lit(0))
+    ).drop("_hot")
+    s = small.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    ).drop("_hot")
+    return b.join(s, keys + ["_salt"], how).drop("_salt")

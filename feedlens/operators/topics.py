@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
+from ..session import cut_lineage
 from .graph import connected_components
+from .report import skew_safe_join
 
 
 def with_keywords(items: DataFrame) -> DataFrame:
@@ -53,9 +55,12 @@ def shared_keyword_pairs(items: DataFrame, item_col: str = "item", min_shared: i
 
 def topic_components(items: DataFrame, item_col: str = "item") -> DataFrame:
     """A5: (item, comp) for items linked to at least one other item."""
-    kp = keyword_pairs(items, item_col)
+    kp = cut_lineage(keyword_pairs(items, item_col))
     heads = kp.groupBy("k1", "k2").agg(F.min("item").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
-    edges = kp.join(heads.select("k1", "k2", "head"), ["k1", "k2"]).where(F.col("item") != F.col("head")).select(
+    # a popular keyword pair can hold a large share of all items: hot pairs
+    # are split over salted sub-keys for the join back to their head
+    linked = skew_safe_join(kp, heads.select("k1", "k2", "head"), ["k1", "k2"])
+    edges = linked.where(F.col("item") != F.col("head")).select(
         F.col("item").alias("a"), F.col("head").alias("b")
     ).distinct()
     return connected_components(edges).select(F.col("node").alias("item"), "comp")
