@@ -16,6 +16,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # JSON objects with a repeated key keep the last value, as json.loads does
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -27,7 +29,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.variant.allowDuplicateKeys", "true")
     )
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
