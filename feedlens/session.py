@@ -7,8 +7,9 @@ one. ``local_session`` exists for tests, the bench and the smoke entry.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package assumes.
 REQUIRED_CONF = {
@@ -58,21 +59,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="feedlens-ckpt-")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
 
 
-def cut_lineage(df):
-    """Materialise ``df`` in the checkpoint folder and return the re-read.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and return the re-read.
 
-    The plan is persisted first so it runs once: a bare ``checkpoint()``
-    computes it for the action and again for the write.
+    Later steps keep column pruning, filters and size estimates, and a lost
+    executor costs only its running tasks.
     """
-    from pyspark import StorageLevel
-
-    checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist(blocking=False)
-    return out
+    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete every cut point of this session; call when its results have been written."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for kind in ("cut-", "llm-"):
+        for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, f"{kind}*")) or []:
+            fs.delete(found.getPath(), True)
