@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, simhash, tokens, toxicity
-from .common import id_fold, table
+from . import decontam, langid, mtree, packing, quality, sharding, simhash, tokens, toxicity, warc
+from .common import id_fold, scratch_path, staged, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -17,6 +17,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(docs, labels, id_fold("doc_id", 5) != 0)
@@ -45,6 +49,26 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    # the parsed records are written once: both sides of the revisit lookup read them
+    captured = staged(warc.assemble(warc.read_records(spark, path, payload=False)), "captures")
+    found = warc.resolve_revisits(captured)
+    revisit = F.col("answer.warc_type") == "revisit"
+    return found.select(
+        F.col("metadata.fields")["page-id"].cast("bigint").alias("page_id"),
+        F.when(revisit, F.col("original.payload_bytes")).otherwise(F.col("answer.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("original.payload_sha1")).otherwise(F.col("answer.payload_sha1")).alias("payload_digest"),
+        F.col("answer.warc_type").alias("record_type"),
+        F.when(revisit, F.col("original.page_id")).alias("refers_to"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2)
 
@@ -57,13 +81,51 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mtree_topk": op1_mtree_topk,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
+    "op7_sharding": op7_sharding,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_quality_pu": op10_quality_pu,
 }
 
-ORACLES: dict[str, str] = {}
+_TOP_K_SQL = """
+WITH vecs AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM vecs q JOIN vecs c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+_WARC_SQL = """
+WITH captured AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hexed FROM pages
+),
+digested AS (
+  SELECT page_id, payload_bytes,
+         array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(hexed, (5 * (k // 4) + 1)::INTEGER, 5))::INTEGER) >> (15 - 5 * (k % 4))::INTEGER) & 31) + 1, 1)), '') AS payload_digest
+  FROM captured
+),
+newest AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS answer FROM digested)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN answer = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN answer <> page_id THEN answer END AS refers_to
+FROM newest
+"""
+
+#: Models, tokenizers, signatures and shard keys have no SQL form; their tests use brute force.
+ORACLES: dict[str, str] = {"op1_mtree_topk": _TOP_K_SQL, "op8_warc": _WARC_SQL}
