@@ -110,7 +110,7 @@ def logits_of(x, mean, scale, values):
     return h @ w2 + b2
 
 
-def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24, epochs: int = 40, rate: float = 3e-3, batch: int = 512, seed: int = 11) -> Net:
+def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500, rate: float = 3e-3, batch: int = 512, seed: int = 11) -> Net:
     """Adam on the non-negative risk; where the corrected part goes below zero, its gradient is turned round."""
     rng = np.random.default_rng(seed)
     mean, scale = unl.mean(0), unl.std(0) + 1e-6
@@ -119,6 +119,7 @@ def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24,
     values = [rng.normal(0, np.sqrt(2 / d), (d, hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(())]
     m, v, step = [np.zeros_like(x) for x in values], [np.zeros_like(x) for x in values], 0
     rounds = max(1, len(u) // batch)
+    epochs = -(-steps // rounds)
     for epoch in range(epochs):
         pu, pp = rng.permutation(len(u)), rng.permutation(len(p))
         for k in range(rounds):
@@ -167,7 +168,7 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> tuple[Net | None, float]:
     a, b = np.arange(len(pos)) % 2 == 0, np.arange(len(unl)) % 2 == 0
     found = []
     for flip in (False, True):
-        first = train_nnpu(pos[a ^ flip], unl[b ^ flip], 0.5, epochs=12)
+        first = train_nnpu(pos[a ^ flip], unl[b ^ flip], 0.5, steps=500)
         found.append(estimate_prior(first.logits(pos[~(a ^ flip)]), first.logits(unl[~(b ^ flip)])))
     prior = float(np.mean(found))
     return train_nnpu(pos, unl, prior), prior
