@@ -5,8 +5,8 @@ a substituted word there doesn't break the match. Test passages are hashed under
 every mask; the documents' windows are hashed alike and joined with them. Each hit
 names a document, a passage and an alignment; along it, words are compared one to one,
 and the pair counts as an overlap where some window of 13 words (the whole passage,
-if shorter) agrees in at least 80 % of them. The three masks are lossless for that rule: any
-two substitutions in 13 words leave one of them a hit.
+if shorter) agrees in at least 80 % of them. The masks are lossless for that rule: any
+two substitutions in 13 words leave one of the three a hit.
 
 The benchmark is taken in blocks of a bounded number of words, so what a task holds
 doesn't grow with it; every block meets all documents in one scan, without a shuffle.
@@ -19,6 +19,7 @@ and null ids of documents each give their own rows; empty tables give no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -44,11 +45,18 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def mask_offsets(lengths: set[int]) -> list[tuple[int, ...]]:
-    """Positions that count, per mask. Passages shorter than a mask are matched whole, by a mask of their length."""
-    fixed = [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS]
-    longest = max(map(len, MASKS))
-    return fixed + [tuple(range(n)) for n in sorted(lengths) if n < longest]
+def mask_offsets(lengths: set[int]) -> list[tuple[tuple[int, ...], int | None]]:
+    """(positions that count, length of the passages that the mask is for; None: any of 13 words or more).
+
+    A shorter passage of n words may differ in e of them; its mask takes every (e + 1)-th
+    word, so any e substitutions leave one of the mask's places within it whole.
+    """
+    fixed = [(tuple(i for i, c in enumerate(m) if c == "1"), None) for m in MASKS]
+    short = []
+    for n in sorted(x for x in lengths if x < WINDOW):
+        step = n - math.ceil(AGREE * n - 1e-9) + 1
+        short.append((tuple(range(0, step * (n // step), step)), n))
+    return fixed + short
 
 
 def seed_hashes(ids: np.ndarray, offsets: tuple[int, ...], which: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +88,12 @@ class TestIndex:
         self.length = np.array([len(c) for c in coded], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.codes = np.concatenate(coded) if coded else np.zeros(0, np.int64)
-        self.offsets = mask_offsets({len(c) for c in coded})
+        masks = mask_offsets({len(c) for c in coded})
+        self.offsets = [m for m, _ in masks]
         hashes, item, place = [], [], []
-        for which, offsets in enumerate(self.offsets):
-            whole = which >= len(MASKS)
+        for which, (offsets, length) in enumerate(masks):
             for k, c in enumerate(coded):
-                # a whole-passage mask is for passages of that very length only
-                if whole and len(c) != len(offsets):
+                if len(c) != length if length else len(c) < WINDOW:
                     continue
                 at, h = seed_hashes(c, offsets, which)
                 hashes.append(h)
