@@ -61,7 +61,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(captured)
     revisit = F.col("answer.warc_type") == "revisit"
     return found.select(
-        F.col("metadata.fields")["page-id"].cast("bigint").alias("page_id"),
+        F.col("metadata.fields")["page-id"].try_cast("bigint").alias("page_id"),
         F.when(revisit, F.col("original.payload_bytes")).otherwise(F.col("answer.payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("original.payload_sha1")).otherwise(F.col("answer.payload_sha1")).alias("payload_digest"),
         F.col("answer.warc_type").alias("record_type"),

@@ -210,10 +210,10 @@ def splice(encoded: DataFrame) -> DataFrame:
     pair = encoded.join(nxt, ["key", "part"], "left")
     # a common boundary: same place, same tokens from there on
     common = F.expr(
-        "filter(tail, t -> exists(next_head, x -> x.at = t.at and x.h = t.h))[0]"
+        "get(filter(tail, t -> exists(next_head, x -> x.at = t.at and x.h = t.h)), 0)"
     )
     pair = pair.withColumn("meet", F.when(F.col("part") < F.col("last"), common))
-    other = F.expr("filter(next_head, x -> x.at = meet.at)[0].n")
+    other = F.expr("get(filter(next_head, x -> x.at = meet.at), 0).n")
     # this chunk counts up to the boundary; the next one must leave out what it has before it
     own = F.when(F.col("part") == F.col("last"), F.col("n")).otherwise(F.col("meet.n") - other)
     return pair.groupBy("key").agg(F.sum(own).alias("n_tokens"), F.min(((F.col("part") == F.col("last")) | F.col("meet").isNotNull()).cast("int")).alias("ok"))

@@ -51,7 +51,7 @@ def bag_rows(sample: DataFrame, bits: int) -> DataFrame:
     return score_rows(sample, "text", make, {"buckets": pa.list_(pa.int32())}, "buckets array<int>")
 
 
-def train(ids: list[np.ndarray], y: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = 8, rate: float = 0.5, batch: int = 64, seed: int = 7) -> ToxicModel:
+def train(ids: list[np.ndarray], y: np.ndarray, bits: int = BITS, dim: int = DIM, steps: int = 750, rate: float = 0.5, batch: int = 64, seed: int = 7) -> ToxicModel:
     """Joint AdaGrad descent on bucket vectors and softmax; both classes weigh the same."""
     rng = np.random.default_rng(seed)
     emb = (rng.random((1 << bits, dim), dtype=np.float32) - 0.5) / dim
@@ -60,6 +60,7 @@ def train(ids: list[np.ndarray], y: np.ndarray, bits: int = BITS, dim: int = DIM
     g_emb = np.full((1 << bits, 1), 1e-6, np.float32)
     g_out, g_off = np.full_like(out, 1e-6), np.full_like(off, 1e-6)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    epochs = -(-steps * batch // max(1, len(y)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = rng.permutation(len(y))

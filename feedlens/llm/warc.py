@@ -195,7 +195,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def resolve_revisits(captured: DataFrame) -> DataFrame:
     """Adds ``original``: for a revisit the page and payload of the response that it refers to."""
-    page = F.col("metadata.fields")["page-id"].cast("bigint")
+    page = F.col("metadata.fields")["page-id"].try_cast("bigint")
     responses = captured.where("answer.warc_type = 'response'").select(
         F.col("capture_id").alias("_of"), F.struct(page.alias("page_id"), F.col("answer.payload_bytes").alias("payload_bytes"), F.col("answer.payload_sha1").alias("payload_sha1"), F.col("answer.payload").alias("payload")).alias("original")
     )

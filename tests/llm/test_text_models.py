@@ -42,7 +42,7 @@ def test_subwords_against_a_plain_enumeration():
             seen[a, b] = shared
 
 
-def labelled(spark, n=600, seed=3):
+def labelled(spark, n=1500, seed=3):
     rng = random.Random(seed)
     vocab = words(rng, 400).split()
     docs, labels = [], []
