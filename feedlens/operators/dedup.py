@@ -95,7 +95,8 @@ def fuzzy_groups(canon: DataFrame, threshold: float = C.DEFAULT_SIMILARITY_THRES
     are always similar, so the scan's outcome is decided per distinct
     title: the title's first item (scan order) stands for it, the title
     graph (J1 pairs) gets the greedy leader pass, and every other item
-    follows the first item of its title's leader.
+    follows the first item of its title's leader. A title is known by the
+    hash of its text, so items of several sources may share ``seq`` values.
 
     Returns canon's columns plus ``nt``, ranks, ``leader_fp`` and
     ``is_leader``.
@@ -103,7 +104,7 @@ def fuzzy_groups(canon: DataFrame, threshold: float = C.DEFAULT_SIMILARITY_THRES
     c = scan_rank_cols(canon).withColumn("nt", T.normalize_title("title"))
     first = F.min(F.struct(*[F.col(k) for k in RANK_COLS], F.col("fp")))
     titles = c.groupBy("nt").agg(first.alias("f")).select(
-        "nt", F.col("f.r_pos").alias("tid"), *[F.col(f"f.{k}").alias(k) for k in RANK_COLS], F.col("f.fp").alias("first_fp")
+        "nt", F.xxhash64("nt").alias("tid"), *[F.col(f"f.{k}").alias(k) for k in RANK_COLS], F.col("f.fp").alias("first_fp")
     )
     titles = cut_lineage(titles)
     pairs = similar_title_pairs(titles.select("tid", "nt"), threshold)

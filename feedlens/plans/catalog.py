@@ -746,10 +746,12 @@ def q_incident_report_enriched(spark, sf):
 @register(
     "enrichment_request",
     _with(NI)
-    + f"\nSELECT seq, printf({O.q(E.REQUEST_TEMPLATE)}, title, substr(coalesce(description, ''), 1, {C.ENRICH_DESC_MAX})) AS request FROM news_items",
+    + f"\nSELECT seq, printf({O.q(E.REQUEST_TEMPLATE)}, title, substr(coalesce(text, ''), 1, {C.ENRICH_DESC_MAX})) AS request FROM news_items JOIN documents ON doc_id = seq",
 )
 def q_enrichment_request(spark, sf):
-    return _items(spark, sf).select("seq", E.enrichment_request(F.col("title"), F.col("description")).alias("request"))
+    whole = read_table(spark, sf, "documents", ["doc_id", "text"])
+    it = _items(spark, sf).select("seq", "title").join(whole, F.col("doc_id") == F.col("seq"))
+    return it.select("seq", E.enrichment_request(F.col("title"), F.col("text")).alias("request"))
 
 
 # ---------------------------------------------------------------- sources (SRC1–SRC8) and their scalars
@@ -818,10 +820,16 @@ def q_required_fields(spark, sf):
 
 _CVE_EVENTS_SQL = """ce AS (
       SELECT event_id, CASE WHEN event_id % 23 = 0 THEN concat('GHSA-', CAST(user_id AS VARCHAR))
-             ELSE concat('CVE-', CAST(2010 + event_id % 16 AS VARCHAR), '-', lpad(CAST(user_id AS VARCHAR), 4, '0')) END AS cve_id
+             ELSE concat('CVE-', CAST(2010 + event_id % 16 AS VARCHAR), '-', lpad(CAST(user_id AS VARCHAR), greatest(4, length(CAST(user_id AS VARCHAR)))::INT, '0')) END AS cve_id
       FROM events)"""
 
 
+def _padded(col: str, n: int):
+    """A number as text of at least ``n`` digits; longer ones stay whole."""
+    x = F.col(col).cast("string")
+    return F.lpad(x, F.greatest(F.lit(n), F.length(x)), F.lit("0"))
+
+
 @register(
     "legacy_cve_filter",
     _with(_CVE_EVENTS_SQL)
@@ -832,7 +840,7 @@ def q_legacy_cve(spark, sf):
     ce = ev.select(
         "event_id",
         F.when(F.col("event_id") % 23 == 0, F.concat(F.lit("GHSA-"), F.col("user_id").cast("string")))
-        .otherwise(F.concat(F.lit("CVE-"), (F.lit(2010) + F.col("event_id") % 16).cast("string"), F.lit("-"), F.lpad(F.col("user_id").cast("string"), 4, "0")))
+        .otherwise(F.concat(F.lit("CVE-"), (F.lit(2010) + F.col("event_id") % 16).cast("string"), F.lit("-"), _padded("user_id", 4)))
         .alias("cve_id"),
     )
     return FL.legacy_cve(ce, "cve_id")
@@ -863,7 +871,7 @@ def q_parse_timestamp(spark, sf):
 # NVD records derived from the item table, serialised to JSON and parsed back
 def _nvd_records(spark, sf) -> DataFrame:
     it = _items(spark, sf)
-    cid = F.concat(F.lit("CVE-2024-"), F.lpad(F.col("seq").cast("string"), 5, "0"))
+    cid = F.concat(F.lit("CVE-2024-"), _padded("seq", 5))
     metric = F.array(F.struct(F.struct(F.col("cvss_score").alias("baseScore")).alias("cvssData")))
     empty = F.array().cast(SRC._METRIC)
     metrics = F.struct(
@@ -892,7 +900,7 @@ def _nvd_records(spark, sf) -> DataFrame:
            d AS description,
            CASE seq % 4 WHEN 1 THEN coalesce(cvss_score, 0.0) WHEN 2 THEN coalesce(cvss_score, 0.0) WHEN 3 THEN 0.0 ELSE NULL END AS cvss_score,
            cid AS cve
-    FROM (SELECT *, concat('CVE-2024-', lpad(CAST(seq AS VARCHAR), 5, '0')) AS cid, substr(description, 1, {C.DESCRIPTION_MAX}) AS d FROM news_items)""",
+    FROM (SELECT *, concat('CVE-2024-', lpad(CAST(seq AS VARCHAR), greatest(5, length(CAST(seq AS VARCHAR)))::INT, '0')) AS cid, substr(description, 1, {C.DESCRIPTION_MAX}) AS d FROM news_items)""",
 )
 def q_read_nvd(spark, sf):
     out = SRC.nvd_items(_nvd_records(spark, sf), "NVD", "cve", 1, NOW)
@@ -912,7 +920,7 @@ def q_cvss_pick(spark, sf):
     _with(NI)
     + f"""
     SELECT seq, CASE WHEN length(d) > 0 THEN concat(cid, ': ', substr(d, 1, {C.NVD_TITLE_DESC_MAX}), CASE WHEN length(d) > {C.NVD_TITLE_DESC_MAX} THEN '...' ELSE '' END) ELSE cid END AS title
-    FROM (SELECT seq, concat('CVE-2024-', lpad(CAST(seq AS VARCHAR), 5, '0')) AS cid, substr(description, 1, {C.DESCRIPTION_MAX}) AS d FROM news_items)""",
+    FROM (SELECT seq, concat('CVE-2024-', lpad(CAST(seq AS VARCHAR), greatest(5, length(CAST(seq AS VARCHAR)))::INT, '0')) AS cid, substr(description, 1, {C.DESCRIPTION_MAX}) AS d FROM news_items)""",
 )
 def q_cve_title(spark, sf):
     return SRC.nvd_items(_nvd_records(spark, sf), "NVD", "cve", 1, NOW).select("seq", "title")
@@ -920,8 +928,8 @@ def q_cve_title(spark, sf):
 
 # KEV rows derived from the item table
 _KEV_DERIVED = f"""kv AS (
-      SELECT seq, concat('CVE-', CAST(2014 + seq % 8 AS VARCHAR), '-', lpad(CAST(seq AS VARCHAR), 5, '0')) AS cid,
-             source_name AS vendor, source_category AS product, substr(title, 1, 40) AS vname,
+      SELECT seq, concat('CVE-', CAST(2014 + seq % 8 AS VARCHAR), '-', lpad(CAST(seq AS VARCHAR), greatest(5, length(CAST(seq AS VARCHAR)))::INT, '0')) AS cid,
+             source_name AS vendor, source_category AS product, title AS vname,
              substr(description, 1, {C.DESCRIPTION_MAX}) AS d,
              CASE WHEN seq % 7 = 0 THEN NULL ELSE date_trunc('day', published) END AS added,
              CASE WHEN seq % 3 = 0 THEN '' ELSE strftime(date_trunc('day', published) + INTERVAL 21 DAY, '%Y-%m-%d') END AS due
@@ -931,10 +939,10 @@ _KEV_DERIVED = f"""kv AS (
 def _kev_rows(spark, sf) -> DataFrame:
     it = _items(spark, sf)
     k = F.struct(
-        F.concat(F.lit("CVE-"), (F.lit(2014) + F.col("seq") % 8).cast("string"), F.lit("-"), F.lpad(F.col("seq").cast("string"), 5, "0")).alias("cveID"),
+        F.concat(F.lit("CVE-"), (F.lit(2014) + F.col("seq") % 8).cast("string"), F.lit("-"), _padded("seq", 5)).alias("cveID"),
         F.col("source_name").alias("vendorProject"),
         F.col("source_category").alias("product"),
-        F.substring("title", 1, 40).alias("vulnerabilityName"),
+        F.col("title").alias("vulnerabilityName"),
         F.col("description").alias("shortDescription"),
         F.when(F.col("seq") % 7 == 0, F.lit("bad")).otherwise(F.date_format("published", "yyyy-MM-dd")).alias("dateAdded"),
         F.when(F.col("seq") % 3 == 0, F.lit("")).otherwise(F.date_format(F.date_add(F.to_date("published"), 21), "yyyy-MM-dd")).alias("dueDate"),
@@ -980,7 +988,7 @@ _ECOS = ["PyPI", "npm", "Go", "Maven", "RubyGems", "crates.io", "NuGet"]
 def _osv_records(spark, sf) -> DataFrame:
     it = _items(spark, sf)
     eco = F.element_at(F.array(*[F.lit(e) for e in _ECOS]), (F.col("seq") % len(_ECOS) + 1).cast("int"))
-    vid = F.concat(F.lit("GHSA-"), F.lpad(F.col("seq").cast("string"), 6, "0"))
+    vid = F.concat(F.lit("GHSA-"), _padded("seq", 6))
     iso = F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     sev = F.when(F.col("seq") % 5 == 0, F.array(
         F.struct(F.lit("CVSS_V2").alias("type"), F.lit("AV:N/BS:5.0").alias("score")),
@@ -1007,7 +1015,7 @@ _OSV_SQL = _with(
     NI,
     f"""ov AS (
       SELECT seq, ({'[' + ', '.join(O.q(e) for e in _ECOS) + ']'})[1 + seq % {len(_ECOS)}] AS ecosystem,
-             concat('GHSA-', lpad(CAST(seq AS VARCHAR), 6, '0')) AS vid, title, description, cve_ids, cvss_score, published
+             concat('GHSA-', lpad(CAST(seq AS VARCHAR), greatest(6, length(CAST(seq AS VARCHAR)))::INT, '0')) AS vid, title, description, cve_ids, cvss_score, published
       FROM news_items WHERE seq % 6 <> 1 AND published >= TIMESTAMP '{_OSV_CUTOFF}')""",
 ) + f"""
     SELECT seq, CASE WHEN seq % 5 <> 1 AND title <> '' THEN concat(vid, ': ', title) ELSE vid END AS title,
@@ -1134,13 +1142,13 @@ def q_hn_scan_limit(spark, sf):
     return _hn(spark, sf).select("seq", "hn_points").join(ranked, "seq").select("seq", "rank", "hn_points")
 
 
-# Generic JSON feeds: one document per source, built from its first 60 items
-_FEED_ROWS = 60
+# Generic JSON feeds: one document for each source and range of ids, so documents stay small and all items are in one
+_FEED_IDS = 1200
 
 
 def _feed_docs(spark, sf) -> DataFrame:
     it = _items(spark, sf).withColumn("n", F.substring("source_name", 4, 10).cast("long"))
-    top = R.top_per_group(it, "source_name", [F.asc("seq")], _FEED_ROWS, "_rn")
+    it = it.withColumn("feed_id", F.floor(F.col("seq") / F.lit(_FEED_IDS)) * 1000 + F.col("n"))
     iso = F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     entry = F.to_json(
         F.struct(
@@ -1154,21 +1162,21 @@ def _feed_docs(spark, sf) -> DataFrame:
             F.when(F.col("seq") % 6 == 0, iso).alias("updated_at"),
         )
     )
-    docs = top.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("seq", entry.alias("j")))).alias("es"))
+    docs = it.groupBy("feed_id", "n").agg(F.array_sort(F.collect_list(F.struct("seq", entry.alias("j")))).alias("es"))
     arr = F.concat(F.lit("["), F.array_join(F.transform("es", lambda x: x["j"]), ","), F.lit("]"))
     text = (
         F.when(F.col("n") % 3 == 0, arr)
         .when(F.col("n") % 3 == 1, F.concat(F.lit('{"items": '), arr, F.lit("}")))
         .otherwise(F.concat(F.lit('{"meta": 1, "data": '), arr, F.lit("}")))
     )
-    return docs.select(F.col("n").alias("feed_id"), text.alias("text"))
+    return docs.select("feed_id", text.alias("text"))
 
 
 _FEED_SQL = _with(
     NI,
     f"""fr AS (
-      SELECT *, CAST(substr(source_name, 4, 10) AS BIGINT) AS n,
-             row_number() OVER (PARTITION BY source_name ORDER BY seq) - 1 AS pos
+      SELECT *, (seq // {_FEED_IDS}) * 1000 + CAST(substr(source_name, 4, 10) AS BIGINT) AS n,
+             row_number() OVER (PARTITION BY source_name, seq // {_FEED_IDS} ORDER BY seq) - 1 AS pos
       FROM news_items QUALIFY pos < {C.JSON_FEED_MAX_RAW})""",
 )
 
@@ -1189,7 +1197,7 @@ def q_read_json_feed(spark, sf):
 @register("first_n_per_feed", _FEED_SQL + "\nSELECT n AS feed, pos FROM fr")
 def q_first_n_per_feed(spark, sf):
     out = SRC.json_feed_items(_feed_docs(spark, sf), "feed", "blogs", 2, None, NOW)
-    return out.select((F.col("seq") / 1000).cast("long").alias("feed"), (F.col("seq") % 1000).alias("pos"))
+    return out.select(F.floor(F.col("seq") / 1000).alias("feed"), (F.col("seq") % 1000).alias("pos"))
 
 
 # Source registry derived from the distinct sources of ``documents``
@@ -1260,17 +1268,17 @@ def q_merge_sources(spark, sf):
     return R.merge_sources(a, b)
 
 
-# ---------------------------------------------------------------- streaming (ST1, ST2): rows-only checks
+# ---------------------------------------------------------------- streaming (ST1, ST2)
 
 from ..streaming.ingest import run_ingest_dedup, run_report_refresh  # noqa: E402
 
 
-@register("stream_ingest_dedup")
+@register("stream_ingest_dedup", _with(NI) + f"\nSELECT DISTINCT {O.fingerprint('title', 'url')} AS fp FROM news_items")
 def q_stream_ingest_dedup(spark, sf):
-    return run_ingest_dedup(_items(spark, sf)).select("fp", "source_category")
+    return run_ingest_dedup(_items(spark, sf)).select("fp")
 
 
-@register("stream_report_refresh")
+@register("stream_report_refresh", f"SELECT idx, seq, score FROM ({_INCIDENT_SQL}) r")
 def q_stream_report_refresh(spark, sf):
     return run_report_refresh(_items(spark, sf), NOW, days=INCIDENT_DAYS, min_score=MIN_SCORE, threshold=THRESHOLD).select("idx", "seq", "score")
 

@@ -58,7 +58,8 @@ def news_digest(
 ) -> Digest:
     window, scored, attribution = scored_survivors(raw, now, hours, categories, threshold, watchlist, weights)
     shown = FL.min_score(FL.keyword_filter(scored, keyword), min_score)
-    shown = cut_lineage(with_keywords(shown).withColumn("item", F.col("pos")))
+    # arrival order decides; the fingerprint keeps items of several sources apart
+    shown = cut_lineage(R.order_index(with_keywords(shown), [F.asc("pos"), F.asc("fp")], "item"))
     clusters, members = cluster(shown)
 
     # O3: top score desc, stable in discovery order (the lead's place), Other last on ties
@@ -83,7 +84,7 @@ def news_digest(
         "cluster_name",
         T.first_n("shared_keywords", C.SHARED_KEYWORDS_SHOWN).alias("shared_keywords"),
         "cluster_size",
-        F.greatest(F.col("cluster_size") - F.lit(C.DIGEST_ITEMS_PER_CLUSTER), F.lit(0)).alias("n_more"),
+        (F.lit(0) if verbose else F.greatest(F.col("cluster_size") - F.lit(C.DIGEST_ITEMS_PER_CLUSTER), F.lit(0))).cast("int").alias("n_more"),
         "item_rank",
         D.severity_badge(F.col("cvss_score"), F.col("score")).alias("severity"),
         "score",

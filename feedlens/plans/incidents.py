@@ -49,24 +49,30 @@ def incident_candidates(
 def enrich(items: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J6 + S36–S40 + A10.
 
+    Of an item's valid responses the first in text order counts; invalid ones never hide it.
     A valid response replaces the heuristic fields and adds its boost to
     the score (capped at 100, not re-rounded); anything else falls back to
     the heuristic struct. Returns (items with ``incident``/``ai_enriched``,
     one-row stats).
     """
-    resp = responses.groupBy("seq").agg(F.min("raw").alias("raw"))
     cleaned = E.strip_code_fence(F.col("raw"))
-    parsed = resp.withColumn("_clean", cleaned).withColumn("_v", F.try_parse_json(F.col("_clean")))
-    parsed = parsed.withColumn("_ok", E.validate_response(F.col("_v"), F.col("_clean"))).where("_ok")
-    parsed = parsed.select("seq", E.response_to_incident(F.col("_v")).alias("_ai"))
-    j = items.join(parsed, "seq", "left")
-    ok = F.col("_ai").isNotNull()
-    out = (
-        j.withColumn("incident", F.when(ok, F.col("_ai")).otherwise(I.extract_incident()))
-        .withColumn("ai_enriched", ok)
-        .withColumn("score", F.when(ok, F.least(F.col("score") + F.col("_ai.ai_score_boost"), F.lit(100.0))).otherwise(F.col("score")))
+    parsed = responses.withColumn("_clean", cleaned).withColumn("_v", F.try_parse_json(F.col("_clean")))
+    parsed = parsed.where(E.validate_response(F.col("_v"), F.col("_clean")))
+    parsed = parsed.select("seq", "raw", E.response_to_incident(F.col("_v")).alias("_ai"))
+    parsed = parsed.groupBy("seq").agg(F.min_by("_ai", "raw").alias("_ai"))
+    # a stage of its own, so that the rules and the conversion are compiled apart
+    j = cut_lineage(items.join(parsed, "seq", "left"))
+    answered = (
+        j.where(F.col("_ai").isNotNull())
+        .withColumn("incident", F.col("_ai"))
+        .withColumn("ai_enriched", F.lit(True))
+        .withColumn("score", F.least(F.col("score") + F.col("_ai.ai_score_boost"), F.lit(100.0)))
         .drop("_ai")
     )
+    ruled = (
+        j.where(F.col("_ai").isNull()).drop("_ai").withColumn("incident", I.extract_incident()).withColumn("ai_enriched", F.lit(False))
+    )
+    out = cut_lineage(answered.unionByName(ruled))
     return out, enrichment_stats(out)
 
 
@@ -128,7 +134,6 @@ def incident_report_enriched(raw: DataFrame, responses: DataFrame, now, **kw) ->
     """P2 with external responses joined in, re-ranked by the boosted score."""
     window, items, attribution = incident_candidates(raw, now, **kw)
     enriched, stats = enrich(items, responses)
-    enriched = cut_lineage(enriched)
     ai_mode = bool(stats.first()["ai_mode"])
     rows = report_rows(enriched, attribution, now, ai_mode=ai_mode)
     return IncidentReport(rows, R.funnel(window, enriched), stats, attribution)

@@ -208,6 +208,11 @@ def exact_attr_cte(src_fp: str, name: str = "exact_attr") -> str:
       FROM {name}_b)"""
 
 
+def ascii_twin(x: str) -> str:
+    """One byte per character: DuckDB's levenshtein counts bytes. Merging letters only lowers the distance."""
+    return f"regexp_replace({x}, '[^ -~]', '#', 'g')"
+
+
 def lcs_sql(a: str, b: str) -> str:
     """LCS length by dynamic programming over list lambdas."""
     return f"""list_reduce(
@@ -236,7 +241,7 @@ def fuzzy_ctes(canon: str, threshold: float = C.DEFAULT_SIMILARITY_THRESHOLD) ->
       SELECT a.tid AS a, b.tid AS b, a.nt AS ta, b.nt AS tb, length(a.nt) + length(b.nt) AS tot
       FROM fz_titles a JOIN fz_titles b ON a.tid < b.tid
       WHERE abs(length(a.nt) - length(b.nt)) <= floor((length(a.nt) + length(b.nt)) * {(100 - th) / 100}) + 1
-        AND levenshtein(a.nt, b.nt) <= floor((length(a.nt) + length(b.nt)) * {(100 - th) / 100}) + 1),
+        AND levenshtein({ascii_twin('a.nt')}, {ascii_twin('b.nt')}) <= floor((length(a.nt) + length(b.nt)) * {(100 - th) / 100}) + 1),
     fz_pairs AS (
       SELECT a, b FROM (SELECT a, b, tot, CASE WHEN tot = 0 THEN 0 ELSE {lcs_sql('ta', 'tb')} END AS lcs FROM fz_cand)
       WHERE CASE WHEN tot = 0 THEN 100.0 ELSE (1.0 - (tot - 2 * lcs)::DOUBLE / tot::DOUBLE) * 100.0 END >= {th}),

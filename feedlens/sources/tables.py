@@ -16,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import text as T
+from ..functions.text import PY_WS
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -58,6 +60,10 @@ def phrase_array_sql() -> str:
     return "array(" + ", ".join(_sql_str(p) for p in HEADLINE_PHRASES) + ")"
 
 
+#: An item's title is the text's first sentence or line, whole.
+TITLE_PATTERN = "^[^.!?\\n]*"
+
+
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item table derived from ``documents`` ⨝ ``events`` ⨝ ``pages``.
 
@@ -79,22 +85,23 @@ def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM {{documents}}),
         k AS (SELECT d.*, (SELECT count(*) FROM {{events}}) AS ne, (SELECT count(*) FROM {{pages}}) AS np FROM d)
         SELECT k.doc_id AS seq,
-               concat(element_at({phrase_array_sql()}, CAST(1 + k.h % {n} AS INT)), ': ', substr(k.text,1,60)) AS title,
+               concat(element_at({phrase_array_sql()}, CAST(1 + k.h % {n} AS INT)), ': ', regexp_extract(k.text, '{TITLE_PATTERN}', 0)) AS title,
                p.url AS url,
                k.source AS source_name,
                CASE k.doc_id % 6 {cats} END AS source_category,
                CAST(1 + k.doc_id % 4 AS INT) AS source_tier,
                CAST(e.ts AS TIMESTAMP) AS published,
-               substr(k.text,1,500) AS description,
+               k.text AS description,
                CASE WHEN k.doc_id % 3 = 0 THEN NULL ELSE round(e.value / 50, 1) END AS cvss_score,
                CASE WHEN k.doc_id % 2 = 0 THEN CAST(floor(e.value) AS INT) ELSE 0 END AS hn_points
         FROM k JOIN {{events}} e ON e.event_id = (k.doc_id * 37) % k.ne
-               JOIN {{pages}} p ON p.page_id = k.h % k.np
+               JOIN {{pages}} p ON p.page_id = CAST(conv(substr(md5(k.text),1,8), 16, 10) AS BIGINT) % k.np
         """,
         documents=documents,
         events=events,
         pages=pages,
     )
+    df = df.withColumn("description", T.collapse_truncate("description"))
     return df.withColumn("cve_ids", T.extract_cves(F.concat_ws(" ", "title", "description")))
 
 
@@ -113,17 +120,17 @@ def news_items_sql() -> str:
       k AS (SELECT d.*, (SELECT count(*) FROM events) AS ne, (SELECT count(*) FROM pages) AS np FROM d),
       base AS (
         SELECT k.doc_id AS seq,
-               concat(({arr})[1 + k.h % {n}], ': ', substr(k.text,1,60)) AS title,
+               concat(({arr})[1 + k.h % {n}], ': ', regexp_extract(k.text, '{TITLE_PATTERN}', 0)) AS title,
                p.url AS url,
                k.source AS source_name,
                CASE k.doc_id % 6 {cats} END AS source_category,
                CAST(1 + k.doc_id % 4 AS INT) AS source_tier,
                e.ts AS published,
-               substr(k.text,1,500) AS description,
+               substr(regexp_replace(k.text, '{PY_WS}+', ' ', 'g'), 1, {C.DESCRIPTION_MAX}) AS description,
                CASE WHEN k.doc_id % 3 = 0 THEN NULL ELSE round(e.value / 50, 1) END AS cvss_score,
                CASE WHEN k.doc_id % 2 = 0 THEN CAST(floor(e.value) AS INT) ELSE 0 END AS hn_points
         FROM k JOIN events e ON e.event_id = (k.doc_id * 37) % k.ne
-               JOIN pages p ON p.page_id = k.h % k.np)
+               JOIN pages p ON p.page_id = ('0x' || substr(md5(k.text),1,8))::BIGINT % k.np)
       SELECT base.*,
              list_sort(list_distinct(list_transform(
                regexp_extract_all(concat_ws(' ', title, description), '(?i)CVE-\\p{{Nd}}{{4}}-\\p{{Nd}}{{4,7}}'),
