@@ -756,7 +756,10 @@ def q_enrichment_request(spark, sf):
 
 # ---------------------------------------------------------------- sources (SRC1–SRC8) and their scalars
 
+import uuid  # noqa: E402
+
 from ..sources import feeds as SRC  # noqa: E402
+from ..sources.run import run_sources  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
 
 _PAGES_ENTRIES = f"""pe AS (
@@ -1172,13 +1175,11 @@ def _feed_docs(spark, sf) -> DataFrame:
     return docs.select("feed_id", text.alias("text"))
 
 
-_FEED_SQL = _with(
-    NI,
-    f"""fr AS (
+_FEED_CTE = f"""fr AS (
       SELECT *, (seq // {_FEED_IDS}) * 1000 + CAST(substr(source_name, 4, 10) AS BIGINT) AS n,
              row_number() OVER (PARTITION BY source_name, seq // {_FEED_IDS} ORDER BY seq) - 1 AS pos
-      FROM news_items QUALIFY pos < {C.JSON_FEED_MAX_RAW})""",
-)
+      FROM news_items QUALIFY pos < {C.JSON_FEED_MAX_RAW})"""
+_FEED_SQL = _with(NI, _FEED_CTE)
 
 
 @register(
@@ -1268,6 +1269,49 @@ def q_merge_sources(spark, sf):
     return R.merge_sources(a, b)
 
 
+# ---------------------------------------------------------------- the source run: records landed as files, read by their readers
+
+_RUN_REGISTRY = [
+    ("advisories", "KEV", "json_api", "https://www.cisa.gov/kev", 1, True),
+    ("blogs", "Feeds", "json_api", "https://feeds.example.com/all", 2, None),
+    ("blogs", "Gone", "rss", "https://feeds.example.com/gone", 2, True),
+    ("cve", "Off", "nvd_api", "https://feeds.example.com/off", 1, False),
+]
+
+
+def _run(spark, sf):
+    """KEV and JSON feeds landed under the shared folder; one source's folder is missing, one is switched off."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/landing-{uuid.uuid4().hex[:12]}"
+    kev = _kev_rows(spark, sf).withColumn("part", F.floor(F.col("seq") / _FEED_IDS))
+    files = kev.groupBy("part").agg(F.to_json(F.struct(F.collect_list("k").alias("vulnerabilities"))).alias("value"))
+    files.write.partitionBy("part").text(f"{base}/KEV")
+    _feed_docs(spark, sf).withColumnRenamed("text", "value").write.partitionBy("feed_id").text(f"{base}/Feeds")
+    registry = spark.createDataFrame(_RUN_REGISTRY, SRC.REGISTRY_SCHEMA)
+    return run_sources(spark, registry, base, NOW, 336)
+
+
+_RUN_SQL = _with(
+    NI,
+    _KEV_DERIVED,
+    _FEED_CTE,
+    f"""rn AS (
+      SELECT 'KEV' AS source_name, concat('[CISA KEV] ', cid, ' — ', vendor, ' ', product, ': ', vname) AS title, coalesce(added, {O.NOW_SQL}) AS published
+      FROM kv WHERE CAST(substr(cid, 5, 4) AS INT) >= {C.KEV_MIN_CVE_YEAR}
+      UNION ALL
+      SELECT 'Feeds', {O.py_strip('title')}, published FROM fr WHERE {O.py_strip('title')} <> '' AND regexp_matches({O.py_strip('url')}, {_SAFE}))""",
+)
+
+
+@register("source_run", _RUN_SQL + f"\nSELECT source_name, title, published FROM rn WHERE published >= {O.NOW_SQL} - INTERVAL 336 HOUR")
+def q_source_run(spark, sf):
+    return _run(spark, sf).items.select("source_name", "title", F.col("published").cast("timestamp_ntz").alias("published"))
+
+
+@register("digest_over_sources")
+def q_digest_over_sources(spark, sf):
+    return _digest_rows(news_digest(_run(spark, sf).items, NOW, hours=336, min_score=MIN_SCORE, threshold=THRESHOLD))
+
+
 # ---------------------------------------------------------------- streaming (ST1, ST2)
 
 from ..streaming.ingest import run_ingest_dedup, run_report_refresh  # noqa: E402
@@ -1285,9 +1329,6 @@ def q_stream_report_refresh(spark, sf):
 
 # ---------------------------------------------------------------- sinks (SNK1, SNK2), S12, A6 keyword frequencies
 
-import uuid  # noqa: E402
-
-
 def _sink_roundtrip(df: DataFrame, order: list[str]) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex[:12]}"

@@ -55,12 +55,11 @@ def enrich(items: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame
     the heuristic struct. Returns (items with ``incident``/``ai_enriched``,
     one-row stats).
     """
-    cleaned = E.strip_code_fence(F.col("raw"))
-    parsed = responses.withColumn("_clean", cleaned).withColumn("_v", F.try_parse_json(F.col("_clean")))
-    parsed = parsed.where(E.validate_response(F.col("_v"), F.col("_clean")))
-    parsed = parsed.select("seq", "raw", E.response_to_incident(F.col("_v")).alias("_ai"))
-    parsed = parsed.groupBy("seq").agg(F.min_by("_ai", "raw").alias("_ai"))
-    # a stage of its own, so that the rules and the conversion are compiled apart
+    cleaned = cut_lineage(responses.select("seq", "raw", E.strip_code_fence(F.col("raw")).alias("_clean")))
+    valid = cleaned.where(E.validate_response(F.try_parse_json(F.col("_clean")), F.col("_clean")))
+    # cleaning, validation, conversion and the rules are stages of their own: together they outgrow one compiled method
+    first = cut_lineage(valid.groupBy("seq").agg(F.min_by("_clean", "raw").alias("_clean")))
+    parsed = cut_lineage(first.select("seq", E.response_to_incident(F.try_parse_json("_clean")).alias("_ai")))
     j = cut_lineage(items.join(parsed, "seq", "left"))
     answered = (
         j.where(F.col("_ai").isNotNull())

@@ -26,15 +26,29 @@ from ..operators import filters as FL
 # ---------------------------------------------------------------- timestamps
 
 
+ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?\s*(Z|z|[+-]\d{2}(:?\d{2})?)?)?$"
+# RFC 822 zone names and their offsets
+NAMED_ZONES = [
+    ("GMT|UT|UTC|Z", "+0000"), ("EST", "-0500"), ("EDT", "-0400"), ("CST", "-0600"), ("CDT", "-0500"),
+    ("MST", "-0700"), ("MDT", "-0600"), ("PST", "-0800"), ("PDT", "-0700"),
+]
+
+
 def parse_iso(s: Column) -> Column:
-    """ISO-8601 with optional fraction and zone ('Z' = UTC); NULL when unparsable."""
-    return F.try_to_timestamp(s)
+    """ISO-8601 with optional fraction and zone ('Z' = UTC); NULL when unparsable.
+
+    A full date is required: a bare year or a time of day is no timestamp.
+    """
+    return F.when(F.trim(s).rlike(ISO_SHAPE), F.try_to_timestamp(F.trim(s)))
 
 
 def parse_rfc822(s: Column) -> Column:
-    """RSS dates: 'Mon, 01 Jan 2024 00:00:07 GMT' / '+0000' offsets."""
-    body = F.regexp_replace(F.trim(s), r"^[A-Za-z]{3},\s*", "")
-    body = F.regexp_replace(body, r"\s(GMT|UT|UTC|Z)$", " +0000")
+    """RSS dates: weekday in any length, 2- or 4-digit years, offsets and the named zones."""
+    body = F.regexp_replace(F.regexp_replace(F.trim(s), r"\s+", " "), r"^[A-Za-z]+\.?,? ?(?=\d)", "")
+    body = F.regexp_replace(body, r"^(\d{1,2} [A-Za-z]{3} )([0-5]\d|6[0-8]) ", "$120$2 ")
+    body = F.regexp_replace(body, r"^(\d{1,2} [A-Za-z]{3} )(\d{2}) ", "$119$2 ")
+    for names, offset in NAMED_ZONES:
+        body = F.regexp_replace(body, rf" ({names})$", f" {offset}")
     return F.coalesce(
         F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss xx")),
         F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm xx")),
@@ -72,9 +86,23 @@ RSS_SCHEMA = T.StructType(
 )
 
 
+ATOM_SCHEMA = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ["title", "published", "updated", "created", "summary"]]
+    + [T.StructField("link", T.ArrayType(T.StructType([T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType())])))]
+)
+
+
 def read_rss(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Landed RSS (``item``) or Atom (``entry``) files; entities decoded by the XML reader."""
-    df = spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(RSS_SCHEMA).load(path)
+    """Landed RSS (``item``) or Atom (``entry``) files; entities decoded by the XML reader.
+
+    An Atom entry's link is the ``href`` of its first alternate link (no ``rel`` means alternate).
+    """
+    atom = row_tag == "entry"
+    reader = spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(ATOM_SCHEMA if atom else RSS_SCHEMA)
+    df = reader.load(path)
+    if atom:
+        alternate = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+        df = df.withColumn("link", F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get("link", F.lit(0))["_href"]))
     return df.withColumn("seq", F.monotonically_increasing_id())
 
 
@@ -193,16 +221,23 @@ OSV_SCHEMA = T.StructType(
 )
 
 
-def read_osv(spark: SparkSession, root: str) -> DataFrame:
-    """Extracted per-ecosystem folders ``root/<ecosystem>/<id>.json``."""
+def read_osv(spark: SparkSession, root: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Extracted per-ecosystem folders ``root/<ecosystem>/<id>.json``.
+
+    With the archives' ``manifest``, only members that the guard (SRC8) lets through are kept.
+    """
     df = spark.read.schema(OSV_SCHEMA).option("multiLine", "true").json(f"{root}/*/*.json")
     path = F.col("_metadata.file_path")
-    return df.select(
+    out = df.select(
         F.monotonically_increasing_id().alias("seq"),
         F.struct(*[F.col(c) for c in OSV_SCHEMA.fieldNames()]).alias("r"),
         F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1).alias("ecosystem"),
         F.regexp_extract(path, r"([^/]+)$", 1).alias("filename"),
     )
+    if manifest is None:
+        return out
+    safe = archive_manifest_guard(manifest).select("ecosystem", F.regexp_extract("filename", r"([^/]+)$", 1).alias("filename"))
+    return out.join(safe, ["ecosystem", "filename"], "left_semi")
 
 
 def cvss_vector_score(severity: Column) -> Column:
@@ -327,6 +362,16 @@ HN_ITEM_SCHEMA = T.StructType(
 )
 
 
+def read_hn(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Landed ``path/ids`` (files of one JSON list, best first) and ``path/items`` (one story object per line).
+
+    Returns (ranked ids, items) for ``hn_items``.
+    """
+    lists = spark.read.option("wholetext", "true").text(f"{path}/ids")
+    ranked = lists.select(F.posexplode(F.from_json("value", "array<bigint>")).alias("rank", "id"))
+    return ranked, spark.read.schema(HN_ITEM_SCHEMA).json(f"{path}/items")
+
+
 def hn_items(ranked_ids: DataFrame, items: DataFrame, name: str, category: str, tier: int, cutoff) -> DataFrame:
     """``ranked_ids``: (rank, id) of the top-stories list; ``items``: HN_ITEM_SCHEMA rows.
 

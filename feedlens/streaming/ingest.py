@@ -64,14 +64,21 @@ def stream_ingest_dedup(spark: SparkSession, landing: str, schema, sink: str, ch
 def stream_report_refresh(
     spark: SparkSession, landing: str, schema, store: str, report: str, checkpoint: str, now, days: int = 14, **kw
 ) -> None:
-    """ST2: append each micro-batch to the store, then rebuild the report."""
+    """ST2: add each micro-batch to the store, then rebuild the report.
+
+    The store has one folder per batch and day. A replayed batch overwrites its own
+    folder, so rows are never doubled; the report reads only the days of the
+    look-back window, and each batch writes its report to a folder of its own.
+    """
     from ..plans.incidents import incident_report
 
     def refresh(batch: DataFrame, epoch_id: int) -> None:
-        batch.drop("fp").write.mode("append").parquet(store)
-        stored = spark.read.parquet(store)
-        rep = incident_report(stored, now, days=days, **kw)
-        rep.rows.write.mode("overwrite").parquet(report)
+        days_of = batch.withColumn("day", F.to_date("published"))
+        days_of.write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch={epoch_id}")
+        first = F.date_sub(F.to_date(F.lit(now).cast("timestamp")), days)
+        stored = spark.read.schema(f"{batch.schema.toDDL()}, batch int, day date").parquet(store).where(F.col("day") >= first)
+        rep = incident_report(stored.drop("batch", "day"), now, days=days, **kw)
+        rep.rows.write.mode("overwrite").parquet(f"{report}/batch={epoch_id}")
 
     q = (
         spark.readStream.schema(schema)
@@ -85,6 +92,13 @@ def stream_report_refresh(
     q.awaitTermination()
 
 
+def latest_report(spark: SparkSession, report: str) -> DataFrame:
+    """The report of the newest batch."""
+    every = spark.read.parquet(report)
+    newest = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == F.lit(newest)).drop("batch")
+
+
 def run_ingest_dedup(items: DataFrame, horizon: str = "720 hours") -> DataFrame:
     """Land ``items``, stream them through ST1, return the sink as a table."""
     spark = items.sparkSession
@@ -102,4 +116,4 @@ def run_report_refresh(items: DataFrame, now, days: int = 14, **kw) -> DataFrame
     land(items, f"{base}/landing")
     schema = spark.read.parquet(f"{base}/landing").schema
     stream_report_refresh(spark, f"{base}/landing", schema, f"{base}/store", f"{base}/report", f"{base}/state", now, days, **kw)
-    return spark.read.parquet(f"{base}/report")
+    return latest_report(spark, f"{base}/report")
