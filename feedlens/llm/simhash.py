@@ -38,7 +38,7 @@ TAU = 4
 #: Distinct fingerprints that bit correlations and candidate counts are estimated on.
 SAMPLE = 20_000
 #: Rows of one part value from which a bucket counts as crowded.
-CROWDED = 4096
+CROWDED = 256
 #: Cost of one tested candidate, in probe rows.
 TEST_COST = 0.02
 
@@ -166,7 +166,7 @@ def choose_parts(sample: np.ndarray, total: int, tau: int) -> list[Part]:
 
 
 def probe_rows(nodes: DataFrame, parts: list[Part], tau: int) -> DataFrame:
-    """(part, value, fp, grp): every part value that a fingerprint asks for."""
+    """(part, value, fp, grp, ts): every part value that a fingerprint asks for; ``ts`` packs its thresholds + 1."""
     ship_by_value()
     plain = [(int(p.mask), p.upto, p.flips, p.value, p.share, p.spread) for p in parts]
     ref = nodes.sparkSession.sparkContext.broadcast(plain)
@@ -183,17 +183,18 @@ def probe_rows(nodes: DataFrame, parts: list[Part], tau: int) -> DataFrame:
             for s in range(0, len(fps_all), 2048):
                 fps, grp = fps_all[s : s + 2048], grp_all[s : s + 2048]
                 t, _ = allocate(local, fps, tau)
+                ts = ((t + 1) << (3 * np.arange(len(local)))).sum(1)
                 for i, p in enumerate(local):
                     for level, n in enumerate(p.upto):
                         rows = np.flatnonzero(t[:, i] == level)
                         if len(rows):
                             value = ((fps[rows] & p.mask)[:, None] ^ p.flips[None, :n]).ravel()
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(len(value), i, np.int32)), pa.array(value.view(np.int64)), pa.array(np.repeat(fps[rows], n).view(np.int64)), pa.array(np.repeat(grp[rows], n))],
-                                names=["part", "value", "fp", "grp"],
+                                [pa.array(np.full(len(value), i, np.int32)), pa.array(value.view(np.int64)), pa.array(np.repeat(fps[rows], n).view(np.int64)), pa.array(np.repeat(grp[rows], n)), pa.array(np.repeat(ts[rows], n))],
+                                names=["part", "value", "fp", "grp", "ts"],
                             )
 
-    return nodes.select("fp", "grp").mapInArrow(run, "part int, value bigint, fp bigint, grp bigint")
+    return nodes.select("fp", "grp").mapInArrow(run, "part int, value bigint, fp bigint, grp bigint, ts bigint")
 
 
 def index_rows(nodes: DataFrame, parts: list[Part]) -> DataFrame:
@@ -250,12 +251,18 @@ def links(nodes: DataFrame, parts: list[Part], tau: int, crowded: int = CROWDED)
             index["part"], index["value"], "fp", "grp", "own"
         )
         extra = probes.join(large, ["part", "value"]).where(F.col("own") != F.col("grp"))
-        probes = probes.withColumn("own", F.lit(None).cast("bigint")).unionByName(extra.select("part", "value", "fp", "grp", "own"))
+        probes = probes.withColumn("own", F.lit(None).cast("bigint")).unionByName(extra.select("part", "value", "fp", "grp", "ts", "own"))
     else:
         index, probes = (x.withColumn("own", F.lit(None).cast("bigint")) for x in (index, probes))
     i = index.select("part", "value", F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNull().alias("small"), F.col("fp").alias("y"), F.col("grp").alias("gy"))
-    p = probes.select("part", "value", F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNull().alias("small"), F.col("fp").alias("x"), F.col("grp").alias("gx"))
-    hit = p.join(i, ["part", "value", "own", "small"]).where((F.col("gx") != F.col("gy")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= tau))
+    p = probes.select("part", "value", F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNull().alias("small"), F.col("fp").alias("x"), F.col("grp").alias("gx"), "ts")
+    diff = F.col("x").bitwiseXOR(F.col("y"))
+    # a fingerprint's own probes find all its links, so each pair is asked for from one side, and given by its first part
+    hit = (F.col("x") > F.col("y")) & (F.col("gx") != F.col("gy")) & (F.bit_count(diff) <= tau)
+    for j, part in enumerate(parts):
+        mask = F.lit(int(np.uint64(part.mask).astype(np.int64))).cast("bigint")
+        hit &= (F.col("part") <= j) | (F.bit_count(diff.bitwiseAND(mask)) >= F.shiftright("ts", 3 * j).bitwiseAND(F.lit(7)))
+    hit = p.join(i, ["part", "value", "own", "small"]).where(hit)
     return hit.select(F.least("gx", "gy").alias("a"), F.greatest("gx", "gy").alias("b")).distinct()
 
 
