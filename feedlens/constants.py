@@ -229,6 +229,16 @@ VICTIM_RULES = [
     r"vulnerability\s+in\s+([A-Za-z0-9][A-Za-z0-9\s&\-'\.]{1,40}?)(?:\s*[,\.;]|\s+(?:allows?|enables?|could|lets?))",
     r"(?:flaw|bug|issue|vulnerability)\s+(?:found|discovered|identified)\s+in\s+([A-Za-z0-9][A-Za-z0-9\s&\-'\.]{1,40}?)(?:\s*[,\.;])",
 ]
+# Necessary conditions for the generic victim patterns: the verb phrase each
+# pattern ends with. A cheap scan for it runs first, so the lazy
+# 2..40-character candidate search only runs on texts that can match.
+VICTIM_GUARDS = [
+    None,
+    r"(?:confirm|disclose|report|warn|reveal|say|acknowledge)s?\s+(?:a\s+)?(?:data\s+)?breach",
+    r"(?:hit|struck|targeted|crippled|disrupted)\s+by",
+    None,
+    None,
+]
 VICTIM_REJECT_PREFIXES = ["the ", "a ", "an ", "this ", "that ", "its ", "their "]
 VICTIM_TRAILING_CHARS = ".,;'\""
 VICTIM_MIN_LEN = 3

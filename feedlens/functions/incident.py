@@ -77,25 +77,13 @@ def _known_victim_pattern() -> str:
     return FLAGS + f"(?<![{WORD}])({names})(?![{WORD}])"
 
 
-# Necessary conditions for the generic victim patterns: the verb phrase each
-# pattern ends with. A cheap scan for it runs first, so the lazy
-# 2..40-character candidate search only runs on texts that can match.
-VICTIM_GUARDS = [
-    None,
-    r"(?:confirm|disclose|report|warn|reveal|say|acknowledge)s?\s+(?:a\s+)?(?:data\s+)?breach",
-    r"(?:hit|struck|targeted|crippled|disrupted)\s+by",
-    None,
-    None,
-]
-
-
 def victim(text: Column) -> Column:
     """Leftmost known name (text casing), else the generic patterns in order."""
     known_pat = _known_victim_pattern()
     expr = F.when(text.rlike(known_pat), F.regexp_extract(text, known_pat, 1))
     reject = "^(?:" + "|".join(re.escape(p) for p in C.VICTIM_REJECT_PREFIXES) + ")"
     trail = "[" + re.escape(C.VICTIM_TRAILING_CHARS) + "]+$"
-    for pat, guard in zip(C.VICTIM_RULES, VICTIM_GUARDS):
+    for pat, guard in zip(C.VICTIM_RULES, C.VICTIM_GUARDS):
         rx = _rx(pat)
         cand = F.regexp_replace(py_strip(F.regexp_extract(text, rx, 1)), trail, "")
         ok = (

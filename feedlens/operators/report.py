@@ -105,7 +105,6 @@ def skew_safe_join(
     small: DataFrame,
     keys: list[str],
     how: str = "inner",
-    salts: int = 32,
     hot_fraction: float = 0.001,
 ) -> DataFrame:
     """Join ``big`` to ``small`` (at most one row per key) so that no hot
@@ -113,21 +112,23 @@ def skew_safe_join(
 
     Keys holding more than ``hot_fraction`` of ``big``'s rows are found with
     a partial aggregate; there are at most ``1 / hot_fraction`` of them, so
-    that list has a proven size and is broadcast. Rows of a hot key are
-    spread over ``salts`` sub-keys by a hash of the row; the matching
-    ``small`` row is replicated once per sub-key. Cold keys join as usual.
+    that list has a proven size and is broadcast. A hot key gets as many
+    sub-keys as it holds such shares, so the rows of one sub-key stay at about
+    ``hot_fraction`` of all, however hot the key is; its rows are spread by a
+    hash of the row and the matching ``small`` row is replicated once per
+    sub-key. Cold keys join as usual.
     """
     total = big.count()
     limit = max(1, int(total * hot_fraction))
     hot = (
         big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-        .select(*keys).withColumn("_hot", F.lit(True))
+        .select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_salts"))
     )
-    salt_of_row = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    hash_of_row = F.xxhash64(*[F.col(c) for c in big.columns])
     b = big.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt_of_row).otherwise(F.lit(0))
-    ).drop("_hot")
+        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(hash_of_row, F.col("_salts")).cast("int")).otherwise(F.lit(0))
+    ).drop("_salts")
     s = small.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    ).drop("_salts")
     return b.join(s, keys + ["_salt"], how).drop("_salt")
