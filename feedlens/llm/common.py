@@ -24,6 +24,16 @@ def ship_by_value() -> None:
         cloudpickle.register_pickle_by_value(pkg)
 
 
+#: Rows and bytes that a Python worker gets at a time: whole texts are long, so fewer than Spark's default.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the memory of Python workers small and alike for short and for very long texts."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,6 +72,7 @@ def score_rows(df: DataFrame, text_col: str, make_scorer: Callable, fields: dict
     ``schema`` is the DDL of the added fields.
     """
     ship_by_value()
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != text_col]
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep] + [schema])
 
@@ -83,6 +94,7 @@ def keep_rows(df: DataFrame, text_col: str, make_keeper: Callable) -> DataFrame:
     helper column can clash with a column of ``df``.
     """
     ship_by_value()
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeper = make_keeper()

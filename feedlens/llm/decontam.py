@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, ship_by_value
+from .common import keep_rows, ship_by_value, small_batches
 
 MASKS = ("11101011", "111010011", "1100110101")
 WINDOW = 13
@@ -181,6 +181,7 @@ OVERLAP_DDL = "item_id bigint, doc_start bigint, item_start bigint, length bigin
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, length, matched): one row per document and passage that overlap."""
     ship_by_value()
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     out = None
     for index in test_blocks(benchmark, block_words):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import score_rows, ship_by_value
+from .common import score_rows, ship_by_value, small_batches
 
 #: n-grams in a profile, and most frequent n-grams of a document that are compared.
 PROFILE_SIZE = 400
@@ -77,6 +77,7 @@ def runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, code, n): partial counts, one row per language and n-gram of a task."""
     ship_by_value()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = letter_table()

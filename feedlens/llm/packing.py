@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, staged
+from .common import ship_by_value, small_batches, staged
 from .tokens import PieceEncoder
 
 WINDOW = 4096
@@ -102,6 +102,7 @@ class Windows:
 def pack_tasks(docs: DataFrame, path: str, end_id: int, window: int, open_windows: int, min_cut: int) -> DataFrame:
     """Pieces of every task, with the task's own sequence numbers; ``left`` marks its last open window."""
     ship_by_value()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
