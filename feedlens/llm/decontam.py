@@ -11,8 +11,10 @@ two substitutions in 13 words leave one of the three a hit.
 The benchmark is taken in blocks of a bounded number of words, so what a task holds
 doesn't grow with it; every block meets all documents in one scan, without a shuffle.
 
-Defined results: words are runs of letters and digits, lower-cased; passages of fewer
-than 5 words (and null ones) can't be told from chance and match nothing; equal
+Defined results: words are runs of letters and digits, lower-cased, but each letter of a
+script written without blanks (Han, kana, Thai, ..) is a word; passages of fewer than 5
+words, such a letter counted as half a word, match only where the document holds all
+their words in a row; passages without a word (and null ones) match nothing; equal
 passages are one, under their smallest item_id; null texts have no words; repeated rows
 and null ids of documents each give their own rows; empty tables give no rows.
 """
@@ -33,11 +35,20 @@ from .common import keep_rows, ship_by_value, small_batches
 MASKS = ("11101011", "111010011", "1100110101")
 WINDOW = 13
 AGREE = 0.8
+#: Passages of fewer words match without substitutions only.
 LEAST_WORDS = 5
 #: Words of the benchmark that a task holds at a time.
 BLOCK_WORDS = 400_000
 
-WORD = re.compile(r"[^\W_]+")
+#: Letters and marks of scripts without blanks between words: Han, bopomofo, kana, Yi, Thai, Lao, Myanmar, Khmer, Tai, Javanese, Balinese.
+UNSPACED = (
+    "\u3005-\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003fffd\u3105-\u312f\u31a0-\u31bf"
+    "\u3041-\u3096\u3099\u309a\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\uff66-\uff9f\U0001b000-\U0001b16f\ua000-\ua48c"
+    "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u109a-\u109d\ua9e0-\ua9ef\ua9fa-\ua9fe\uaa60-\uaa76\uaa7a-\uaa7f"
+    "\u1780-\u17d3\u17d7\u17dc\u17dd\u1950-\u1974\u1980-\u19c9\u1a20-\u1a7c\uaa80-\uaac2\uaadb-\uaadd\ua980-\ua9c0\u1b00-\u1b4c"
+)
+WORD = re.compile(rf"[^\W_{UNSPACED}]+|[{UNSPACED}]")
+LONE = re.compile(rf"[{UNSPACED}]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,6 +56,11 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def whole_only(words: list[str]) -> bool:
+    """Whether a passage is too short to be told from chance once a word of it differs."""
+    return len(words) - sum(LONE.match(w) is not None for w in words) / 2 < LEAST_WORDS
+
+
 def mask_offsets(lengths: set[int]) -> list[tuple[tuple[int, ...], int | None]]:
     """(positions that count, length of the passages that the mask is for; None: any of 13 words or more).
 
@@ -88,12 +104,15 @@ class TestIndex:
         self.length = np.array([len(c) for c in coded], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.codes = np.concatenate(coded) if coded else np.zeros(0, np.int64)
-        masks = mask_offsets({len(c) for c in coded})
-        self.offsets = [m for m, _ in masks]
+        whole = [whole_only(words) for _, words in items]
+        masks = [(*m, False) for m in mask_offsets({len(c) for c, w in zip(coded, whole) if not w})]
+        masks += [(tuple(range(n)), n, True) for n in sorted({len(c) for c, w in zip(coded, whole) if w})]
+        self.offsets = [m for m, _, _ in masks]
+        self.whole = [w for _, _, w in masks]
         hashes, item, place = [], [], []
-        for which, (offsets, length) in enumerate(masks):
+        for which, (offsets, length, w) in enumerate(masks):
             for k, c in enumerate(coded):
-                if len(c) != length if length else len(c) < WINDOW:
+                if whole[k] != w or (len(c) != length if length else len(c) < WINDOW):
                     continue
                 at, h = seed_hashes(c, offsets, which)
                 hashes.append(h)
@@ -140,6 +159,7 @@ def find_overlaps(texts: list, index: dict) -> list[tuple[int, int, int, int, in
     for c, s in zip(coded, start):
         flat[s : s + len(c)] = c
     found = []
+    best: dict[tuple[int, int], tuple] = {}
     for which, offsets in enumerate(index["offsets"]):
         at, h = seed_hashes(flat, offsets, which)
         lo, hi = np.searchsorted(index["hash"], h, "left"), np.searchsorted(index["hash"], h, "right")
@@ -151,11 +171,16 @@ def find_overlaps(texts: list, index: dict) -> list[tuple[int, int, int, int, in
         entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         at = np.repeat(at, n)
         row = np.searchsorted(start, at, "right") - 1
+        if index["whole"][which]:
+            # every word counts, and all places are equally good: the first one is given
+            k, n = index["item"][entry], len(offsets)
+            same = np.all([flat[at + o] == index["codes"][index["start"][k] + o] for o in offsets], 0)
+            row, k, shift = row[same], k[same], (at - start[row])[same]
+            for i in np.unique(np.stack([row, k], 1), axis=0, return_index=True)[1].tolist():
+                best[int(row[i]), int(k[i])] = int(row[i]), int(k[i]), int(shift[i]), 0, n, n
+            continue
         found.append(np.stack([row, index["item"][entry], at - start[row] - index["place"][entry]], 1))
-    if not found:
-        return []
-    best: dict[tuple[int, int], tuple] = {}
-    for row, k, shift in np.unique(np.concatenate(found), axis=0).tolist():
+    for row, k, shift in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
         s = index["start"][k]
         got = overlap(coded[row], index["codes"][s : s + index["length"][k]], shift)
         if got and ((row, k) not in best or got[2] > best[row, k][4]):
@@ -166,11 +191,12 @@ def find_overlaps(texts: list, index: dict) -> list[tuple[int, int, int, int, in
 def test_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[dict]:
     """Indexes over blocks of the distinct passages, each of about ``block_words`` words."""
     items = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    lone = F.length(F.regexp_replace("text", f"[^{UNSPACED}]", ""))
+    total = items.agg(F.sum(F.size(F.split("text", r"\s+")) + lone)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
-        rows = [(i, w) for i, t in zip(part["item_id"].to_pylist(), part["text"].to_pylist()) if len(w := words_of(t)) >= LEAST_WORDS]
+        rows = [(i, w) for i, t in zip(part["item_id"].to_pylist(), part["text"].to_pylist()) if (w := words_of(t))]
         if rows:
             yield TestIndex(rows).plain()
 

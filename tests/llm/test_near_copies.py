@@ -168,3 +168,52 @@ def test_nothing_to_compare(spark, odd_docs, no_docs):
     part = spark.createDataFrame([(1, " ".join(long_doc[20_000:20_030]))], "item_id bigint, text string")
     got = decontam.contaminated(odd_docs, part).collect()
     assert [(r.doc_id, r.doc_start, r.length) for r in got] == [(103, 20_000, 30)]
+
+
+def verbatim(docs, items):
+    """(doc, item) pairs whose document holds all words of the item in a row."""
+    out = set()
+    for d, text in docs:
+        w = decontam.words_of(text)
+        for i, passage in items:
+            p = decontam.words_of(passage)
+            if p and any(w[k : k + len(p)] == p for k in range(len(w) - len(p) + 1)):
+                out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("block_words", [400_000, 8])
+def test_short_passages_match_as_a_whole(spark, block_words):
+    rng = random.Random(9)
+    items = [(n, words(rng, n)) for n in (1, 2, 3, 4)] + [(5, "北京是首都"), (6, "三加三"), (7, "กรุงเทพ"), (8, "GPT 模型"), (9, "..."), (10, None)]
+    docs = []
+    for n, (i, p) in enumerate(items):
+        around = words(rng, 6), words(rng, 5)
+        docs.append((2 * n, f"{around[0]} {(p or '').upper()}, {around[1]} {p}"))
+        docs.append((2 * n + 1, f"{around[0]} {' '.join((p or '').split()[:-1])} other"))
+    docs += [(100, "我知道北京是首都吧"), (101, "北京是国都"), (102, "三加"), (103, "ไปกรุงเทพแล้ว"), (104, "用gpt模型写"), (None, items[3][1]), (105, None), (106, "")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = decontam.contaminated(df, bench, block_words).collect()
+    want = verbatim(docs, items)
+    assert {(100, 5), (103, 7), (104, 8), (None, 4)} <= want and not {(101, 5), (102, 6)} & want
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
+    assert all(r.item_start == 0 and r.length == r.matched for r in rows)
+    kept = decontam.drop_contaminated(df, bench, block_words)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in {x for x, _ in want})
+
+
+def test_passages_without_blanks(spark):
+    rng = random.Random(10)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    items = [(1, han(15) + "，" + han(14) + "？"), (2, han(40)), (3, "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(30)))]
+    wrong = list(items[1][1])
+    wrong[5] = wrong[17] = wrong[30] = "x"
+    docs = [(k, han(50) + p + han(30)) for k, p in items] + [(4, han(9) + "".join(wrong)), (5, han(80)), (6, items[1][1][:10] + han(30))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.doc_start) for r in decontam.contaminated(df, bench).collect())
+    assert [x[:2] for x in got] == sorted(brute_pairs(docs, items)) == [(1, 1), (2, 2), (3, 3), (4, 2)]
+    assert [x[2] for x in got[:3]] == [50, 50, 50]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(df, bench).collect()) == [5, 6]
+    assert len(list(decontam.test_blocks(bench, 45))) > 1
