@@ -131,3 +131,28 @@ def test_a_replayed_batch_doubles_nothing(spark):
         stream_report_refresh(spark, f"{base}/landing", schema, f"{base}/store", f"{base}/report", f"{base}/{state}", NOW, 14)
     assert spark.read.parquet(f"{base}/store").count() == 2
     assert latest_report(spark, f"{base}/report").count() == spark.read.parquet(f"{base}/report").count()
+
+
+def test_run_over_all_kinds_of_source(spark):
+    base = tempfile.mkdtemp(prefix="run-")
+    seconds = int(dt.datetime(2024, 1, 30, tzinfo=dt.timezone.utc).timestamp())
+    write(f"{base}/Json/f.json", feed(["Breach at one bank"]))
+    write(f"{base}/Kev/k.json", json.dumps({"vulnerabilities": [{"cveID": "CVE-2024-1", "vendorProject": "v", "product": "p", "vulnerabilityName": "n", "shortDescription": "d", "dateAdded": DAY, "dueDate": ""}]}))
+    write(f"{base}/Rss/r.xml", "<rss><channel><item><title>Rss story</title><link>https://rss.example/1</link><pubDate>Tue, 30 Jan 2024 00:00:00 GMT</pubDate></item></channel></rss>")
+    write(f"{base}/Rss/a.xml", '<feed><entry><title>Atom story</title><link href="https://atom.example/1"/><updated>2024-01-30T05:00:00Z</updated></entry></feed>')
+    cve = {"id": "CVE-2024-7", "published": f"{DAY}T00:00:00.000", "descriptions": [{"lang": "en", "value": "Overflow"}], "metrics": {"cvssMetricV31": [{"cvssData": {"baseScore": 9.8}}]}}
+    write(f"{base}/Nvd/n.json", json.dumps({"vulnerabilities": [{"cve": cve}]}))
+    for name in ("GHSA-1", "GHSA-2"):
+        write(f"{base}/Osv/PyPI/{name}.json", json.dumps({"id": name, "summary": "Flaw", "modified": f"{DAY}T00:00:00Z"}))
+    write(f"{base}/Hn/ids/top.json", "[5]")
+    write(f"{base}/Hn/items/a.json", json.dumps({"id": 5, "type": "story", "title": "Ransomware attack", "time": seconds, "score": 3}))
+    manifest = spark.createDataFrame([("PyPI", "GHSA-1.json", 10), ("PyPI", "../GHSA-2.json", 10)], "ecosystem string, filename string, file_size bigint")
+    types = {"Hn": "hn_api", "Json": "json_api", "Kev": "json_api", "Nvd": "nvd_api", "Osv": "osv_api", "Rss": "rss"}
+    registry = [("cve", n, t, "https://www.cisa.gov/x" if n == "Kev" else "https://x.example", 1, True) for n, t in types.items()]
+    got = run_sources(spark, spark.createDataFrame(registry, S.REGISTRY_SCHEMA), base, NOW, 48, manifest=manifest)
+    assert got.failed == []
+    rows = sorted((r.source_name, r.title) for r in got.items.collect())
+    assert rows == [
+        ("Hn", "Ransomware attack"), ("Json", "Breach at one bank"), ("Kev", "[CISA KEV] CVE-2024-1 — v p: n"), ("Nvd", "CVE-2024-7: Overflow"),
+        ("Osv", "GHSA-1: Flaw"), ("Rss", "Atom story"), ("Rss", "Rss story"),
+    ]
