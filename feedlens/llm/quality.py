@@ -10,6 +10,9 @@ so no document need be labelled bad. The class prior is estimated from the same
 sets: the smallest ratio, over score thresholds, of the unlabelled to the positive share
 above the threshold (an upper bound that is tight where only positives score high).
 
+Gradient steps are taken on bounded samples; the features' mean and scale and the
+unlabelled shares that the prior is read from are counted over all unlabelled documents.
+
 Defined results: a null text is the empty text; repeated rows score alike; an empty
 table gives no rows; without positives or without unlabelled text every score is the
 prior given for that case.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .common import score_rows, sigmoid
+from .common import score_rows, ship_by_value, sigmoid
 
 #: Bounded samples that the model is fitted on (chosen by id hash).
 POSITIVE_CAP = 8000
@@ -110,10 +114,11 @@ def logits_of(x, mean, scale, values):
     return h @ w2 + b2
 
 
-def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500, rate: float = 3e-3, batch: int = 512, seed: int = 11) -> Net:
+def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, moments: tuple[np.ndarray, np.ndarray] | None = None, hidden: int = 24, steps: int = 1500, rate: float = 3e-3, batch: int = 512, seed: int = 11) -> Net:
     """Adam on the non-negative risk; where the corrected part goes below zero, its gradient is turned round."""
     rng = np.random.default_rng(seed)
-    mean, scale = unl.mean(0), unl.std(0) + 1e-6
+    mean, scale = (unl.mean(0), unl.std(0)) if moments is None else moments
+    scale = scale + 1e-6
     p, u = np.clip((pos - mean) / scale, -8, 8), np.clip((unl - mean) / scale, -8, 8)
     d = p.shape[1]
     values = [rng.normal(0, np.sqrt(2 / d), (d, hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(())]
@@ -145,49 +150,129 @@ def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24,
     return Net(mean, scale, tuple(values))
 
 
+def thresholds(pos: np.ndarray, least: float = 0.05) -> np.ndarray:
+    """Score thresholds, rising, that the prior is read at."""
+    return np.quantile(pos, np.linspace(0, 1 - least, 96))
+
+
+def reached(ts: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """How many scores reach none, the first, .. all of the thresholds at most."""
+    return np.bincount(np.searchsorted(ts, scores, "right"), minlength=len(ts) + 1)
+
+
 def estimate_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.05) -> float:
-    """Share of positives among the unlabelled, from held-back scores of both sets.
+    """Share of positives among the unlabelled, from held-back scores of both sets."""
+    return prior_of_counts(pos, reached(thresholds(pos, least), unl), least)
+
+
+def prior_of_counts(pos: np.ndarray, counts: np.ndarray, least: float = 0.05) -> float:
+    """``estimate_prior`` with the unlabelled scores given as ``reached`` counts.
 
     For a threshold t: unlabelled above t is at least prior * positives above t, so every
     ratio bounds the prior from above; sampling error is added before the smallest is taken.
     """
-    ts = np.quantile(pos, np.linspace(0, 1 - least, 96))
+    total = counts.sum()
     best = 1.0
-    for t in ts:
-        qp, qu = (pos >= t).mean(), (unl >= t).mean()
-        err = np.sqrt(np.log(200) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(len(unl)))
+    for i, t in enumerate(thresholds(pos, least)):
+        qp, qu = (pos >= t).mean(), counts[i + 1 :].sum() / total
+        err = np.sqrt(np.log(200) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(total))
         if qp > least and (qu + err) / qp < best + err / qp:
             best = min(best, qu / qp + 0.25 * err / qp)
     return float(min(max(best, 0.02), 0.98))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray) -> tuple[Net | None, float]:
-    """Prior from a first model scored on the halves it didn't see, then the final model."""
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """An array column of features as rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), FEATURES)
+
+
+def moments_of(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, standard deviation) of the features ``x`` of all rows; each task gives one row."""
+    ship_by_value()
+
+    def merge(a, b):
+        n, shift = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + shift * (b[0] / n), a[2] + b[2] + shift**2 * (a[0] * b[0] / n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column(0))
+                one = (len(x), x.mean(0), ((x - x.mean(0)) ** 2).sum(0))
+                total = one if total is None else merge(total, one)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total[0]], pa.int64()), pa.array([total[1]], pa.list_(pa.float64())), pa.array([total[2]], pa.list_(pa.float64()))], names=["n", "mean", "m2"])
+
+    parts = rows.select("x").mapInArrow(run, "n bigint, mean array<double>, m2 array<double>").orderBy("n", "mean", "m2").collect()
+    total = None
+    for r in parts:
+        one = (r["n"], np.array(r["mean"]), np.array(r["m2"]))
+        total = one if total is None else merge(total, one)
+    return total[1], np.sqrt(total[2] / total[0])
+
+
+def held_back_counts(rows: DataFrame, models: list[tuple[Net, np.ndarray, pa.Array]]) -> list[np.ndarray]:
+    """``reached`` counts of all rows (doc_id, x) for each (model, thresholds, ids that the model was trained on)."""
+    ship_by_value()
+    plain = [((m.mean, m.scale, m.values), ts, ids) for m, ts, ids in models]
+    ref = rows.sparkSession.sparkContext.broadcast(plain)  # ids: half a bounded sample each
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        models = ref.value
+        total = [np.zeros(len(ts) + 1, np.int64) for _, ts, _ in models]
+        for b in batches:
+            x = matrix(b.column(1))
+            for k, (values, ts, ids) in enumerate(models):
+                fresh = ~pc.is_in(b.column(0), value_set=ids).to_numpy(zero_copy_only=False)
+                total[k] += reached(ts, logits_of(x[fresh], *values))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.list_(pa.int64()))], names=["model", "counts"])
+
+    got = rows.select("doc_id", "x").mapInArrow(run, "model int, counts array<bigint>")
+    each = got.select("model", F.posexplode("counts").alias("at", "n")).groupBy("model", "at").agg(F.sum("n").alias("n")).collect()
+    out = [np.zeros(len(ts) + 1, np.int64) for _, ts, _ in models]
+    for r in each:
+        out[r["model"]][r["at"]] = r["n"]
+    return out
+
+
+def fit(pos: pa.Table, unl: pa.Table, unlabelled: DataFrame) -> tuple[Net | None, float]:
+    """Prior from two first models, each counted on what it didn't see, then the final model.
+
+    ``pos``, ``unl``: samples (doc_id, x); ``unlabelled``: all unlabelled rows (doc_id, x).
+    """
     if len(pos) < 2 or len(unl) < 2:
         return None, NO_DATA_PRIOR
-    a, b = np.arange(len(pos)) % 2 == 0, np.arange(len(unl)) % 2 == 0
-    found = []
+    moments = moments_of(unlabelled)
+    p, u = matrix(pos["x"]), matrix(unl["x"])
+    a, b = np.arange(len(p)) % 2 == 0, np.arange(len(u)) % 2 == 0
+    models, held = [], []
     for flip in (False, True):
-        first = train_nnpu(pos[a ^ flip], unl[b ^ flip], 0.5, steps=500)
-        found.append(estimate_prior(first.logits(pos[~(a ^ flip)]), first.logits(unl[~(b ^ flip)])))
-    prior = float(np.mean(found))
-    return train_nnpu(pos, unl, prior), prior
+        first = train_nnpu(p[a ^ flip], u[b ^ flip], 0.5, moments, steps=500)
+        held.append(first.logits(p[~(a ^ flip)]))
+        models.append((first, thresholds(held[-1]), unl["doc_id"].filter(pa.array(b ^ flip)).combine_chunks()))
+    prior = float(np.mean([prior_of_counts(h, c) for h, c in zip(held, held_back_counts(unlabelled, models))]))
+    return train_nnpu(p, u, prior, moments), prior
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None, positive_cap: int = POSITIVE_CAP, unlabelled_cap: int = UNLABELLED_CAP) -> tuple[Net | None, float]:
     """(model, estimated prior). ``learn``: rows that may be learned from, by ``doc_id``."""
     learn = F.lit(True) if learn is None else learn
-    one = labels.where(learn & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q"))
-    pos_ids = one.where("q = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positive_cap).select("doc_id", F.lit(1).alias("y"))
-    free = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    unl_ids = (
-        free.join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled_cap).select("doc_id", F.lit(0).alias("y"))
-    )
-    rows = feature_rows(C.texts_of(docs, pos_ids.unionByName(unl_ids))).toArrow().sort_by([("y", "ascending"), ("doc_id", "ascending")])
-    y = np.asarray(rows["y"].to_pylist(), np.int64)
-    x = np.array(rows["x"].to_pylist(), np.float64).reshape(len(y), FEATURES)
-    return fit(x[y == 1], x[y == 0])
+    one = labels.where(learn & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q"), F.lit(True).alias("labelled"))
+    free = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    # repeated rows of an id count once; texts stay where they are read, only features are joined
+    rows = feature_rows(free).groupBy("doc_id").agg(F.min("x").alias("x")).join(one, "doc_id", "left")
+    rows = C.staged(rows.where(F.col("labelled").isNull() | (F.col("q") == 1)), "features")
+    unlabelled = rows.where(F.col("labelled").isNull()).select("doc_id", "x")
+
+    def sample(df: DataFrame, cap: int) -> pa.Table:
+        return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cap).select("doc_id", "x").toArrow().sort_by("doc_id")
+
+    return fit(sample(rows.where("q = 1"), positive_cap), sample(unlabelled, unlabelled_cap), unlabelled)
 
 
 def scorer(ref):

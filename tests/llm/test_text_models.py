@@ -212,3 +212,25 @@ def test_prior_estimate_on_known_mixtures():
         pos = rng.normal(2, 1, 4000)
         unl = np.where(rng.random(8000) < share, rng.normal(2, 1, 8000), rng.normal(-2, 1, 8000))
         assert abs(quality.estimate_prior(pos, unl) - share) < 0.06
+
+
+def test_statistics_cover_all_unlabelled_documents(spark, monkeypatch):
+    rows = pu_rows(n=400)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(rows[1][0], rows[1][1])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, g, 0) for i, _, g in rows if i % 3 == 0], "doc_id bigint, quality int, toxic int")
+    seen = []
+    whole = quality.prior_of_counts
+    monkeypatch.setattr(quality, "prior_of_counts", lambda pos, counts: seen.append(counts.sum()) or whole(pos, counts))
+    model, prior = quality.fit_quality(docs, labels, positive_cap=60, unlabelled_cap=40)
+    x = np.stack([quality.features(t) for i, t, _ in rows if i % 3])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-6)
+    assert seen == [len(x) - 20] * 2 and 0 < prior < 1
+
+
+def test_counts_give_the_prior_of_the_scores():
+    rng = np.random.default_rng(3)
+    pos, unl = rng.normal(2, 1, 500), rng.normal(0, 2, 700)
+    ts = quality.thresholds(pos)
+    counts = quality.reached(ts, unl)
+    assert [counts[i + 1 :].sum() for i in range(len(ts))] == [(unl >= t).sum() for t in ts]
+    assert quality.prior_of_counts(pos, counts) == quality.estimate_prior(pos, unl)
