@@ -77,7 +77,7 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model, prior = quality.fit_quality(docs, labels, id_fold("doc_id", 4) != 2)
     out = quality.score_quality(docs, model, prior)
-    return out.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "score", quality.is_good(F.col("score"), model).cast("int").alias("predicted"))
 
 
 QUERIES = {

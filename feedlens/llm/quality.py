@@ -14,8 +14,9 @@ Gradient steps are taken on bounded samples; the features' mean and scale and th
 unlabelled shares that the prior is read from are counted over all unlabelled documents.
 
 Defined results: a null text is the empty text; repeated rows score alike; an empty
-table gives no rows; without positives or without unlabelled text every score is the
-prior given for that case.
+table gives no rows; with fewer than two unlabelled documents, all learnable ones count as
+unlabelled, their labels hidden (the risk only asks for a sample of the mixture); without
+two positives nothing is learned: every score is 0.5 and every document counts as good.
 """
 
 from __future__ import annotations
@@ -266,8 +267,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: F.Column | None = Non
     free = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id", "text")
     # repeated rows of an id count once; texts stay where they are read, only features are joined
     rows = feature_rows(free).groupBy("doc_id").agg(F.min("x").alias("x")).join(one, "doc_id", "left")
-    rows = C.staged(rows.where(F.col("labelled").isNull() | (F.col("q") == 1)), "features")
+    rows = C.staged(rows, "features")
     unlabelled = rows.where(F.col("labelled").isNull()).select("doc_id", "x")
+    if len(unlabelled.limit(2).toArrow()) < 2:
+        unlabelled = rows.select("doc_id", "x")
 
     def sample(df: DataFrame, cap: int) -> pa.Table:
         return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cap).select("doc_id", "x").toArrow().sort_by("doc_id")
@@ -300,6 +303,11 @@ def score_quality(docs: DataFrame, model: Net | None, prior: float) -> DataFrame
     return score_rows(docs.select("doc_id", "text"), "text", scorer(share(docs, model, prior)), {"score": pa.float64()}, "score double")
 
 
+def is_good(score: F.Column, model: Net | None, threshold: float = 0.7) -> F.Column:
+    """Whether a scored document counts as good, by the rule of ``keep_good``."""
+    return F.lit(model is None) | (score >= threshold)
+
+
 def keep_good(docs: DataFrame, model: Net | None, prior: float, threshold: float = 0.7) -> DataFrame:
     """The documents that score at least ``threshold``, all columns unchanged (all, if nothing was learned)."""
     if model is None:

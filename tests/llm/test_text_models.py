@@ -234,3 +234,24 @@ def test_counts_give_the_prior_of_the_scores():
     counts = quality.reached(ts, unl)
     assert [counts[i + 1 :].sum() for i in range(len(ts))] == [(unl >= t).sum() for t in ts]
     assert quality.prior_of_counts(pos, counts) == quality.estimate_prior(pos, unl)
+
+
+def test_labels_on_every_document(spark):
+    rows = pu_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, g, 0) for i, _, g in rows], "doc_id bigint, quality int, toxic int")
+    model, prior = quality.fit_quality(docs, labels, id_fold("doc_id", 4) != 2)
+    assert model is not None and 0.6 <= prior <= 0.9
+    kept = {r.doc_id for r in quality.keep_good(docs, model, prior).collect()}
+    held = [(i, g) for i, _, g in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(i in kept) == (g == 1) for i, g in held]) >= 0.95
+
+
+def test_query_and_stage_agree_where_nothing_is_learned(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in pu_rows(n=30)], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    from feedlens.llm import catalog
+
+    rows = catalog.op10_quality_pu(spark, str(tmp_path)).collect()
+    assert len(rows) == 30 and {(r.score, r.predicted) for r in rows} == {(0.5, 1)}
