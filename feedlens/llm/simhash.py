@@ -66,13 +66,13 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried columns, fp): the fingerprint as a signed long."""
 
     def make():
         return lambda texts: {"fp": np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)}
 
-    return score_rows(docs.select("doc_id", "text"), "text", make, {"fp": pa.int64()}, "fp bigint")
+    return score_rows(docs.select("doc_id", "text", *carry), "text", make, {"fp": pa.int64()}, "fp bigint")
 
 
 # ---- partitions and thresholds ----
@@ -266,14 +266,16 @@ def links(nodes: DataFrame, parts: list[Part], tau: int, crowded: int = CROWDED)
     return hit.select(F.least("gx", "gy").alias("a"), F.greatest("gx", "gy").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU, sample: int = SAMPLE, crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, fp, component_id) of every document."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU, sample: int = SAMPLE, crowded: int = CROWDED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id) of every document; with carried columns these and ``grp``, a key of the group."""
     spark = docs.sparkSession
-    rows = staged(fingerprints(docs, shingle), "fp")
+    rows = staged(fingerprints(docs, shingle, carry), "fp")
+    group = ["grp"] if carry else []
+    out = ["doc_id", "fp", "component_id", *carry, *group]
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     picked = nodes.orderBy(F.xxhash64("fp")).limit(sample).select("fp").toArrow()["fp"].to_numpy().astype(np.int64).view(np.uint64)
     if len(picked) < 2:
-        return rows.join(nodes.withColumnRenamed("rep", "component_id"), "fp").select("doc_id", "fp", "component_id")
+        return rows.join(nodes.withColumnRenamed("rep", "component_id").withColumn("grp", F.col("fp")), "fp").select(out)
     parts = choose_parts(picked, nodes.count(), tau)
     index = index_rows(nodes.withColumn("grp", F.col("fp")), parts)
     busy = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= crowded).isEmpty()
@@ -285,21 +287,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU, sam
     final = nodes if edges.isEmpty() else grouped(nodes.withColumnRenamed("grp", "g0"), edges, "g0")
     # most groups are one fingerprint of one document; the id is the smallest document of all
     least = final.groupBy("grp").agg(F.min("rep").alias("component_id"))
-    of_fp = staged(final.select("fp", "grp").join(least, "grp").select("fp", "component_id"), "comp")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = staged(final.select("fp", "grp").join(least, "grp").select("fp", "component_id", *group), "comp")
+    return rows.join(of_fp, "fp").select(out)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
     """One document of each group, that with the smallest doc_id; all columns unchanged.
 
-    Repeated rows of the kept id count once. Rows without a doc_id can't be named, so they stay.
+    A doc_id that comes several times is decided row by row: of its unlike texts each is
+    kept or dropped by its own group, and equal rows count once. Rows without a doc_id
+    can't be named, so they stay.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
-    found = near_duplicates(named.select("doc_id", "text"), shingle, tau)
-    gone = staged(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("_text_key"))
+    found = staged(near_duplicates(named, shingle, tau, carry=("_text_key",)), "near")
     again = staged(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = staged(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = gone.unionByName(again).distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # of each group the row of smallest (doc_id, fingerprint), where its id is a repeated one
+    first = found.groupBy("grp").agg(F.min(F.struct("doc_id", "fp", "_text_key")).alias("r")).select("r.doc_id", "r._text_key").distinct()
+    first = staged(first.join(again, "doc_id", "left_semi"), "first")
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    once = keyed.join(first, ["doc_id", "_text_key"], "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return kept.unionByName(once.select(docs.columns))

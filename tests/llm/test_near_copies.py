@@ -217,3 +217,16 @@ def test_passages_without_blanks(spark):
     assert [x[2] for x in got[:3]] == [50, 50, 50]
     assert sorted(r.doc_id for r in decontam.drop_contaminated(df, bench).collect()) == [5, 6]
     assert len(list(decontam.test_blocks(bench, 45))) > 1
+
+
+def test_unlike_texts_under_one_id_are_decided_each(spark):
+    rng = random.Random(14)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (4, c), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "k", 7) for i, t in rows], "doc_id bigint, text string, key string, fp bigint")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.schema == docs.schema
+    got = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    assert got == sorted([(1, a), (2, b), (3, c), (3, d), (5, "")])
+    one = spark.createDataFrame([(1, a), (1, a), (2, a)], "doc_id bigint, text string")
+    assert [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(one).collect()] == [(1, a)]
