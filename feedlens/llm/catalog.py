@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mtree, packing, quality, sharding, simhash, tokens, toxicity, warc
+from . import decontam, langid, merkle, mtree, packing, quality, sharding, simhash, tokens, toxicity, warc
 from .common import id_fold, scratch_path, staged, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -80,6 +80,24 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "score", quality.is_good(F.col("score"), model).cast("int").alias("predicted"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampers = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    cut = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    leaves = docs.select(
+        "doc_id", "source",
+        merkle.leaf_digest(*fields, F.col("text")).alias("leaf"),
+        F.when(tampers & (F.length(cut) < F.length("text")), merkle.leaf_digest(*fields, cut)).alias("tampered"),
+    )
+    m = merkle.manifest(leaves, group="source", order="doc_id", leaf="leaf", carry=["doc_id", "tampered"])
+    m = m.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return m.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_mtree_topk": op1_mtree_topk,
     "op2_toxicity": op2_toxicity,
@@ -91,6 +109,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_quality_pu": op10_quality_pu,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _TOP_K_SQL = """
