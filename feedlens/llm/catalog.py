@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, merkle, mtree, packing, phrases, quality, sharding, simhash, tokens, toxicity, warc
+from . import decontam, langid, merkle, mtree, packing, phrases, quality, secrets, sharding, simhash, tokens, toxicity, warc
 from .common import id_fold, scratch_path, staged, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -80,6 +80,19 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "score", quality.is_good(F.col("score"), model).cast("int").alias("predicted"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def of_kind(kind: str):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    counts = [F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS]
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.joined_spans(base), 256).alias("base_sha256"), secrets.joined_spans(F.col("spans")).alias("spans")
+    )
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.top_collocations(phrases.collocations(table(spark, sf_dir, "documents"), max_words=3, least=10), most=2000)
 
@@ -113,6 +126,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_quality_pu": op10_quality_pu,
+    "op11_secrets": op11_secrets,
     "op12_phrases": op12_phrases,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
