@@ -10,8 +10,9 @@ of ``ENCODINGS`` that holds all its characters. Three tests look at the numbers
 * serial correlation of neighbours.
 
 Each test is taken against two models. Against uniform random characters none may reject (``ALPHA``, Bonferroni).
-Against ordinary strings the three must together (Stouffer) reject: ordinary strings have the character
-frequencies, half changes and correlation of all the corpus' shorter runs of the same encoding.
+Against ordinary strings the three must together reject: ordinary strings have the character frequencies, half
+changes and correlation of all the corpus' shorter runs of the same encoding. The tests are combined by
+Stouffer's method; a test weighs as much as it can tell random from ordinary strings of that length and encoding.
 The p-values against ordinary strings then pass a false-discovery control that is aware of length: a short
 string proves little, so each encoding and band of lengths is a family of its own, with a
 Benjamini-Yekutieli threshold (valid under dependence) from the histogram of the family's p-values over the whole corpus.
@@ -164,7 +165,8 @@ def scan_window(w: Window, chars_before: dict[int, int]) -> tuple[dict[int, tupl
     ``chars_before`` has the characters of each document's earlier windows and is brought up to date.
     """
     a = np.frombuffer(w.data, np.uint8)
-    chars = np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80, dtype=np.int64)])
+    chars = np.zeros(len(a) + 1, np.int64)
+    np.cumsum((a & 0xC0) != 0x80, out=chars[1:])
     offset = np.zeros(len(w.owner), np.int64)  # added to a window place in characters: place in the text
     ends = np.concatenate([w.first[1:], [len(a)]]) - 1
     for p, (doc, _) in enumerate(w.owner):
@@ -274,20 +276,24 @@ def battery(n, enc, same, changes, corr, model) -> tuple[np.ndarray, np.ndarray]
     """(p against random, p against ordinary) of every candidate."""
     size = SIZES[enc].astype(float)
     kappa, tau, rho, r0 = (np.array([model[int(e)][k] for e in enc]) for k in range(4))
+    rho = np.clip(rho, 1e-3, 1 - 1e-3)
     pairs = n * (n - 1) / 2
 
-    def z_same(k, t):
-        var = pairs * (k - k * k) + n * (n - 1) * (n - 2) * np.maximum(0, t - k * k)
-        return (same - pairs * k) / np.sqrt(np.maximum(var, 1e-9))
+    def same_sd(k, t):
+        return np.sqrt(np.maximum(pairs * (k - k * k) + n * (n - 1) * (n - 2) * np.maximum(0, t - k * k), 1e-9))
 
-    def z_changes(p):
-        return (changes - (n - 1) * p) / np.sqrt(np.maximum((n - 1) * p * (1 - p), 1e-9))
-
-    z_corr = (corr + 1 / n) * np.sqrt(n)
-    each = [_tail(z_same(1 / size, 1 / size**2)), 2 * _tail(np.abs(z_changes(0.5))), 2 * _tail(np.abs(z_corr))]
+    random_same = (same - pairs / size) / same_sd(1 / size, 1 / size**2)
+    random_changes = (changes - (n - 1) / 2) / np.sqrt((n - 1) / 4)
+    random_corr = (corr + 1 / n) * np.sqrt(n)
+    each = [_tail(random_same), 2 * _tail(np.abs(random_changes)), 2 * _tail(np.abs(random_corr))]
     p_random = np.minimum(1, 3 * np.minimum.reduce(each))
-    apart = -z_same(kappa, tau) + z_changes(np.clip(rho, 1e-3, 1 - 1e-3)) + (np.abs(r0) - np.abs(corr)) * np.sqrt(n)
-    return p_random, _tail(apart / math.sqrt(3))
+
+    # against ordinary strings: the score of each test, and where random strings of this length would have it
+    sd_same, sd_changes = same_sd(kappa, tau), np.sqrt((n - 1) * rho * (1 - rho))
+    z = np.array([(same - pairs * kappa) / sd_same, (changes - (n - 1) * rho) / sd_changes, (corr - r0) * np.sqrt(n)])
+    shift = np.array([pairs * (1 / size - kappa) / sd_same, (n - 1) * (0.5 - rho) / sd_changes, (-1 / n - r0) * np.sqrt(n)])
+    apart = (z * shift).sum(axis=0) / np.sqrt(np.maximum((shift * shift).sum(axis=0), 1e-9))
+    return p_random, _tail(apart)
 
 
 def rated(scanned: DataFrame, model: dict) -> DataFrame:
