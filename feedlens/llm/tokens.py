@@ -119,6 +119,17 @@ class PieceEncoder:
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+def shared_encoder(path: str) -> PieceEncoder:
+    """The encoder of this worker process: what it remembers outlives a task where Spark uses workers again."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_feedlens_worker", types.ModuleType("_feedlens_worker")).__dict__.setdefault("encoders", {})
+    if path not in held:
+        held[path] = PieceEncoder(path)
+    return held[path]
+
+
 def is_latin1(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -146,10 +157,20 @@ def count_short(docs: DataFrame, path: str) -> DataFrame:
 
 def chunk_rows(long_docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """(key, part, last, chunk): chunk ``part`` starts at part * chunk and runs ``overlap`` characters into the next."""
-    last = F.floor((F.length("text") - 1) / F.lit(chunk))
-    return long_docs.select("key", "text", last.alias("last")).select(
-        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("part"), "last", "text"
-    ).select("key", "part", "last", F.col("text").substr((F.col("part") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("chunk"))
+    ship_by_value()
+    held = max(1, (4 << 20) // (chunk + overlap))  # chunks handed on at a time
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                last = (len(text) - 1) // chunk
+                for first in range(0, last + 1, held):
+                    parts = range(first, min(last + 1, first + held))
+                    cut = [text[p * chunk : p * chunk + chunk + overlap] for p in parts]
+                    numbers = [pa.array(v, pa.int64()) for v in ([key] * len(cut), list(parts), [last] * len(cut))]
+                    yield pa.RecordBatch.from_arrays([*numbers, pa.array(cut, pa.string())], names=["key", "part", "last", "chunk"])
+
+    return long_docs.select("key", "text").mapInArrow(run, "key bigint, part bigint, last bigint, chunk string")
 
 
 def boundaries(text: str, starts: np.ndarray) -> np.ndarray:

@@ -104,12 +104,24 @@ def test_packing_odd_rows(odd_docs, odd_rows, vocabulary):
     assert {r.doc_id for r in check} == set(texts)
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_packing_never_alters_ids(spark, vocabulary, kind):
+    rng = random.Random(6)
+    ids = [2**53 + 1, 2**53 + 3, 2**53 + 5, 2**62 + 7, None]
+    texts = {i if i is None or kind == "bigint" else f"d{i}": words(rng, 9) for i in ids}
+    df = spark.createDataFrame(list(texts.items()), f"doc_id {kind}, text string").repartition(5)
+    rows = packing.pack_documents(df, vocabulary)
+    assert rows.schema["doc_id"].dataType.simpleString() == kind
+    check_packing(rows.collect(), texts, Tokenizer.from_file(vocabulary), 4096)
+    assert {r.doc_id for r in rows.collect()} == set(texts)
+
+
 def test_open_windows_are_bounded():
     rng = random.Random(2)
     w = packing.Windows(100, 5, 8)
     closed = []
     for i in range(2000):
-        closed += w.place(i, 0, rng.randint(1, 250))
+        closed += w.place(i, 0, bytes(4 * rng.randint(1, 250)))
         assert len(w.open) <= 5
     assert all(100 - x[0] < 8 for x in closed)
     closed += w.merge()
