@@ -16,12 +16,11 @@ unlabelled shares that the prior is read from are counted over all unlabelled do
 Defined results: a null text is the empty text; repeated rows score alike; an empty
 table gives no rows; with fewer than two unlabelled documents, all learnable ones count as
 unlabelled, their labels hidden (the risk only asks for a sample of the mixture); without
-two positives nothing is learned: every score is 0.5 and every document counts as good.
+two positives nothing is learned: every score is the least that counts as good (``UNLEARNED``), so that nothing is dropped.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,10 +35,10 @@ from .common import score_rows, ship_by_value, sigmoid
 #: Bounded samples that the model is fitted on (chosen by id hash).
 POSITIVE_CAP = 8000
 UNLABELLED_CAP = 16000
-#: Score of everything where nothing can be learned.
+#: Prior, and score of everything, where nothing can be learned.
 NO_DATA_PRIOR = 0.5
+UNLEARNED = 0.7
 
-WORD = re.compile(r"\S+")
 BYTE_KIND = np.zeros(256, np.int64)
 for _i in range(256):
     _c = chr(_i)
@@ -273,7 +272,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: F.Column | None = Non
         unlabelled = rows.select("doc_id", "x")
 
     def sample(df: DataFrame, cap: int) -> pa.Table:
-        return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cap).select("doc_id", "x").toArrow().sort_by("doc_id")
+        return C.smallest_hashes(df, cap, "doc_id").select("doc_id", "x").toArrow().sort_by("doc_id")
 
     return fit(sample(rows.where("q = 1"), positive_cap), sample(unlabelled, unlabelled_cap), unlabelled)
 
@@ -284,7 +283,7 @@ def scorer(ref):
 
         def score(texts):
             if model is None or not texts:
-                return {"score": np.full(len(texts), prior)}
+                return {"score": np.full(len(texts), UNLEARNED)}
             x = np.stack([features(t) for t in texts])
             return {"score": sigmoid(logits_of(x, *model))}
 
@@ -303,15 +302,8 @@ def score_quality(docs: DataFrame, model: Net | None, prior: float) -> DataFrame
     return score_rows(docs.select("doc_id", "text"), "text", scorer(share(docs, model, prior)), {"score": pa.float64()}, "score double")
 
 
-def is_good(score: F.Column, model: Net | None, threshold: float = 0.7) -> F.Column:
-    """Whether a scored document counts as good, by the rule of ``keep_good``."""
-    return F.lit(model is None) | (score >= threshold)
-
-
 def keep_good(docs: DataFrame, model: Net | None, prior: float, threshold: float = 0.7) -> DataFrame:
-    """The documents that score at least ``threshold``, all columns unchanged (all, if nothing was learned)."""
-    if model is None:
-        return docs
+    """The documents that score at least ``threshold``, all columns unchanged."""
     make = scorer(share(docs, model, prior))
 
     def keeper():

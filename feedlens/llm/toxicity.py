@@ -150,7 +150,3 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> Da
         return lambda texts: score(texts)["score"] < threshold
 
     return C.keep_rows(docs, "text", keeper)
-
-
-def learnable(mod: int = 5, held: int = 0):
-    return C.id_fold("doc_id", mod) != held
