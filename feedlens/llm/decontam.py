@@ -15,7 +15,7 @@ Defined results: words are runs of letters and digits, lower-cased, but each let
 script written without blanks (Han, kana, Thai, ..) is a word; passages of fewer than 5
 words, such a letter counted as half a word, match only where the document holds all
 their words in a row; passages without a word (and null ones) match nothing; equal
-passages are one, under their smallest item_id; null texts have no words; repeated rows
+passages are searched as one, under their smallest item_id, and given for each of them; null texts have no words; repeated rows
 and null ids of documents each give their own rows; empty tables give no rows.
 """
 
@@ -29,8 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import keep_rows, ship_by_value, small_batches
+from ..operators.report import skew_safe_join
+from .common import keep_rows, ship_by_value, small_batches, staged
 
 MASKS = ("11101011", "111010011", "1100110101")
 WINDOW = 13
@@ -201,7 +203,20 @@ def test_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
             yield TestIndex(rows).plain()
 
 
-OVERLAP_DDL = "item_id bigint, doc_start bigint, item_start bigint, length bigint, matched bigint"
+OVERLAP_DDL = "doc_start bigint, item_start bigint, length bigint, matched bigint"
+
+
+def with_equal_items(found: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The pairs of every passage that stands for others of equal text, given for those, too."""
+    equal = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id"), F.sort_array(F.collect_set("item_id")).alias("_items"))
+    equal = staged(equal.where(F.size("_items") > 1).select("item_id", "_items"), "equal-items")
+    if equal.isEmpty():
+        return found
+    # one passage may be hit by a large share of all documents: the join splits hot keys
+    found = staged(found, "overlaps")
+    more = skew_safe_join(found, equal, ["item_id"])
+    more = more.withColumn("_item", F.explode("_items")).where(F.col("_item") != F.col("item_id"))
+    return found.unionByName(more.withColumn("item_id", F.col("_item")).select(found.columns))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -209,6 +224,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
     ship_by_value()
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("doc_id", docs), ("item_id", benchmark))]
+    ddl = ", ".join([*kinds, OVERLAP_DDL])
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for index in test_blocks(benchmark, block_words):
         ref = spark.sparkContext.broadcast(index)  # at most block_words words (one passage at least)
@@ -219,15 +237,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
                 found = find_overlaps(b.column(1).to_pylist(), index)
                 cols = list(zip(*found)) if found else [[]] * 6
                 ids = b.column(0).take(pa.array(cols[0], pa.int64()))
-                items = pa.array([index["item_ids"][k] for k in cols[1]], pa.int64())
+                items = pa.array([index["item_ids"][k] for k in cols[1]], item_type)
                 yield pa.RecordBatch.from_arrays([ids, items, *[pa.array(c, pa.int64()) for c in cols[2:]]], names=["doc_id", "item_id", "doc_start", "item_start", "length", "matched"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {OVERLAP_DDL}")
+        part = docs.select("doc_id", "text").mapInArrow(run, ddl)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        return spark.createDataFrame([], f"doc_id {kind}, {OVERLAP_DDL}")
-    return out
+        return spark.createDataFrame([], ddl)
+    return with_equal_items(out, benchmark)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import score_rows, ship_by_value, staged
+from ..operators.report import skew_safe_join
+from .common import score_rows, ship_by_value, smallest_hashes, staged
 
 SHINGLE = 4
 TAU = 4
@@ -273,42 +274,58 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU, sam
     group = ["grp"] if carry else []
     out = ["doc_id", "fp", "component_id", *carry, *group]
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    picked = nodes.orderBy(F.xxhash64("fp")).limit(sample).select("fp").toArrow()["fp"].to_numpy().astype(np.int64).view(np.uint64)
+    picked = smallest_hashes(nodes, sample, "fp").select("fp").toArrow()["fp"].to_numpy().astype(np.int64).view(np.uint64)
     if len(picked) < 2:
         return rows.join(nodes.withColumnRenamed("rep", "component_id").withColumn("grp", F.col("fp")), "fp").select(out)
     parts = choose_parts(picked, nodes.count(), tau)
     index = index_rows(nodes.withColumn("grp", F.col("fp")), parts)
-    busy = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= crowded).isEmpty()
+    calm = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= crowded).isEmpty()
     nodes = nodes.withColumn("grp", F.col("fp"))
-    if not busy:
+    if not calm:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         nodes = staged(grouped(nodes.drop("grp"), staged(sorted_links(index, tau, n), "runs"), "fp"), "groups")
     edges = staged(links(nodes.select("fp", "grp"), parts, tau, crowded), "links")
     final = nodes if edges.isEmpty() else grouped(nodes.withColumnRenamed("grp", "g0"), edges, "g0")
     # most groups are one fingerprint of one document; the id is the smallest document of all
+    # a group or a fingerprint may hold a large share of all rows: both joins split hot keys
+    final = staged(final.select("fp", "grp", "rep"), "final")
     least = final.groupBy("grp").agg(F.min("rep").alias("component_id"))
-    of_fp = staged(final.select("fp", "grp").join(least, "grp").select("fp", "component_id", *group), "comp")
-    return rows.join(of_fp, "fp").select(out)
+    of_fp = staged(skew_safe_join(final.select("fp", "grp"), least, ["grp"]).select("fp", "component_id", *group), "comp")
+    return skew_safe_join(rows, of_fp, ["fp"]).select(out)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
     """One document of each group, that with the smallest doc_id; all columns unchanged.
 
     A doc_id that comes several times is decided row by row: of its unlike texts each is
-    kept or dropped by its own group, and equal rows count once. Rows without a doc_id
-    can't be named, so they stay.
+    kept or dropped by its own group, and equal rows count once. Rows without a doc_id come
+    after all others: one of them stays where its group has no row with a doc_id.
     """
-    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("_text_key"))
-    found = staged(near_duplicates(named, shingle, tau, carry=("_text_key",)), "near")
-    again = staged(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
-    gone = staged(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
+    key = "_text_key"
+    while key in docs.columns:
+        key += "_"
+    text_key = F.md5(F.coalesce("text", F.lit("")))
+    found = staged(near_duplicates(docs.select("doc_id", "text", text_key.alias(key)), shingle, tau, carry=(key,)), "near")
+    named = found.where(F.col("doc_id").isNotNull())
+    again = staged(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    gone = staged(named.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
+    kept = docs.where(F.col("doc_id").isNotNull())
     if again.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    gone = gone.unionByName(again).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # of each group the row of smallest (doc_id, fingerprint), where its id is a repeated one
-    first = found.groupBy("grp").agg(F.min(F.struct("doc_id", "fp", "_text_key")).alias("r")).select("r.doc_id", "r._text_key").distinct()
-    first = staged(first.join(again, "doc_id", "left_semi"), "first")
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    once = keyed.join(first, ["doc_id", "_text_key"], "left_semi").dropDuplicates(["doc_id", "_text_key"])
-    return kept.unionByName(once.select(docs.columns))
+        kept = kept.join(gone, "doc_id", "left_anti").select(docs.columns)
+    else:
+        kept = kept.join(gone.unionByName(again).distinct(), "doc_id", "left_anti").select(docs.columns)
+        # of each group the row of smallest (doc_id, fingerprint), where its id is a repeated one
+        first = named.groupBy("grp").agg(F.min(F.struct("doc_id", "fp", key)).alias("r")).select("r.doc_id", f"r.{key}").distinct()
+        first = staged(first.join(again, "doc_id", "left_semi"), "first")
+        kept = kept.unionByName(once_each(docs, first, text_key, key, ["doc_id", key]))
+    nameless = found.where(F.col("component_id").isNull())
+    if nameless.isEmpty():
+        return kept
+    # groups of nothing but rows without a doc_id: the row of smallest (fingerprint, text key)
+    first = staged(nameless.groupBy("grp").agg(F.min(F.struct("fp", key)).alias("r")).select(f"r.{key}").distinct(), "nameless")
+    return kept.unionByName(once_each(docs.where(F.col("doc_id").isNull()), first, text_key, key, [key]))
+
+
+def once_each(docs: DataFrame, chosen: DataFrame, text_key: F.Column, name: str, keys: list[str]) -> DataFrame:
+    """One row of ``docs`` for each chosen key."""
+    return docs.withColumn(name, text_key).join(chosen, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
