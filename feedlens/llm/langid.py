@@ -28,14 +28,16 @@ from .common import score_rows, ship_by_value, small_batches
 #: n-grams in a profile, and most frequent n-grams of a document that are compared.
 PROFILE_SIZE = 400
 UNKNOWN = "und"
+#: Code points that Unicode has; the cube of their number fits 63 bits.
+POINTS = 0x110000
 
 
 def letter_table() -> np.ndarray:
-    """Code point of the BMP -> 1 to 1021 for a letter, else 0. Latin letters keep distinct numbers."""
-    t = np.zeros(0x10000, np.uint32)
+    """Code point of the BMP -> itself for a letter, else 0."""
+    t = np.zeros(0x10000, np.int64)
     for i in range(0x10000):
         if not 0xD800 <= i < 0xE000 and chr(i).isalpha():
-            t[i] = 1 + i % 1021
+            t[i] = i
     return t
 
 
@@ -47,20 +49,23 @@ def letters(text: str, table: np.ndarray) -> np.ndarray:
         out = table[np.where(wide, 0, cp)]
         for c in np.unique(cp[wide]):
             if chr(c).isalpha():
-                out[cp == c] = 1 + int(c) % 1021
+                out[cp == c] = int(c)
     else:
         out = table[cp]
-    zero = np.zeros(1, np.uint32)
+    zero = np.zeros(1, np.int64)
     return np.concatenate([zero, out, zero])
 
 
 def gram_codes(c: np.ndarray) -> np.ndarray:
-    """All 1- to 3-grams as sorted 32-bit codes. A separator stands at an n-gram's end only."""
-    one = c[c > 0] | np.uint32(1 << 30)
+    """All 1- to 3-grams as sorted 64-bit codes, unlike for unlike n-grams. A separator stands at an n-gram's end only.
+
+    Codes are numbers in base ``POINTS``, those of shorter n-grams above those of longer ones.
+    """
+    one = c[c > 0] + (POINTS**3 + POINTS**2)
     a, b = c[:-1], c[1:]
-    two = ((a << np.uint32(10)) | b | np.uint32(2 << 30))[(a > 0) | (b > 0)]
+    two = (a * POINTS + b + POINTS**3)[(a > 0) | (b > 0)]
     x, y, z = c[:-2], c[1:-1], c[2:]
-    three = ((x << np.uint32(20)) | (y << np.uint32(10)) | z | np.uint32(3 << 30))[y > 0]
+    three = ((x * POINTS + y) * POINTS + z)[y > 0]
     codes = np.concatenate([one, two, three])
     codes.sort()
     return codes
@@ -108,7 +113,7 @@ def fit_profiles(docs: DataFrame, learn: F.Column, size: int = PROFILE_SIZE) ->
     out: dict[str, list] = {}
     for lang, code in top.orderBy("lang", "r").select("lang", "code").toArrow().to_pandas().itertuples(index=False):
         out.setdefault(lang, []).append(code)
-    return {k: np.array(v, np.uint32) for k, v in out.items()}
+    return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
 def predictor(ref, size: int):
@@ -145,7 +150,7 @@ def predictor(ref, size: int):
 def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE_SIZE) -> DataFrame:
     """(doc_id, lang_pred, score); only the text is looked at."""
     names = sorted(profiles)
-    codes = np.unique(np.concatenate([profiles[k] for k in names])) if names else np.zeros(0, np.uint32)
+    codes = np.unique(np.concatenate([profiles[k] for k in names])) if names else np.zeros(0, np.int64)
     ranks = np.full((len(codes), len(names)), 10 * size, np.int64)
     for j, k in enumerate(names):
         ranks[np.searchsorted(codes, profiles[k]), j] = np.arange(len(profiles[k]))
