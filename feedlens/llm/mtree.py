@@ -19,8 +19,8 @@ carry a slack far above rounding error.
 Defined results: vectors that are null or hold null or non-finite components take no
 part; shorter vectors are padded with zeros; a vec_id that comes several times is one
 candidate with its best score, and equal rows count once; null ids take no part; an
-empty table gives no rows; scaled components of 2^26 or more raise ValueError, as scores
-might not fit a long.
+empty table gives no rows; vectors whose scaled squared norm passes a long raise ValueError
+with a vec_id, as scores might pass it, too.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, staged
+from .common import ship_by_value, smallest_hashes, staged
 
 TREE_ROWS = 4096
 LEAF_ROWS = 128
@@ -41,7 +41,9 @@ FANOUT = 16
 MAX_PIVOTS = 1024
 QUERY_BLOCK = 512
 SCALE = 1024
-LARGEST = 1 << 26
+#: Scores and squared norms are longs.
+LARGEST = (1 << 63) - 1
+WIDE = "decimal(38,0)"
 
 PAGE_DDL = (
     "cell int, tree int, page int, leaf boolean, ids array<bigint>, vectors array<bigint>, "
@@ -60,6 +62,11 @@ def scaled_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:
     return table.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).distinct()
 
 
+def squares(v: F.Column, kind: str) -> F.Column:
+    """Squared norm of an integer vector, as longs or (where they might overflow) as doubles."""
+    return F.aggregate(v, F.lit(0).cast(kind), lambda a, x: a + x.cast(kind) * x.cast(kind))
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """A list column as rows of ``dim`` integers, padded with zeros."""
     if isinstance(column, pa.ChunkedArray):
@@ -161,7 +168,7 @@ class Tree:
                     bound = min(bound, math.sqrt(max(base - 2 * int(best_score[-1]), 0)) + self.slack)
             else:
                 # a routing vector is a stored one: its extra coordinate meets the query's 0
-                dist = np.sqrt(np.maximum(base - 2 * dots, 0).astype(np.float64))
+                dist = np.sqrt(np.maximum(float(base) - 2.0 * dots.astype(np.float64), 0))
                 for e, d in zip(near.tolist(), dist.tolist()):
                     lower = max(low, d - radius[e] - self.slack)
                     if lower <= bound:
@@ -184,21 +191,23 @@ def top_k(table: DataFrame, is_query, k: int = 10, scale: int = SCALE, tree_rows
     vecs = staged(scaled_vectors(table, scale), "vectors")
     size = vecs.select(
         F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"),
-        F.max(F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, F.abs(x)))).alias("most"),
+        F.max(F.greatest(F.array_max("v").cast(WIDE), -F.array_min("v").cast(WIDE))).alias("most"),
     ).first()
     if not size["n"]:
         return empty
-    if size["most"] >= LARGEST:
-        raise ValueError(f"scaled components must stay below {LARGEST}")
     dim = size["dim"]
-    largest = int(vecs.select(F.max(F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x))).first()[0])
+    if dim * int(size["most"]) ** 2 > LARGEST:  # some norm might pass a long
+        worst = vecs.agg(F.max(F.struct(squares(F.col("v"), "double").alias("norm"), "vec_id")).alias("w")).first()["w"]
+        if worst["norm"] >= LARGEST:
+            raise ValueError(f"the squared norm of vector {worst['vec_id']} passes a long, so scores might, too")
+    largest = int(vecs.select(F.max(squares(F.col("v"), "bigint"))).first()[0])
     n_queries = vecs.where(is_query).count()
     if not n_queries:
         return empty
 
     # cells: a bounded sample of pivots, all rows indexed
     n_cells = min(MAX_PIVOTS, -(-size["n"] // tree_rows))
-    chosen = vecs.orderBy(F.xxhash64("vec_id", "v")).limit(n_cells).toArrow()
+    chosen = smallest_hashes(vecs, n_cells, "vec_id", "v").toArrow()
     pivot_int = matrix(chosen["v"], dim)
     pivots = lift(pivot_int, largest)
     ref = spark.sparkContext.broadcast(pivots)
@@ -280,7 +289,7 @@ def top_k(table: DataFrame, is_query, k: int = 10, scale: int = SCALE, tree_rows
     # the k-th score of a query's first tree bounds its k-th distance; fewer than k found: no bound
     kth = seed.groupBy("query_id", "v").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
     q2 = F.aggregate(queries["v"], F.lit(0).cast("bigint"), lambda a, x: a + x * x)
-    edge = F.sqrt(F.greatest(q2 + F.lit(largest) - 2 * F.col("least"), F.lit(0)).cast("double")) + F.lit(slack(largest))
+    edge = F.sqrt(F.greatest(q2.cast("double") + F.lit(float(largest)) - 2 * F.col("least").cast("double"), F.lit(0.0))) + F.lit(slack(largest))
     bounded = queries.join(kth.withColumnRenamed("v", "kv"), (queries["vec_id"] == F.col("query_id")) & (queries["v"] == F.col("kv")), "left").select(
         queries["vec_id"], queries["v"], "block", F.when(F.col("n") >= k, edge).otherwise(F.lit(float("inf"))).alias("bound")
     )

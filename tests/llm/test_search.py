@@ -58,8 +58,15 @@ def test_empty_and_single(spark):
     assert found(mtree.top_k(frame(spark, [(0, [1.0]), (3, [2.0])]), F.col("vec_id") % 100 == 0)) == [(0, 1, 3, 1024 * 2048)]
 
 
-def test_too_large_components_are_refused(spark):
-    with pytest.raises(ValueError):
+def test_large_finite_components_are_searched(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** rng.integers(0, 6)]) for i in range(300)] + [(700, [1e6, -1e6, 65536.0])]
+    got = mtree.top_k(frame(spark, rows), F.col("vec_id") % 100 == 0, 10, tree_rows=64, leaf_rows=16)
+    assert found(got) == brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 10)
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    with pytest.raises(ValueError, match="vector 0"):
         mtree.top_k(frame(spark, [(0, [1e30]), (1, [1.0])]), F.col("vec_id") % 100 == 0)
 
 
