@@ -1,23 +1,39 @@
-"""Iterative graph operators on edge DataFrames.
+"""Graph operators on edge DataFrames.
 
-Both loops are a few rounds of join + partial aggregation; each round is
-written to the session's checkpoint folder (``checkpoint()``), so lineage
-stays short and a lost executor only costs the current round.
+Graphs and components up to a documented number of edges are solved in one grouped task each; only
+what is larger goes through rounds of joins and partial aggregates. Each round is written to the
+session's checkpoint folder, so lineage stays short and a lost executor only costs the current round.
 """
 
 from __future__ import annotations
 
 import logging
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, cut_lineage
+from .report import order_index, skew_safe_join
 
 log = logging.getLogger(__name__)
 
 # Broadcast per-node tables below this many rows (checked by a count).
 BROADCAST_MAX_ROWS = 2_000_000
+#: Edges that one task solves by itself (two longs each: 32 MB).
+LOCAL_EDGES = 2_000_000
+
+
+def _ship_by_value() -> None:
+    """Pickle this module's task code by value, so executors need no installed copy of the package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    mod = sys.modules[__name__]
+    if mod.__name__ not in getattr(cloudpickle.cloudpickle, "_PICKLE_BY_VALUE_MODULES", set()):
+        cloudpickle.register_pickle_by_value(mod)
 
 
 def _side(n_rows: int):
@@ -26,45 +42,50 @@ def _side(n_rows: int):
 UNDECIDED, LEADER, ABSORBED = 0, 1, 2
 
 
-def greedy_leaders(nodes: DataFrame, edges: DataFrame, rank_cols: list[str], id_col: str = "id") -> DataFrame:
-    """Lexicographically-first maximal independent set (greedy leader pass).
-
-    Scanning nodes in rank order, a node becomes a leader unless an earlier
-    leader is adjacent; otherwise it joins the *first* (lowest-rank) adjacent
-    leader. This is the sequential scan, computed in rounds: an undecided
-    node whose earlier neighbours are all absorbed becomes a leader; one
-    with an earlier leader neighbour is absorbed. Each round decides at least
-    the lowest undecided node.
+def scan_leaders(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(absorbed node, its leader): the sequential scan over nodes in ascending order; edges have u < v.
 
-    ``nodes``: one row per node with ``id_col`` and ``rank_cols`` (unique
-    order together with the id). ``edges``: (a, b) undirected, a != b.
-    Returns (id, is_leader, leader) for every node.
+    A node with a leader among its earlier neighbours joins the first of them; any other is a leader.
     """
-    spark = nodes.sparkSession
-    checkpoint_dir(spark)
-    rank = F.struct(*[F.col(c) for c in rank_cols], F.col(id_col).alias("_id"))
-    nr = nodes.select(F.col(id_col).alias("id"), rank.alias("r"))
+    order = np.lexsort((u, v))
+    u, v = u[order], v[order]
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    pu, pv = place[: len(u)], place[len(u) :]
+    leads = np.ones(len(nodes), bool)
+    first = np.flatnonzero(np.diff(pv, prepend=-1))
+    out_v, out_u = [], []
+    for s, e in zip(first.tolist(), np.append(first[1:], len(pv)).tolist()):
+        near = leads[pu[s:e]]
+        if near.any():
+            leads[pv[s]] = False
+            out_v.append(v[s])
+            out_u.append(u[s + int(near.argmax())])
+    return np.array(out_v, np.int64), np.array(out_u, np.int64)
 
-    ea = edges.select(F.col("a"), F.col("b")).where(F.col("a") != F.col("b"))
-    directed = cut_lineage(
-        ea.join(nr.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a")
-        .join(nr.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b")
-        .select(
-            F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("u"),
-            F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("v"),
-            F.least("ra", "rb").alias("ru"),
-        )
-        .dropDuplicates(["u", "v"])
-    )
 
-    # only nodes that have a neighbour need rounds; the rest lead themselves
-    touched = directed.select(F.col("u").alias("id")).union(directed.select(F.col("v").alias("id"))).distinct()
+def local_leaders(edges: DataFrame, bucket) -> DataFrame:
+    """(v, leader) of the absorbed nodes, every bucket of whole components scanned in one task. ``edges``: u, v."""
+    _ship_by_value()
+
+    def run(group: pa.Table) -> pa.Table:
+        v, leader = scan_leaders(group["u"].to_numpy(), group["v"].to_numpy())
+        return pa.table({"v": pa.array(v, pa.int64()), "leader": pa.array(leader, pa.int64())})
+
+    return edges.select("u", "v", bucket.alias("_b")).groupBy("_b").applyInArrow(run, "v bigint, leader bigint")
+
+
+def leaders_by_rounds(edges: DataFrame) -> DataFrame:
+    """(v, leader) of the absorbed nodes, for components of any size. ``edges``: u, v with u < v.
+
+    An undecided node whose earlier neighbours are all absorbed becomes a leader; one with an earlier
+    leader is absorbed. Each round decides at least the lowest undecided node of every component.
+    """
+    touched = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
     status = cut_lineage(touched.withColumn("st", F.lit(UNDECIDED)))
     # the status table has one row per touched node; when a count proves it
     # small it is broadcast, so the edge table is never shuffled for lookups
     side = _side(status.count())
-    active = directed.select("u", "v")
-
+    active = edges.select("u", "v")
     rounds = 0
     while True:
         rounds += 1
@@ -97,27 +118,136 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, rank_cols: list[str], id_
             .join(side(status.where(F.col("st") == UNDECIDED).select(F.col("id").alias("v"))), "v")
             .select("u", "v")
         )
-    log.info("greedy_leaders: %d rounds", rounds)
-
+    log.info("leaders_by_rounds: %d rounds", rounds)
     leaders = status.where(F.col("st") == LEADER).select(F.col("id").alias("u"))
     absorbed = status.where(F.col("st") == ABSORBED).select(F.col("id").alias("v"))
-    assign = (
-        directed.join(leaders, "u")
-        .join(absorbed, "v")
-        .groupBy("v")
-        .agg(F.min_by("u", "ru").alias("leader"))
+    return edges.join(leaders, "u").join(absorbed, "v").groupBy("v").agg(F.min("u").alias("leader"))
+
+
+def greedy_leaders(nodes: DataFrame, edges: DataFrame, rank_cols: list[str], id_col: str = "id", local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """Lexicographically-first maximal independent set (greedy leader pass).
+
+    Scanning nodes in rank order, a node becomes a leader unless an earlier
+    leader is adjacent; otherwise it joins the *first* (lowest-rank) adjacent
+    leader. Components don't influence each other: graphs of up to ``local_edges`` edges are
+    scanned in one task, larger ones in one task for each bucket of whole components; only
+    a component with more edges than that is solved in rounds.
+
+    ``nodes``: one row per node with ``id_col`` and ``rank_cols`` (unique
+    order together with the id). ``edges``: (a, b) undirected, a != b.
+    Returns (id, is_leader, leader) for every node.
+    """
+    checkpoint_dir(nodes.sparkSession)
+    e = cut_lineage(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
+    nr = nodes.select(F.col(id_col).alias("id"), *rank_cols)
+    # only nodes that have a neighbour take part; their place in the scan is their name from here on
+    touched = e.select(F.col("a").alias("id")).union(e.select(F.col("b").alias("id"))).distinct()
+    order = [F.asc(c) for c in [*rank_cols, "id"]]
+    ranked = cut_lineage(order_index(nr.join(touched, "id", "left_semi"), order, "k").select("id", "k"))
+    side = _side(ranked.count())
+    directed = cut_lineage(
+        e.join(side(ranked.select(F.col("id").alias("a"), F.col("k").alias("ka"))), "a")
+        .join(side(ranked.select(F.col("id").alias("b"), F.col("k").alias("kb"))), "b")
+        .select(F.least("ka", "kb").alias("u"), F.greatest("ka", "kb").alias("v"))
+        .distinct()
     )
-    return (
-        nr.join(status, "id", "left")
-        .join(assign, nr["id"] == assign["v"], "left")
-        .select(
-            "id",
-            F.coalesce(F.col("st") != ABSORBED, F.lit(True)).alias("is_leader"),
-            F.coalesce(F.col("leader"), F.col("id")).alias("leader"),
-        )
+    n_edges = directed.count()
+    if n_edges <= local_edges:
+        assign = local_leaders(directed, F.lit(0))
+    else:
+        comp = star_components(directed, "u", "v", local_edges)
+        of_edge = cut_lineage(skew_safe_join(directed, comp.select(F.col("node").alias("u"), "comp"), ["u"]))
+        giant = of_edge.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_edges)
+        giant = F.broadcast(giant.select("comp"))  # n_edges / local_edges rows at most
+        small = of_edge.join(giant, "comp", "left_anti")
+        # so many buckets that one takes a quarter of a task's edges on average, or one larger component
+        assign = local_leaders(small, F.pmod(F.xxhash64("comp"), F.lit(4 * (n_edges // local_edges + 1))))
+        large = cut_lineage(of_edge.join(giant, "comp", "left_semi").select("u", "v"))
+        if not large.isEmpty():
+            assign = assign.unionByName(leaders_by_rounds(large))
+    assign = cut_lineage(assign)
+    named = assign.join(side(ranked.select(F.col("id").alias("_id"), F.col("k").alias("v"))), "v").join(
+        side(ranked.select(F.col("id").alias("_leader"), F.col("k").alias("leader"))), "leader"
+    )
+    named = named.select("_id", "_leader")
+    return nr.join(named, nr["id"] == named["_id"], "left").select(
+        "id", F.col("_leader").isNull().alias("is_leader"), F.coalesce("_leader", "id").alias("leader")
     )
 
 
+def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) by labels that sink along edges and are then halved (numpy)."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        was = label.copy()
+        # hook the labels of both ends under the smaller one, then let every node jump to its label's label
+        np.minimum.at(label, was[x], low)
+        np.minimum.at(label, was[y], low)
+        while True:
+            jump = label[label]
+            if (jump == label).all():
+                break
+            label = jump
+        if (label[x] == label[y]).all():
+            return nodes, nodes[label]
+
+
+def _smallest_neighbour(edges: DataFrame) -> DataFrame:
+    """(u, m): the smallest neighbour of each u. ``edges``: u, v. Combined in each task before the shuffle."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
+def star_components(edges: DataFrame, a: str = "a", b: str = "b", local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, comp): the smallest node of each node's component, for nodes that have edges.
+
+    Alternating large-star and small-star steps rewrite the edges until every component is a star around its
+    smallest node: large-star hangs a node's larger neighbours under its smallest one, small-star its smaller
+    neighbours and itself. No label is ever joined to all members of a component; a node with very
+    many edges is salted in the one join of a step. Once ``local_edges`` edges or fewer are left
+    (stars shrink them quickly), one task finishes them.
+    """
+    checkpoint_dir(edges.sparkSession)
+    # every edge once, from its larger end (u) to its smaller (v)
+    e = edges.select(F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")).where(F.col("u") != F.col("v"))
+    e = cut_lineage(e.distinct())
+    rounds, last = 0, None
+    while True:
+        size = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        if size[0] <= local_edges:
+            return _finished_locally(e)
+        if tuple(size) == last:  # unchanged: all edges point to the smallest node
+            break
+        last = tuple(size)
+        rounds += 1
+        # large star: for every u, its larger neighbours point to the smallest of u and its neighbours
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = _smallest_neighbour(both).select("u", F.least("u", "m").alias("m"))
+        large = skew_safe_join(both.where(F.col("v") > F.col("u")), low, ["u"])
+        e = cut_lineage(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct())
+        # small star: u and its smaller neighbours point to the smallest of them
+        low = _smallest_neighbour(e)
+        small = skew_safe_join(e, low, ["u"])
+        moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        e = cut_lineage(moved.where(F.col("u") != F.col("v")).distinct())
+    log.info("star_components: %d rounds", rounds)
+    roots = e.select(F.col("v").alias("node")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
+
+
+def _finished_locally(edges: DataFrame) -> DataFrame:
+    """Components of a bounded number of edges, in one task."""
+    _ship_by_value()
+
+    def run(group: pa.Table) -> pa.Table:
+        node, comp = union_find(group["u"].to_numpy(), group["v"].to_numpy())
+        return pa.table({"node": pa.array(node, pa.int64()), "comp": pa.array(comp, pa.int64())})
+
+    return edges.withColumn("_b", F.lit(0)).groupBy("_b").applyInArrow(run, "node bigint, comp bigint")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Minimum node id of each node's component, for nodes that have edges.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..session import cut_lineage
-from .graph import connected_components
+from .graph import star_components
 from .report import skew_safe_join
 
 
@@ -63,7 +63,7 @@ def topic_components(items: DataFrame, item_col: str = "item") -> DataFrame:
     edges = linked.where(F.col("item") != F.col("head")).select(
         F.col("item").alias("a"), F.col("head").alias("b")
     ).distinct()
-    return connected_components(edges).select(F.col("node").alias("item"), "comp")
+    return star_components(edges).select(F.col("node").alias("item"), "comp")
 
 
 def cluster(items: DataFrame, item_col: str = "item") -> tuple[DataFrame, DataFrame]:
