@@ -8,6 +8,9 @@ digest looks back 720 h, the incident report 14 days.
 
 from __future__ import annotations
 
+import gzip
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -756,7 +759,7 @@ def q_enrichment_request(spark, sf):
 
 # ---------------------------------------------------------------- sources (SRC1–SRC8) and their scalars
 
-import uuid  # noqa: E402
+
 
 from ..sources import feeds as SRC  # noqa: E402
 from ..sources.run import run_sources  # noqa: E402
@@ -1104,7 +1107,8 @@ def q_manifest_guard(spark, sf):
 _HN_CUTOFF = "2024-01-01 00:00:00"
 
 
-def _hn(spark, sf) -> DataFrame:
+def _story_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(ranked ids, stories) of the aggregator."""
     it = _items(spark, sf)
     ranked = R.order_index(it.select("seq", "hn_points"), [F.desc("hn_points"), F.asc("seq")], "r").select(
         F.col("seq").alias("id"), (F.col("r") - 1).alias("rank")
@@ -1118,7 +1122,11 @@ def _hn(spark, sf) -> DataFrame:
         F.col("hn_points").alias("score"),
         (F.col("seq") % 50).cast("int").alias("descendants"),
     )
-    return SRC.hn_items(ranked, items, "HN", "community", 2, _HN_CUTOFF)
+    return ranked, items
+
+
+def _hn(spark, sf) -> DataFrame:
+    return SRC.hn_items(*_story_rows(spark, sf), "HN", "community", 2, _HN_CUTOFF)
 
 
 _HN_SQL = _with(NI, "r AS (SELECT *, row_number() OVER (ORDER BY hn_points DESC, seq) - 1 AS rank FROM news_items)") + f"""
@@ -1275,41 +1283,183 @@ _RUN_REGISTRY = [
     ("advisories", "KEV", "json_api", "https://www.cisa.gov/kev", 1, True),
     ("blogs", "Feeds", "json_api", "https://feeds.example.com/all", 2, None),
     ("blogs", "Gone", "rss", "https://feeds.example.com/gone", 2, True),
+    ("blogs", "Pages", "rss", "https://feeds.example.com/pages", 3, True),
+    ("blogs", "Truncated", "json_api", "https://feeds.example.com/truncated", 2, True),
+    ("community", "Stories", "hn_api", "https://feeds.example.com/stories", 3, True),
+    ("cve", "NVD", "nvd_api", "https://feeds.example.com/nvd", 1, True),
     ("cve", "Off", "nvd_api", "https://feeds.example.com/off", 1, False),
+    ("cve", "OSV", "osv_api", "https://feeds.example.com/osv", 1, True),
 ]
+#: Top-stories lists are this long; the reader scans their first 200.
+_STORY_LIST = 500
+
+
+def _landed(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _land_lists(rows: DataFrame, column: str, path: str) -> None:
+    """Records as files of the form {"vulnerabilities": [...]}, a bounded number in each."""
+    files = rows.withColumn("part", F.floor(F.col("seq") / _FEED_IDS))
+    files.groupBy("part").agg(F.to_json(F.struct(F.collect_list(column).alias("vulnerabilities"))).alias("value")).write.partitionBy("part").text(path)
+
+
+def _land_pages(spark, sf, path: str) -> None:
+    """Web pages as RSS (even page_id) and Atom (odd) files; every seventh has no date."""
+    e = SRC.pages_as_entries(read_table(spark, sf, "pages", ["page_id", "url", "html"]))
+    at = F.when(F.col("seq") % 7 != 0, F.timestamp_seconds(F.lit(1706140800) + F.col("seq") % 6 * 86400 + F.col("seq") % 86400))
+    rss = e.where(F.col("seq") % 2 == 0).select("title", "link", F.col("summary").alias("description"), F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("pubDate"))
+    rss.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    links = F.array(F.struct(F.lit("ftp://x").alias("_href"), F.lit("self").alias("_rel")), F.struct(F.col("link").alias("_href"), F.lit("alternate").alias("_rel")))
+    atom = e.where(F.col("seq") % 2 == 1).select("title", "summary", links.alias("link"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated"))
+    atom.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").mode("append").save(path)
+
+
+def _land_stories(spark, sf, path: str) -> None:
+    """The best stories' ids as one list, all stories as lines."""
+    ranked, items = _story_rows(spark, sf)
+    best = ranked.where(F.col("rank") < _STORY_LIST)
+    best.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"])).alias("value")).coalesce(1).write.text(f"{path}/ids")
+    items.write.json(f"{path}/items")
+
+
+_ARCHIVE_IDS = 3000
+
+
+def _archive_members(spark, sf) -> DataFrame:
+    """Records as members of archives of up to ``_ARCHIVE_IDS`` ids; some have unsafe names or hold no record.
+
+    Every third archive of npm holds a filler that takes it over the limit of inflated bytes.
+    """
+    rec = _osv_records(spark, sf)
+    name = F.regexp_replace("filename", r"\.json$", "")
+    n = F.col("seq")
+    member = (
+        F.when(n % 13 == 0, F.concat(F.lit("../"), name, F.lit(".json")))
+        .when(n % 17 == 0, F.concat(F.lit("/abs/"), name, F.lit(".json")))
+        .when(n % 19 == 0, F.concat(F.lit("a\\..\\"), name, F.lit(".json")))
+        .when(n % 11 == 0, F.concat(F.lit("vulns/"), name, F.lit(".txt")))
+        .otherwise(F.concat(F.lit("vulns/"), name, F.lit(".json")))
+    )
+    archive = F.floor(n / F.lit(_ARCHIVE_IDS))
+    text = F.when(n % 23 == 0, F.lit("{not json")).when(n % 29 == 0, F.lit("[1]")).otherwise(F.to_json("r"))
+    rows = rec.select("ecosystem", archive.cast("string").alias("archive"), member.alias("filename"), text.alias("text"), archive.alias("_a"))
+    filler = rows.where((F.col("ecosystem") == "npm") & (F.col("_a") % 3 == 1)).select("ecosystem", "archive").distinct()
+    blanks = F.repeat(F.lit(" "), C.OSV_MAX_TOTAL_BYTES // 15)
+    filler = filler.select("ecosystem", "archive", F.explode(F.sequence(F.lit(1), F.lit(16))).alias("k"), blanks.alias("text"))
+    filler = filler.select("ecosystem", "archive", F.concat(F.lit("filler/"), F.col("k"), F.lit(".txt")).alias("filename"), "text")
+    return rows.drop("_a").unionByName(filler)
+
+
+def _land_archives(spark, sf, path: str) -> None:
+    """The archives, and beside them one that is cut short and one that is no archive."""
+    from ..sources.archives import file_system, write_archives
+
+    write_archives(_archive_members(spark, sf), path)
+    store, root = file_system(path)
+    store.create_dir(f"{root}/broken", recursive=True)
+    for name, content in (("short", b"PK\x03\x04 cut short"), ("none", b"")):
+        with store.open_output_stream(f"{root}/broken/{name}.zip") as f:
+            f.write(content)
+
+
+#: Which records of the archives can be read, as SQL over the derived records ``ov``.
+_ARCHIVED = f"""seq % 13 <> 0 AND seq % 17 <> 0 AND seq % 19 <> 0 AND seq % 11 <> 0 AND seq % 23 <> 0 AND seq % 29 <> 0
+      AND NOT (ecosystem = 'npm' AND (seq // {_ARCHIVE_IDS}) % 3 = 1)"""
+
+
+@register("read_osv_archives", _OSV_SQL.replace("\n    FROM ov\n", f"\n    FROM ov WHERE {_ARCHIVED}\n").replace("SELECT seq, CASE", "SELECT CASE"))
+def q_read_osv_archives(spark, sf):
+    path = _landed(spark, "landing")
+    _land_archives(spark, sf, path)
+    out = SRC.osv_items(SRC.read_osv_archives(spark, path), "OSV", "cve", 1, _OSV_CUTOFF)
+    return out.select("title", "url", F.col("published").cast("timestamp_ntz").alias("published"), "description", "cvss_score", F.array_join("cve_ids", ",").alias("cves"))
 
 
 def _run(spark, sf):
-    """KEV and JSON feeds landed under the shared folder; one source's folder is missing, one is switched off."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/landing-{uuid.uuid4().hex[:12]}"
-    kev = _kev_rows(spark, sf).withColumn("part", F.floor(F.col("seq") / _FEED_IDS))
-    files = kev.groupBy("part").agg(F.to_json(F.struct(F.collect_list("k").alias("vulnerabilities"))).alias("value"))
-    files.write.partitionBy("part").text(f"{base}/KEV")
+    """Records of all six kinds landed under the shared folder; one source's folder is missing, one is
+    switched off, and one holds a compressed file that is cut short, which shows only while it is read."""
+    from ..sources.archives import file_system
+
+    base = _landed(spark, "landing")
+    _land_lists(_kev_rows(spark, sf), "k", f"{base}/KEV")
+    _land_lists(_nvd_records(spark, sf), "v", f"{base}/NVD")
     _feed_docs(spark, sf).withColumnRenamed("text", "value").write.partitionBy("feed_id").text(f"{base}/Feeds")
+    _land_pages(spark, sf, f"{base}/Pages")
+    _land_stories(spark, sf, f"{base}/Stories")
+    _land_archives(spark, sf, f"{base}/OSV")
+    store, root = file_system(f"{base}/Truncated")
+    store.create_dir(root, recursive=True)
+    whole = gzip.compress(json.dumps([{"title": f"Story {i}", "url": f"https://x.example/{i}"} for i in range(5000)]).encode())
+    with store.open_output_stream(f"{root}/feed.json.gz", compression=None) as f:
+        f.write(whole[: len(whole) // 2])
     registry = spark.createDataFrame(_RUN_REGISTRY, SRC.REGISTRY_SCHEMA)
     return run_sources(spark, registry, base, NOW, 336)
 
 
-_RUN_SQL = _with(
-    NI,
-    _KEV_DERIVED,
-    _FEED_CTE,
-    f"""rn AS (
-      SELECT 'KEV' AS source_name, concat('[CISA KEV] ', cid, ' — ', vendor, ' ', product, ': ', vname) AS title, coalesce(added, {O.NOW_SQL}) AS published
+_RUN_HOURS = f"{O.NOW_SQL} - INTERVAL 336 HOUR"
+_CID_NVD = "concat('CVE-2024-', lpad(CAST(seq AS VARCHAR), greatest(5, length(CAST(seq AS VARCHAR)))::INT, '0'))"
+_NO_CVES = "[]::VARCHAR[]"
+_DESC_STRIPPED = f"substr({O.py_strip("regexp_replace(description, '<[^>]+>', ' ', 'g')")}, 1, {C.DESCRIPTION_MAX})"
+_PAGE_DESC = f"substr(regexp_replace({O.py_strip("regexp_replace(summ, '<[^>]+>', ' ', 'g')")}, '{O.PY_WS}+', ' ', 'g'), 1, {C.DESCRIPTION_MAX})"
+_EPOCH = f"CASE WHEN seq % 7 <> 0 THEN make_timestamp((1706140800 + seq % 6 * 86400 + seq % 86400) * 1000000) ELSE {O.NOW_SQL} END"
+
+#: The union of the run as CTE ``rn``: place in the registry's order, then the item's columns.
+_RUN_UNION = f"""rn AS (
+      SELECT 0 AS place, 'KEV' AS source_name, 'advisories' AS source_category, 1 AS source_tier,
+             concat('[CISA KEV] ', cid, ' — ', vendor, ' ', product, ': ', vname) AS title, '{C.KEV_URL}' AS url, coalesce(added, {O.NOW_SQL}) AS published,
+             CASE WHEN due <> '' THEN concat('Patch required by ', due, '. Actively exploited in the wild. Patch is available. ', d)
+                  ELSE concat('Actively exploited in the wild. Patch is available. ', d) END AS description,
+             {C.KEV_CVSS}::DOUBLE AS cvss_score, [cid] AS cve_ids, 0 AS hn_points
       FROM kv WHERE CAST(substr(cid, 5, 4) AS INT) >= {C.KEV_MIN_CVE_YEAR}
       UNION ALL
-      SELECT 'Feeds', {O.py_strip('title')}, published FROM fr WHERE {O.py_strip('title')} <> '' AND regexp_matches({O.py_strip('url')}, {_SAFE}))""",
-)
+      SELECT 1, 'Feeds', 'blogs', 2, t, u, published, d, NULL, {O.cves_expr("concat_ws(' ', t, d)")}, 0
+      FROM (SELECT {O.py_strip('title')} AS t, {O.py_strip('url')} AS u, published, {_DESC_STRIPPED} AS d FROM fr) WHERE t <> '' AND regexp_matches(u, {_SAFE})
+      UNION ALL
+      SELECT 2, 'Pages', 'blogs', 3, t2, u, p, d, NULL, {O.cves_expr("concat_ws(' ', t2, d)")}, 0
+      FROM (SELECT {O.py_strip('t')} AS t2, {O.py_strip('link')} AS u, {_EPOCH} AS p, {_PAGE_DESC} AS d FROM pe) WHERE t2 <> '' AND regexp_matches(u, {_SAFE})
+      UNION ALL
+      SELECT 4, 'Stories', 'community', 3, title, url, published, description, NULL, {_NO_CVES}, hn_points FROM (
+        SELECT {O.py_strip('title')} AS title, CASE WHEN seq % 10 = 0 THEN concat('https://news.ycombinator.com/item?id=', seq) ELSE url END AS url,
+               date_trunc('second', published) AS published, concat('HackerNews | ', hn_points, ' points | ', seq % 50, ' comments') AS description, hn_points
+        FROM (SELECT *, row_number() OVER (ORDER BY hn_points DESC, seq) - 1 AS rank FROM base_items)
+        WHERE rank < {C.HN_TOP_STORIES} AND seq % 9 <> 0 AND {O.py_strip('title')} <> '' AND {O.contains_any('lower(title)', C.HN_SECURITY_TERMS)}
+          AND date_trunc('second', published) >= {_RUN_HOURS} ORDER BY rank LIMIT {C.HN_MAX_ITEMS})
+      UNION ALL
+      SELECT 5, 'NVD', 'cve', 1,
+             CASE WHEN length(d) > 0 THEN concat(cid, ': ', substr(d, 1, {C.NVD_TITLE_DESC_MAX}), CASE WHEN length(d) > {C.NVD_TITLE_DESC_MAX} THEN '...' ELSE '' END) ELSE cid END,
+             concat('https://nvd.nist.gov/vuln/detail/', cid), CASE WHEN seq % 5 = 0 THEN {O.NOW_SQL} ELSE date_trunc('millisecond', published) END, d,
+             CASE seq % 4 WHEN 1 THEN coalesce(cvss_score, 0.0) WHEN 2 THEN coalesce(cvss_score, 0.0) WHEN 3 THEN 0.0 ELSE NULL END, [cid], 0
+      FROM (SELECT *, {_CID_NVD} AS cid, substr(description, 1, {C.DESCRIPTION_MAX}) AS d FROM base_items)
+      UNION ALL
+      SELECT 6, 'OSV', 'cve', 1, title, url, published, description, cvss_score, cve_ids, 0 FROM (
+        SELECT CASE WHEN seq % 5 <> 1 AND title <> '' THEN concat(vid, ': ', title) ELSE vid END AS title, concat('https://osv.dev/vulnerability/', vid) AS url, published,
+               substr(description, 1, {C.DESCRIPTION_MAX}) AS description, CASE WHEN seq % 5 = 0 THEN NULL ELSE cvss_score END AS cvss_score, cve_ids
+        FROM ov WHERE {_ARCHIVED} QUALIFY row_number() OVER (PARTITION BY ecosystem ORDER BY vid DESC) <= {C.OSV_MAX_PER_ECOSYSTEM}))"""
+_OV_CTE = "ov AS (" + _OSV_SQL.split("ov AS (")[1].split("\n    SELECT seq, CASE")[0].rstrip().rstrip(")") + ")"
+_RUN_CTES = [
+    cte.replace("news_items", "base_items").replace(f"TIMESTAMP '{_OSV_CUTOFF}'", _RUN_HOURS)
+    for cte in (NI, _KEV_DERIVED, _FEED_CTE, _PAGES_ENTRIES, _OV_CTE, _RUN_UNION)
+]
 
 
-@register("source_run", _RUN_SQL + f"\nSELECT source_name, title, published FROM rn WHERE published >= {O.NOW_SQL} - INTERVAL 336 HOUR")
+@register("source_run", _with(*_RUN_CTES) + f"\nSELECT source_name, title, published FROM rn WHERE published >= {_RUN_HOURS}")
 def q_source_run(spark, sf):
     return _run(spark, sf).items.select("source_name", "title", F.col("published").cast("timestamp_ntz").alias("published"))
 
 
-@register("digest_over_sources")
+@register("source_run_errors", "SELECT unnest(['Gone', 'Truncated']) AS source_name")
+def q_source_run_errors(spark, sf):
+    return _run(spark, sf).errors.select("source_name")
+
+
+_RUN_ITEMS = f"""news_items AS (
+      SELECT * EXCLUDE (place), row_number() OVER (ORDER BY place, url, title, published, description) AS seq FROM rn WHERE published >= {_RUN_HOURS})"""
+
+
+@register("digest_over_sources", _with(*_RUN_CTES, _RUN_ITEMS, O.window_cte(168, None)) + _DIGEST_SQL.partition(O.window_cte(DIGEST_HOURS, None))[2])
 def q_digest_over_sources(spark, sf):
-    return _digest_rows(news_digest(_run(spark, sf).items, NOW, hours=336, min_score=MIN_SCORE, threshold=THRESHOLD))
+    return _digest_rows(news_digest(_run(spark, sf).items, NOW, hours=168, min_score=MIN_SCORE, threshold=THRESHOLD))
 
 
 # ---------------------------------------------------------------- streaming (ST1, ST2)

@@ -22,6 +22,7 @@ from .. import constants as C
 from ..functions import text as X
 from ..functions.scoring import now_lit
 from ..operators import filters as FL
+from .archives import read_archives
 
 # ---------------------------------------------------------------- timestamps
 
@@ -240,6 +241,18 @@ def read_osv(spark: SparkSession, root: str, manifest: DataFrame | None = None)
     return out.join(safe, ["ecosystem", "filename"], "left_semi")
 
 
+def read_osv_archives(spark: SparkSession, root: str, **limits: int) -> DataFrame:
+    """Zip archives ``root/<ecosystem>.zip`` or ``root/<ecosystem>/<any>.zip``, through the guard (SRC8).
+
+    Members that hold no JSON object give no row.
+    """
+    members = read_archives(spark, root, **limits)
+    whole = F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT")
+    return members.where(whole).select(
+        F.monotonically_increasing_id().alias("seq"), F.from_json("text", OSV_SCHEMA).alias("r"), "ecosystem", "filename"
+    )
+
+
 def cvss_vector_score(severity: Column) -> Column:
     """First CVSS_V3/CVSS_V4 entry's 'BS:<n>' value; later entries are not tried."""
     first = F.try_element_at(F.filter(F.coalesce(severity, F.array()), lambda s: s["type"].isin("CVSS_V3", "CVSS_V4")), F.lit(1))

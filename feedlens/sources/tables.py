@@ -13,7 +13,7 @@ tie-break is deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -62,11 +62,23 @@ def phrase_array_sql() -> str:
 
 #: An item's title is the text's first sentence or line, whole.
 TITLE_PATTERN = "^[^.!?\\n]*"
+#: Characters of a text that nearly always hold a whole description.
+LEAD_CHARS = 4 * C.DESCRIPTION_MAX
+
+
+def lead(text: Column) -> Column:
+    """``collapse_truncate`` of the whole text, collapsing only its first characters where they suffice.
+
+    A collapsed prefix is a prefix of the collapsed text, so one of full length is the answer.
+    """
+    short = T.collapse_truncate(F.substring(text, 1, LEAD_CHARS))
+    return F.when((F.length(short) >= C.DESCRIPTION_MAX) | (F.length(text) <= LEAD_CHARS), short).otherwise(T.collapse_truncate(text))
 
 
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item table derived from ``documents`` ⨝ ``events`` ⨝ ``pages``.
 
+    Title, description and join keys are computed beside the scan, so whole texts stay there.
     Two equi-joins on computed keys (sort-merge at scale, both sides
     partitioned on the key); row counts of ``events``/``pages`` are scalar
     subqueries evaluated once. Only the needed columns are read.
@@ -76,32 +88,34 @@ def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
     cats = " ".join(f"WHEN {i} THEN {_sql_str(c)}" for i, c in enumerate(CATEGORY_BY_MOD6))
     n = len(HEADLINE_PHRASES)
+    text = F.col("text")
+    documents = documents.select(
+        "doc_id", "source",
+        F.expr("ascii(substr(text,1,1)) + 7*ascii(substr(text,3,1)) + 13*ascii(substr(text,5,1)) + length(split_part(substr(text,1,40),' ',1))").alias("h"),
+        F.regexp_extract(text, TITLE_PATTERN, 0).alias("first"),
+        lead(text).alias("description"),
+        F.expr("CAST(conv(substr(md5(text),1,8), 16, 10) AS BIGINT)").alias("page_key"),
+    )
     df = spark.sql(
         f"""
-        WITH d AS (
-          SELECT doc_id, source, text,
-                 (ascii(substr(text,1,1)) + 7*ascii(substr(text,3,1)) + 13*ascii(substr(text,5,1))
-                  + length(split_part(substr(text,1,40),' ',1))) AS h
-          FROM {{documents}}),
-        k AS (SELECT d.*, (SELECT count(*) FROM {{events}}) AS ne, (SELECT count(*) FROM {{pages}}) AS np FROM d)
+        WITH k AS (SELECT d.*, (SELECT count(*) FROM {{events}}) AS ne, (SELECT count(*) FROM {{pages}}) AS np FROM {{documents}} d)
         SELECT k.doc_id AS seq,
-               concat(element_at({phrase_array_sql()}, CAST(1 + k.h % {n} AS INT)), ': ', regexp_extract(k.text, '{TITLE_PATTERN}', 0)) AS title,
+               concat(element_at({phrase_array_sql()}, CAST(1 + k.h % {n} AS INT)), ': ', k.first) AS title,
                p.url AS url,
                k.source AS source_name,
                CASE k.doc_id % 6 {cats} END AS source_category,
                CAST(1 + k.doc_id % 4 AS INT) AS source_tier,
                CAST(e.ts AS TIMESTAMP) AS published,
-               k.text AS description,
+               k.description AS description,
                CASE WHEN k.doc_id % 3 = 0 THEN NULL ELSE round(e.value / 50, 1) END AS cvss_score,
                CASE WHEN k.doc_id % 2 = 0 THEN CAST(floor(e.value) AS INT) ELSE 0 END AS hn_points
         FROM k JOIN {{events}} e ON e.event_id = (k.doc_id * 37) % k.ne
-               JOIN {{pages}} p ON p.page_id = CAST(conv(substr(md5(k.text),1,8), 16, 10) AS BIGINT) % k.np
+               JOIN {{pages}} p ON p.page_id = k.page_key % k.np
         """,
         documents=documents,
         events=events,
         pages=pages,
     )
-    df = df.withColumn("description", T.collapse_truncate("description"))
     return df.withColumn("cve_ids", T.extract_cves(F.concat_ws(" ", "title", "description")))
 
 
