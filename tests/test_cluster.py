@@ -1,5 +1,5 @@
-"""Topic clustering (S10, A5–A8, O3): the reference's four cases plus a
-randomized check of the pair-star components against union-find."""
+"""Topic clustering (S10, A5–A8, O3): small cases, and a randomized check of the
+pair-star components against union-find."""
 
 import random
 
@@ -23,51 +23,34 @@ def _clusters(spark, rows):
     return ranked.orderBy("rank").collect(), members
 
 
-def test_items_sharing_keywords_are_clustered(spark):
-    cl, members = _clusters(spark, [
-        ("Apache Log4j RCE vulnerability CVE-2021-44228", "", 80),
-        ("Log4j exploit kit now targeting Apache servers", "", 70),
-        ("Completely unrelated story about cookies", "", 30),
-    ])
-    real = [c for c in cl if not c.is_other]
-    assert len(real) == 1 and real[0].size == 2
-    assert [c.name for c in cl if c.is_other] == ["Other"]
+NODES = [("Backdoor in a Kubernetes cluster of a bank", "", 64), ("Kubernetes nodes ship with a backdoor", "", 71)]
+LOOSE = ("Bakery opens a second shop by the river", "", 12)
 
 
-def test_singleton_goes_to_other(spark):
-    cl, _ = _clusters(spark, [("A completely isolated story about nothing security related", "", 50)])
-    assert [c.name for c in cl] == ["Other"]
+def test_two_shared_keywords_make_a_cluster_and_the_rest_is_other(spark):
+    cl, members = _clusters(spark, [*NODES, LOOSE])
+    assert [(c.is_other, c.size) for c in cl] == [(False, 2), (True, 1)]
+    assert [r.item for r in members.where("is_other").collect()] == [2]
 
 
-def test_clusters_sorted_by_top_score(spark):
-    cl, _ = _clusters(spark, [
-        ("Ransomware group hits hospital systems", "", 90),
-        ("Ransomware attack causes outages at city", "", 85),
-        ("Minor XSS bug in web app", "", 20),
-        ("XSS vulnerability found in popular site", "", 25),
-    ])
-    scores = [c.top_score for c in cl]
-    assert scores == sorted(scores, reverse=True)
+def test_one_item_alone_is_other(spark):
+    (only,) = _clusters(spark, [LOOSE])[0]
+    assert only.is_other and only.name == "Other" and only.shared_keywords == []
 
 
-def test_lead_item_is_highest_scored(spark):
+def test_clusters_and_leads_follow_the_scores(spark):
     cl, members = _clusters(spark, [
-        ("Cisco auth bypass CVE-2024-9999", "", 75),
-        ("Cisco routers vulnerable to auth bypass", "", 60),
-        ("Authentication bypass in Cisco gear", "", 45),
-    ])
-    by_item = {r.item: r.score for r in members.collect()}
-    for c in cl:
-        if not c.is_other:
-            assert by_item[c.lead_item] == c.top_score
-
-
-def test_cluster_name_title_case(spark):
-    cl, _ = _clusters(spark, [
-        ("zero-day log4j zero-day", "", 50),
-        ("zero-day log4j again", "", 40),
-    ])
-    assert cl[0].name in {"Zero-Day", "Log4J"}
+        ("Botnet floods Fortinet firewall", "", 33), ("Fortinet firewall joins a botnet", "", 58),
+        ("Phishing kit copies Okta pages", "", 81), ("Okta staff met by phishing calls", "", 47), LOOSE,
+    ])
+    scores = {r.item: r.score for r in members.collect()}
+    assert [c.top_score for c in cl] == sorted((c.top_score for c in cl), reverse=True)
+    assert all(scores[c.lead_item] == c.top_score for c in cl)
+
+
+def test_cluster_names_are_in_title_case(spark):
+    cl, _ = _clusters(spark, [("supply chain and sql injection at once", "", 30), ("sql injection after a supply chain attack", "", 20)])
+    assert cl[0].name == "Sql Injection" or cl[0].name == "Supply Chain"
 
 
 def _uf_components(kw):

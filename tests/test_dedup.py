@@ -1,5 +1,5 @@
-"""Exact/fuzzy de-duplication (A1–A4, J1, O2): the reference's four cases,
-then randomized equivalence with a sequential model of the same rules."""
+"""Exact/fuzzy de-duplication (A1–A4, J1, O2): small cases, then randomized
+equivalence with a sequential model of the rules."""
 
 import datetime as dt
 import random
@@ -16,42 +16,34 @@ def _titles(df):
     return sorted(r.title for r in df.collect())
 
 
-def test_exact_fingerprint_dedup(spark):
-    items = make_items(spark, [
-        {"title": "Critical RCE in Apache", "url": "https://example.com/rce", "tier": 2},
-        {"title": "Critical RCE in Apache", "url": "https://example.com/rce", "tier": 1},
-    ])
-    surv, attr = deduplicate(items)
-    rows = surv.collect()
-    assert len(rows) == 1 and rows[0].source_tier == 1
-    assert [r.source_name for r in attr.collect()] == ["Source-2"]
+def _story(title, site, path, **more):
+    return {"title": title, "url": f"https://{site}.example/{path}", **more}
+
 
+def test_equal_titles_and_urls_keep_the_better_tier(spark):
+    twice = [_story("Water utility shuts its billing portal", "paper", "billing", tier=t) for t in (3, 1, 2)]
+    surv, attr = deduplicate(make_items(spark, twice))
+    (kept,) = surv.collect()
+    assert kept.source_tier == 1 and kept.n_dup == 2
+    assert sorted(r.source_name for r in attr.collect()) == ["Source-2", "Source-3"]
 
-def test_fuzzy_dedup(spark):
-    items = make_items(spark, [
-        {"title": "Critical vulnerability found in Apache HTTP Server", "url": "https://a.com/1"},
-        {"title": "Critical vulnerability found in Apache HTTP Server!", "url": "https://b.com/2"},
-    ])
-    assert deduplicate(items)[0].count() == 1
+
+def test_titles_that_differ_in_marks_and_endings_are_one_story(spark):
+    heads = ["Mail gateway patch breaks logins for remote staff", "Mail gateway patch breaks logins for remote staffs", "MAIL GATEWAY: patch breaks logins, for remote staff?"]
+    items = make_items(spark, [_story(t, f"s{i}", "mail") for i, t in enumerate(heads)])
+    surv, attr = deduplicate(items)
+    assert surv.count() == 1 and attr.count() == 2
 
 
-def test_distinct_items_preserved(spark):
-    items = make_items(spark, [
-        {"title": "Apache RCE vulnerability CVE-2024-1234", "url": "https://a.com/1"},
-        {"title": "Cisco IOS authentication bypass", "url": "https://b.com/2"},
-        {"title": "Ransomware group targets hospitals", "url": "https://c.com/3"},
-    ])
-    assert deduplicate(items)[0].count() == 3
+def test_unlike_titles_stay_apart(spark):
+    heads = ["Browser vendor retires an old cipher", "Union asks for audit of badge readers", "Botnet hides in printer firmware", "Court fines a data broker"]
+    assert _titles(deduplicate(make_items(spark, [_story(t, "one", str(i)) for i, t in enumerate(heads)]))[0]) == sorted(heads)
 
 
-def test_duplicate_attribution(spark):
-    items = make_items(spark, [
-        {"title": "Log4Shell exploit in the wild", "url": "https://source1.com/log4shell", "tier": 1},
-        {"title": "Log4Shell exploit in the wild", "url": "https://source2.com/log4shell", "tier": 2},
-    ])
+def test_the_same_headline_of_two_sites_names_the_later_one(spark):
+    items = make_items(spark, [_story("Parking app leaks plates of a million cars", s, "p", tier=t, source_name=s) for s, t in (("first", 2), ("second", 2))])
     surv, attr = deduplicate(items)
-    assert surv.count() == 1
-    assert [r.source_name for r in attr.collect()] == ["Source-2"]
+    assert [r.source_name for r in surv.collect()] == ["first"] and [r.source_name for r in attr.collect()] == ["second"]
 
 
 # ---------------------------------------------------------------- sequential model
@@ -99,7 +91,7 @@ def _model(rows, threshold=85):
 
 
 def _random_rows(rng, n):
-    bases = ["apache struts flaw", "cisco router bug found", "ransomware hits city hall", "zero day in chrome browser"]
+    bases = ["template engine hole", "modem firmware flaw named", "payroll firm locked by gang", "race bug in video player"]
     rows = []
     for i in range(n):
         t = rng.choice(bases)

@@ -1,5 +1,5 @@
-"""Enrichment responses (S36–S40, J6, A10): the reference's parse / convert /
-success / failure cases, expressed as response rows joined to items."""
+"""Enrichment responses (S36–S40, J6, A10): parsing, conversion, valid and invalid
+answers, as response rows joined to items."""
 
 import json
 
@@ -10,8 +10,8 @@ from feedlens.functions import enrichment as E
 from feedlens.plans.incidents import enrich
 
 FULL = {
-    "incident_type": "Ransomware", "victim": "MGM", "impact": "Systems encrypted", "root_cause": "Social engineering",
-    "is_fixed": False, "severity_rationale": "Critical breach.", "ai_score_boost": 15,
+    "incident_type": "Ransomware", "victim": "Harbour Lines", "impact": "Booking down", "root_cause": "Stolen badge",
+    "is_fixed": False, "severity_rationale": "Ships wait.", "ai_score_boost": 15,
 }
 
 
@@ -25,18 +25,18 @@ def _parse(spark, raw):
 
 def test_parse_clean_json(spark):
     r = _parse(spark, json.dumps(FULL))
-    assert r.ok and r.valid and r.i.incident_type == "Ransomware" and r.i.victim == "MGM" and r.i.is_fixed is False
+    assert r.ok and r.valid and r.i.incident_type == "Ransomware" and r.i.victim == "Harbour Lines" and r.i.is_fixed is False
 
 
 def test_parse_strips_markdown_fences(spark):
-    d = dict(FULL, incident_type="Data Breach", victim="AT&T", root_cause=None, is_fixed=None, ai_score_boost=18)
+    d = dict(FULL, incident_type="Data Breach", victim="Post & Sons", root_cause=None, is_fixed=None, ai_score_boost=18)
     r = _parse(spark, "```json\n" + json.dumps(d) + "\n```")
-    assert r.valid and r.i.incident_type == "Data Breach" and r.i.victim == "AT&T"
+    assert r.valid and r.i.incident_type == "Data Breach" and r.i.victim == "Post & Sons"
     assert r.i.root_cause == "Under investigation" and r.i.is_fixed is None and r.i.ai_score_boost == 18.0
 
 
 def test_parse_invalid_json(spark):
-    r = _parse(spark, "this is not json")
+    r = _parse(spark, "no object here")
     assert not r.ok and not r.valid
 
 
@@ -67,14 +67,14 @@ def test_validation_rejects(spark):
 
 def test_enrich_join_boost_and_stats(spark):
     items = make_items(spark, [
-        {"seq": 1, "title": "LockBit ransomware hits Change Healthcare", "description": "Pharmacy payments disrupted."},
-        {"seq": 2, "title": "Some title", "description": "Some description"},
+        {"seq": 1, "title": "Ransomware gang halts a ferry line", "description": "Bookings by phone only."},
+        {"seq": 2, "title": "Gate left open", "description": "Nothing known yet"},
         {"seq": 3, "title": "Another", "description": "x"},
     ]).withColumn("score", F.lit(90.0))
-    resp = spark.createDataFrame([(1, json.dumps(dict(FULL, ai_score_boost=18))), (2, "I cannot process this request.")], "seq BIGINT, raw STRING")
+    resp = spark.createDataFrame([(1, json.dumps(dict(FULL, ai_score_boost=18))), (2, "Sorry, no answer today.")], "seq BIGINT, raw STRING")
     out, stats = enrich(items, resp)
     rows = {r.seq: r for r in out.collect()}
-    assert rows[1].ai_enriched and rows[1].score == 100.0 and rows[1].incident.victim == "MGM"
+    assert rows[1].ai_enriched and rows[1].score == 100.0 and rows[1].incident.victim == "Harbour Lines"
     assert not rows[2].ai_enriched and rows[2].score == 90.0 and rows[2].incident.incident_type == "Security Incident"
     s = stats.collect()[0]
     assert (s.total, s.ai_success, s.heuristic_fallback, s.all_failed) == (3, 1, 2, False)

@@ -1,4 +1,4 @@
-"""Scoring (S19–S24): the reference's six scorer cases plus exact values."""
+"""Scoring (S19–S24): what raises and lowers a score, and exact values."""
 
 import math
 
@@ -24,37 +24,18 @@ def _py_score(cvss, age, tier, points, hits):
     return round(min(c + r + t + e + w, 100.0), 1)
 
 
-def test_critical_cvss_boosts_score(spark):
-    assert _score(spark, [{"title": "x", "cvss": 9.8, "age": 1, "tier": 1}])[0] >= 60
+def test_each_part_moves_the_score_its_way(spark):
+    plain = {"title": "Vendor bulletin", "cvss": 5.5, "age": 9, "tier": 2, "points": 20}
+    better = [{"cvss": 8.1}, {"age": 3}, {"tier": 1}, {"points": 300}, {"title": "Vendor bulletin on spyware"}]
+    worse = [{"cvss": None}, {"age": 90}, {"tier": 3}, {"points": 0}]
+    base, *rest = _score(spark, [plain, *({**plain, **b} for b in better + worse)], ["spyware"])
+    assert all(s > base for s in rest[: len(better)]) and all(0 < s < base for s in rest[len(better) :])
 
 
-def test_old_item_lower_score(spark):
-    fresh, stale = _score(spark, [{"title": "x", "cvss": 7.0, "age": 1}, {"title": "x", "cvss": 7.0, "age": 72}])
-    assert fresh > stale
-
-
-def test_tier1_beats_tier3(spark):
-    s1, s3 = _score(spark, [{"title": "x", "tier": 1, "age": 2}, {"title": "x", "tier": 3, "age": 2}])
-    assert s1 > s3
-
-
-def test_watchlist_boost(spark):
-    base = _score(spark, [{"title": "Some generic news story", "age": 5}])[0]
-    watched = _score(spark, [{"title": "Critical ransomware zero-day RCE exploit", "age": 5}], ["ransomware", "zero-day", "RCE"])[0]
-    assert watched > base
-
-
-def test_score_capped_at_100(spark):
-    s = _score(
-        spark,
-        [{"title": "ransomware zero-day RCE active exploitation CISA KEV", "cvss": 10.0, "age": 0, "tier": 1, "points": 1000}],
-        ["ransomware", "zero-day", "RCE"],
-    )[0]
-    assert s <= 100.0
-
-
-def test_no_cvss_still_scores(spark):
-    assert _score(spark, [{"title": "x", "cvss": None, "age": 2, "tier": 2}])[0] > 0
+def test_scores_end_at_100(spark):
+    words = ["spyware", "wiper", "worm"]
+    most = {"title": " ".join(words), "cvss": 10.0, "age": 0, "tier": 1, "points": 5000}
+    assert _score(spark, [most], words) == [100.0]
 
 
 def test_matches_formula(spark):
