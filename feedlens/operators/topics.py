@@ -40,17 +40,58 @@ def keyword_pairs(items: DataFrame, item_col: str = "item") -> DataFrame:
 def shared_keyword_pairs(items: DataFrame, item_col: str = "item", min_shared: int = C.CLUSTER_MIN_SHARED) -> DataFrame:
     """Item pairs (a < b) with at least ``min_shared`` distinct shared keywords.
 
-    This is the pair list itself (its size is the real output size); the
+    This is the pair list itself (its size is the real output size), expanded from the pairs of classes; the
     clustering below never builds it.
     """
-    x = items.select(F.col(item_col).alias("item"), F.explode(F.array_distinct("keywords")).alias("kw"))
-    pairs = (
-        x.alias("l").join(x.alias("r"), F.col("l.kw") == F.col("r.kw"))
-        .where(F.col("l.item") < F.col("r.item"))
-        .groupBy(F.col("l.item").alias("a"), F.col("r.item").alias("b"))
-        .agg(F.count(F.lit(1)).alias("n_shared"))
-    )
-    return pairs.where(F.col("n_shared") >= min_shared)
+    return expand_classes(*shared_keyword_classes(items, item_col, min_shared))
+
+
+def keyword_classes(items: DataFrame, item_col: str = "item") -> tuple[DataFrame, DataFrame]:
+    """J2 membership: items of equal keyword sets are one class, named by its smallest item.
+
+    Returns (classes, members): (cls, keywords, n_items) and (item, cls). Counted before anything is joined, so
+    the copies of a keyword set are never paired with one another.
+    """
+    x = items.select(F.col(item_col).alias("item"), F.array_sort(F.array_distinct(F.coalesce("keywords", F.array().cast("array<string>")))).alias("keywords"))
+    x = x.where(F.size("keywords") > 0)
+    classes = cut_lineage(x.groupBy("keywords").agg(F.min("item").alias("cls"), F.count(F.lit(1)).alias("n_items")))
+    members = skew_safe_join(x, classes.select("keywords", "cls"), ["keywords"]).select("item", "cls")
+    return classes.select("cls", "keywords", "n_items"), members
+
+
+def shared_keyword_classes(items: DataFrame, item_col: str = "item", min_shared: int = C.CLUSTER_MIN_SHARED) -> tuple[DataFrame, DataFrame]:
+    """J2 between classes: (cls_a, cls_b, n_shared, n_links) with cls_a <= cls_b, and (item, cls).
+
+    ``n_links`` is the number of item pairs that a row stands for. Classes meet on a *pair* of keywords, so a
+    keyword that all items hold joins nothing by itself; two classes are given once, by the first pair that they share.
+    """
+    classes, members = keyword_classes(items, item_col)
+    same = classes.where(F.size("keywords") >= min_shared).where(F.col("n_items") > 1).select(
+        F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"), F.size("keywords").alias("n_shared"),
+        (F.col("n_items") * (F.col("n_items") - 1) / 2).cast("bigint").alias("n_links"),
+    )
+    ready = classes.where(F.size("keywords") >= 2).select("cls", "n_items", "keywords")
+    if min_shared == 1:
+        keyed = classes.select("cls", "n_items", "keywords", F.explode("keywords").alias("k1")).withColumn("k2", F.lit(""))
+    else:
+        kws = F.col("keywords")
+        pairs = F.flatten(F.transform(kws, lambda k, i: F.transform(F.slice(kws, i + 2, 1 << 30), lambda k2: F.struct(k.alias("k1"), k2.alias("k2")))))
+        keyed = ready.select("cls", "n_items", "keywords", F.explode(pairs).alias("p")).select("cls", "n_items", "keywords", "p.*")
+    a = keyed.select("k1", "k2", F.col("cls").alias("cls_a"), F.col("n_items").alias("n_a"), F.col("keywords").alias("w_a"))
+    b = keyed.select("k1", "k2", F.col("cls").alias("cls_b"), F.col("n_items").alias("n_b"), F.col("keywords").alias("w_b"))
+    both = F.array_intersect("w_a", "w_b")  # in the order of the first, which is sorted
+    first = (F.get(both, F.lit(0)) == F.col("k1")) & ((F.lit(min_shared) == 1) | (F.get(both, F.lit(1)) == F.col("k2")))
+    met = a.join(b, ["k1", "k2"]).where((F.col("cls_a") < F.col("cls_b")) & first & (F.size(both) >= min_shared))
+    unlike = met.select("cls_a", "cls_b", F.size(both).alias("n_shared"), (F.col("n_a") * F.col("n_b")).alias("n_links"))
+    return same.unionByName(unlike), members
+
+
+def expand_classes(links: DataFrame, members: DataFrame) -> DataFrame:
+    """J2's item pairs (a < b, n_shared), for those who need every single one."""
+    ma = members.select(F.col("cls").alias("cls_a"), F.col("item").alias("x"))
+    mb = members.select(F.col("cls").alias("cls_b"), F.col("item").alias("y"))
+    pairs = links.join(ma, "cls_a").join(mb, "cls_b").where((F.col("cls_a") != F.col("cls_b")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n_shared")
 
 
 def topic_components(items: DataFrame, item_col: str = "item") -> DataFrame:

@@ -23,9 +23,10 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import filters as FL
 from ..operators import report as R
+from ..operators.dictionary import dictionary_hits, rows_with_terms
 from ..operators.dedup import exact_attribution, exact_dedup, deduplicate, fuzzy_groups
 from ..operators.similarity import similar_title_pairs
-from ..operators.topics import cluster, shared_keyword_pairs, topic_components, with_keywords
+from ..operators.topics import cluster, shared_keyword_classes, shared_keyword_pairs, topic_components, with_keywords
 from ..session import checkpoint_dir, cut_lineage
 from ..sources.tables import news_items
 from . import oracle_sql as O
@@ -445,6 +446,20 @@ def q_shared_pairs(spark, sf):
     return shared_keyword_pairs(_topic_items(spark, sf))
 
 
+@register(
+    "shared_keyword_classes",
+    _TOPIC.rstrip().rstrip(",")
+    + """,
+    kc AS (SELECT keywords AS ks, min(item) AS cls, count(*) AS n FROM (SELECT item, list_sort(list_distinct(list(kw))) AS keywords FROM tp_kw GROUP BY item) GROUP BY keywords)
+    SELECT a.cls AS cls_a, b.cls AS cls_b, len(list_intersect(a.ks, b.ks))::INT AS n_shared,
+           CASE WHEN a.cls = b.cls THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS n_links
+    FROM kc a JOIN kc b ON a.cls <= b.cls
+    WHERE len(list_intersect(a.ks, b.ks)) >= 2 AND (a.cls < b.cls OR a.n > 1)""",
+)
+def q_shared_classes(spark, sf):
+    return shared_keyword_classes(_topic_items(spark, sf))[0]
+
+
 @register("topic_components", _TOPIC + "\nSELECT node AS item, comp FROM tp_reach")
 def q_topic_components(spark, sf):
     return topic_components(_topic_items(spark, sf))
@@ -1103,6 +1118,41 @@ def q_manifest_guard(spark, sf):
     return SRC.archive_manifest_guard(_manifest(spark, sf)).select("page_id", "ecosystem", "filename", "file_size")
 
 
+# ---------------------------------------------------------------- dictionaries as tables
+
+_TERMS_SQL = """terms AS (
+      SELECT DISTINCT term FROM (
+        SELECT lower(p_name) AS term FROM part UNION ALL SELECT unnest(string_split(lower(p_name), ' ')) FROM part
+        UNION ALL SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) FROM benchmark) WHERE length(term) >= 4),
+    listed AS (SELECT list(term) AS ts FROM terms),
+    low AS (SELECT doc_id, lower(text) AS t FROM documents)"""
+
+
+def _terms(spark, sf) -> DataFrame:
+    names = read_table(spark, sf, "part", ["p_name"]).select(F.lower("p_name").alias("term"))
+    words = names.select(F.explode(F.split("term", " ")).alias("term"))
+    passages = read_table(spark, sf, "benchmark", ["text"]).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term"))
+    return names.unionByName(words).unionByName(passages).where(F.length("term") >= 4)
+
+
+@register(
+    "dictionary_match",
+    _with(_TERMS_SQL)
+    + """
+    SELECT doc_id, len(h)::INT AS n_terms, md5(array_to_string(list_sort(h), '|')) AS terms_md5
+    FROM (SELECT doc_id, list_filter(ts, lambda x: contains(t, x)) AS h FROM low, listed) WHERE len(h) > 0""",
+)
+def q_dictionary_match(spark, sf):
+    hits = dictionary_hits(read_table(spark, sf, "documents", ["doc_id", "text"]), _terms(spark, sf), "text")
+    return hits.select("doc_id", F.size("terms").alias("n_terms"), F.md5(F.array_join("terms", "|")).alias("terms_md5"))
+
+
+@register("dictionary_filter", _with(_TERMS_SQL) + "\nSELECT doc_id FROM low WHERE EXISTS (SELECT 1 FROM terms WHERE contains(t, term) AND length(term) >= 14)")
+def q_dictionary_filter(spark, sf):
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    return rows_with_terms(docs, _terms(spark, sf).where(F.length("term") >= 14), "text", "doc_id").select("doc_id")
+
+
 # News-aggregator stories derived from the item table
 _HN_CUTOFF = "2024-01-01 00:00:00"
 
@@ -1465,6 +1515,7 @@ def q_digest_over_sources(spark, sf):
 # ---------------------------------------------------------------- streaming (ST1, ST2)
 
 from ..streaming.ingest import run_ingest_dedup, run_report_refresh  # noqa: E402
+from ..streaming.winners import current_winners, recorded_copies, stream_in_parts  # noqa: E402
 
 
 @register("stream_ingest_dedup", _with(NI) + f"\nSELECT DISTINCT {O.fingerprint('title', 'url')} AS fp FROM news_items")
@@ -1472,6 +1523,17 @@ def q_stream_ingest_dedup(spark, sf):
     return run_ingest_dedup(_items(spark, sf)).select("fp")
 
 
+@register("stream_exact_dedup", _CANON + "\nSELECT fp, seq, source_name, source_tier, pos, n_copies FROM canon")
+def q_stream_exact_dedup(spark, sf):
+    log = stream_in_parts(_items(spark, sf), _landed(spark, "stream-winners"))
+    return current_winners(log).select("fp", "seq", "source_name", "source_tier", "pos", "n_copies")
+
+
+@register("stream_attribution", ORACLES["dedup_attribution"])
+def q_stream_attribution(spark, sf):
+    return recorded_copies(stream_in_parts(_items(spark, sf), _landed(spark, "stream-winners"))).select("fp", "seq", "ord", "source_name")
+
+
 @register("stream_report_refresh", f"SELECT idx, seq, score FROM ({_INCIDENT_SQL}) r")
 def q_stream_report_refresh(spark, sf):
     return run_report_refresh(_items(spark, sf), NOW, days=INCIDENT_DAYS, min_score=MIN_SCORE, threshold=THRESHOLD).select("idx", "seq", "score")
