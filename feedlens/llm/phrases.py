@@ -2,12 +2,15 @@
 
 A task splits its texts into words, gives each word a 64-bit hash and sums prefix polynomials
 over them, so the fingerprint of any n-gram is one subtraction and one product of numpy
-arrays. Inside a task n-grams are told apart exactly, by word numbers. What is shuffled is
-a fingerprint, its count in the task and a pointer to one of its occurrences (row, offset, length).
-The shuffle adds the counts per fingerprint; only fingerprints that reach ``least`` keep their
-pointers. These are followed back into the texts, and the counts are added once more
-by the phrases found there: fingerprints that unlike phrases share are parted by their
-text, and no phrase below ``least`` survives. Only phrases of frequent fingerprints are ever written out.
+arrays. Inside a scan n-grams are told apart exactly, by word numbers. What is shuffled is
+a fingerprint, its count, a pointer to a document that holds the n-gram, and a check: some bits
+of a hash of another kind. They travel as arrays, one row per scan and bucket of fingerprints. A bucket's task adds
+up the counts per fingerprint and keeps one pointer. Only fingerprints that reach ``least`` go on.
+
+Their pointers are followed into the texts, and only there phrases are written out. Where the checks
+of a fingerprint differ, unlike phrases share it: such fingerprints are counted once more over all texts, by
+their words, and each of their phrases is kept or dropped by its own count. (Two n-grams would have to agree in
+64 bits of one hash and 31 of the other to go unnoticed.)
 
 Lengths are counted one after the other. An n-gram can be frequent only if both its (n-1)-grams are,
 so a bitmap of their frequent fingerprints (``BITMAP_BITS``, a fixed size) is broadcast and lets a task leave
@@ -40,10 +43,19 @@ BITMAP_BITS = 1 << 26
 
 LETTER_BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2 ** 64
 WORD_BASE = 0xD1342543DE82EF95
-#: Bytes of text per scan: larger ones shuffle fewer rows, as a phrase is one row per scan.
-SCAN_BYTES = 12 << 20
+CHECK_BASE = 0xA0761D6478BD642F
+#: Bytes of text per scan; an n-gram is one entry per scan.
+SCAN_BYTES = 4 << 20
 
-POINTER_DDL = "n int, fp bigint, cnt bigint, row bigint, at bigint, len bigint"
+#: Arrays of equal length; a check of -1 marks the number of all words of a language.
+GRAM_DDL = "bucket int, fp array<bigint>, row array<bigint>, cnt array<bigint>, check array<int>"
+#: Bytes of text whose entries one bucket takes, and buckets at most.
+BUCKET_BYTES = 8 << 20
+MAX_BUCKETS = 1 << 16
+#: Frequent fingerprints with their pointers are broadcast below this many bytes (counted), else joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Fingerprints of unlike phrases that one scan looks for.
+SHARED_AT_ONCE = 1 << 20
 
 
 def prefix_sums(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +87,8 @@ class Words:
     """The words of a window: places, exact numbers, piece and language of each, prefix polynomials."""
 
     def __init__(self, w: TextWindow):
+        import xxhash
+
         lower = w.data.lower()  # bytes: A-Z only
         a = np.frombuffer(lower, np.uint8)
         kind = np.zeros(256, np.uint8)
@@ -93,6 +107,7 @@ class Words:
         sums, down = prefix_sums(np.frombuffer(b"".join(known.to_pylist()), np.uint8).astype(np.uint64) + np.uint64(1), LETTER_BASE)
         hashes = mixed((sums[spots[1:]] - sums[spots[:-1]]) * down[spots[:-1]])
         self.sums, self.down = prefix_sums(hashes[self.word], WORD_BASE)
+        self.checks = np.fromiter(map(xxhash.xxh64_intdigest, known.to_pylist()), np.uint64, len(known))
         # owner of a part: (row, language); a language's number is its place among the window's
         langs = sorted({o[1] for o in w.owner})
         number = {x: i for i, x in enumerate(langs)}
@@ -129,6 +144,17 @@ class Words:
         first = np.flatnonzero(np.concatenate([[True], ~same])) if len(at) else np.zeros(0, np.int64)
         return at[first], fp[first], np.diff(np.concatenate([first, [len(at)]]))
 
+    def check(self, at: np.ndarray, n: int) -> np.ndarray:
+        """31 bits of a hash of the n-grams at words ``at`` that has nothing in common with the fingerprint."""
+        total = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            total = total * np.uint64(CHECK_BASE) + self.checks[self.word[at + k]]
+        return (total >> np.uint64(33)).astype(np.int32)
+
+    def text(self, data: bytes, at: int, n: int) -> bytes:
+        """The n-gram at a word, lower-cased and set apart by one blank."""
+        return b" ".join(data[s:e].lower() for s, e in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist()))
+
 
 def in_bitmap(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
     """Whether the bit of each fingerprint is set in a bitmap of 64-bit words."""
@@ -146,8 +172,8 @@ def text_windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[TextW
     return windows(texts(), BREAKS, size)
 
 
-def count_grams(docs: DataFrame, n: int, known, size: int) -> DataFrame:
-    """Fingerprint, count and pointer of each distinct n-gram of a scan; with n = 1 also each language's words (n = 0)."""
+def count_grams(docs: DataFrame, n: int, known, size: int, buckets: int) -> DataFrame:
+    """Fingerprint, pointer, count and check of each distinct n-gram of a scan; with n = 1 also each language's words."""
     ship_by_value()
     small_batches(docs.sparkSession)
 
@@ -156,31 +182,52 @@ def count_grams(docs: DataFrame, n: int, known, size: int) -> DataFrame:
         for w in text_windows(batches, size):
             words = Words(w)
             at, fp, cnt = words.grams(n, bits)
-            part = w.part_of(words.start[at])
             rows = np.array([o[0] for o in w.owner], np.int64)
-            cols = [
-                np.full(len(at), n, np.int32), fp.view(np.int64), cnt, rows[part],
-                w.in_text(words.start[at], part), words.end[at + n - 1] - words.start[at],
-            ]
-            for k in range(0, len(at), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in cols], names=["n", "fp", "cnt", "row", "at", "len"])
-            if n == 1 and len(words.word):
+            cols = [fp, rows[w.part_of(words.start[at])], cnt, words.check(at, n)]
+            if n == 1:
                 total = np.bincount(words.lang, minlength=len(words.lang_names))
                 owner = {o[1]: o[0] for o in w.owner}
-                rows0 = [(0, int(words.lang_hash[i].view(np.int64)), int(c), owner[x], 0, 0) for i, (x, c) in enumerate(zip(words.lang_names, total)) if c]
-                types = [pa.int32()] + [pa.int64()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows0), types)], names=["n", "fp", "cnt", "row", "at", "len"])
+                more = [words.lang_hash, np.array([owner[x] for x in words.lang_names], np.int64), total, np.full(len(total), -1, np.int32)]
+                cols = [np.concatenate([c, m[total > 0]]) for c, m in zip(cols, more)]
+            # the upper bits of a fingerprint are its bucket, and entries come sorted by fingerprint
+            to = ((cols[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            to, cols = to[order], [c[order] for c in cols]
+            first = np.flatnonzero(np.diff(to, prepend=-1))
+            offsets = pa.array(np.append(first, len(to)), pa.int32())
+            cols[0] = cols[0].view(np.int64)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(to[first]), *lists], names=["bucket", "fp", "row", "cnt", "check"])
 
-    return docs.mapInArrow(run, POINTER_DDL)
+    return docs.mapInArrow(run, GRAM_DDL)
 
 
-def frequent_pointers(grams: DataFrame, least: int) -> DataFrame:
-    """The rows whose fingerprint reaches ``least`` in all; totals of languages (n = 0) stay.
+def frequent(grams: DataFrame, least: int) -> DataFrame:
+    """(fp, total, cnt, row, check, shared): fingerprints that reach ``least``, and the totals of languages (``total``).
 
-    A fingerprint has one row per scan, so no key holds more than one row of each.
+    A bucket holds one entry of a fingerprint per scan, so no fingerprint makes it large.
     """
-    total = F.sum("cnt").over(Window.partitionBy("fp"))
-    return grams.withColumn("_total", total).where((F.col("_total") >= least) | (F.col("n") == 0)).drop("_total")
+
+    def run(group: pa.Table) -> pa.Table:
+        fp, row, cnt, check = (group[c].combine_chunks().flatten().to_numpy() for c in ("fp", "row", "cnt", "check"))
+        out = []
+        for total in (False, True):
+            at = np.flatnonzero((check < 0) == total)
+            at = at[np.argsort(fp[at])]
+            key = fp[at]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(at) else np.zeros(0, np.int64)
+            if len(first):
+                low, high = np.minimum.reduceat(check[at], first), np.maximum.reduceat(check[at], first)
+                sums = np.add.reduceat(cnt[at], first)
+                go = np.flatnonzero((sums >= least) | total)
+                one = [key[first], np.full(len(first), total), sums, np.minimum.reduceat(row[at], first), low.astype(np.int64), low != high]
+                out.append([c[go] for c in one])
+        names = ["fp", "total", "cnt", "row", "check", "shared"]
+        kinds = [np.int64, bool, np.int64, np.int64, np.int64, bool]
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, k) for k in kinds]
+        return pa.table(dict(zip(names, cols)))
+
+    return grams.groupBy("bucket").applyInArrow(run, "fp bigint, total boolean, cnt bigint, row bigint, check bigint, shared boolean")
 
 
 def bitmap_of(pointers: DataFrame, bits: int) -> np.ndarray:
@@ -193,33 +240,78 @@ def bitmap_of(pointers: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def phrase_texts(docs: DataFrame, pointers: DataFrame) -> DataFrame:
-    """(lang, n, phrase, cnt): the pointers followed into the texts, with words lower-cased and set apart by one blank.
+PHRASE = {"fp": pa.int64(), "lang": pa.string(), "n": pa.int32(), "phrase": pa.string(), "cnt": pa.int64()}
+PHRASE_DDL = "fp bigint, lang string, n int, phrase string, cnt bigint"
 
-    A document gets a list of its pointers: at most ``max_words`` for each of its words.
+
+def phrase_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * len(PHRASE)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, PHRASE.values())], names=list(PHRASE))
+
+
+def followed(docs: DataFrame, pointers: DataFrame, size: int) -> DataFrame:
+    """(fp, lang, n, phrase, cnt): every pointer followed into its document's text.
+
+    The document is hashed again to find the fingerprint, so a pointer is a row number, and a list of
+    pointers has at most ``max_words`` entries for each word of its document.
     """
-    per_row = pointers.groupBy("row").agg(F.collect_list(F.struct("at", "len", "n", "cnt")).alias("found"))
-    joined = docs.join(per_row, "row").select("lang", "text", "found")
+    per_row = pointers.groupBy("row").agg(F.collect_list(F.struct("fp", "check", "cnt", "n")).alias("found"))
+    small = pointers.count() * 40 <= BROADCAST_BYTES
+    joined = docs.join(F.broadcast(per_row) if small else per_row, "row").select("lang", "text", "found")
     ship_by_value()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
-            found = b.column(2)
-            flat = found.flatten()
-            at, size, n, cnt = (flat.field(k).to_numpy() for k in range(4))
-            phrases, names, i = [], [], 0
-            for lang, text, k in zip(langs, texts, np.diff(found.offsets.to_numpy())):
-                for s, e in zip(at[i : i + k].tolist(), (at[i : i + k] + size[i : i + k]).tolist()):
-                    phrases.append(b" ".join(text[s:e].lower().split()))
-                names.extend([lang] * int(k))
-                i += int(k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array(n, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(cnt)],
-                names=["lang", "n", "phrase", "cnt"],
-            )
-
-    return joined.mapInArrow(run, "lang string, n int, phrase string, cnt bigint")
+        def texts():
+            for b in batches:
+                for lang, text, found in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2)):
+                    flat = found.values
+                    yield (None, lang, [flat.field(k).to_numpy() for k in range(4)]), text
+
+        for w in windows(texts(), BREAKS, size):
+            rows: list[tuple] = []
+            fp, check, cnt, n = (np.concatenate([o[2][k] for o in w.owner]) for k in range(4))
+            lang = np.repeat(np.arange(len(w.owner)), [len(o[2][0]) for o in w.owner])
+            for k in np.flatnonzero(n == 0).tolist():
+                rows.append((int(fp[k]), w.owner[lang[k]][1], 0, "", int(cnt[k])))
+            words = Words(w)
+            for m in np.unique(n[n > 0]).tolist():
+                wanted = np.flatnonzero(n == m)
+                wanted = wanted[np.argsort(fp[wanted].view(np.uint64))]
+                keys = fp[wanted].view(np.uint64)
+                have, whole = words.fingerprints(m)
+                at = np.flatnonzero(whole)
+                place = np.minimum(np.searchsorted(keys, have[at]), len(keys) - 1)
+                hit = keys[place] == have[at]
+                at, place = at[hit], place[hit]
+                good = words.check(at, m) == check[wanted[place]]
+                at, place = at[good], place[good]
+                first = np.unique(place, return_index=True)[1]
+                for a, k in zip(at[first].tolist(), wanted[place[first]].tolist()):
+                    rows.append((int(fp[k]), words.lang_names[words.lang[a]], m, words.text(w.data, a, m).decode(), int(cnt[k])))
+            yield phrase_batch(rows)
+
+    # a long text is scanned in parts and may give a phrase from several of them
+    return joined.mapInArrow(run, PHRASE_DDL).groupBy("fp", "n").agg(F.min(F.struct("lang", "phrase", "cnt")).alias("p")).select("p.lang", "n", "p.phrase", F.col("p.cnt").alias("f"))
+
+
+def counted_by_words(docs: DataFrame, fps: np.ndarray, n: int, size: int) -> DataFrame:
+    """(lang, n, phrase, f): exact counts of the phrases of given fingerprints, over all texts."""
+    ref = docs.sparkSession.sparkContext.broadcast(np.sort(fps))  # SHARED_AT_ONCE numbers at most
+    ship_by_value()
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ref.value.view(np.int64)
+        for w in text_windows(batches, size):
+            words = Words(w)
+            at, fp, cnt = words.grams(n, None)
+            hit = np.flatnonzero(np.isin(fp.view(np.int64), keys))
+            yield phrase_batch([
+                (0, words.lang_names[words.lang[a]], n, words.text(w.data, a, n).decode(), c) for a, c in zip(at[hit].tolist(), cnt[hit].tolist())
+            ])
+
+    return docs.mapInArrow(run, PHRASE_DDL).groupBy("lang", "n", "phrase").agg(F.sum("cnt").alias("f"))
 
 
 def phrase_counts(docs: DataFrame, max_words: int = 3, least: int = 10, bits: int = BITMAP_BITS, size: int = SCAN_BYTES) -> DataFrame:
@@ -229,18 +321,28 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, least: int = 10, bits: in
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").where(F.col("text").isNotNull())
     rows = staged(rows.select(F.monotonically_increasing_id().alias("row"), "lang", "text"), "phrase-texts")
-    kept, known = [], None
+    n_bytes = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    buckets = min(MAX_BUCKETS, 1 + n_bytes // BUCKET_BYTES)
+    found, again, known = [], [], None
     for n in range(1, max_words + 1):
-        kept.append(staged(frequent_pointers(count_grams(rows, n, known, size), least), "pointers"))
+        kept = staged(frequent(count_grams(rows, n, known, size, buckets), least), "frequent")
+        found.append(kept.where("not shared").withColumn("n", F.when(F.col("total"), 0).otherwise(n)))
+        shared = kept.where("shared").select("fp")
+        slices = -(-shared.count() // SHARED_AT_ONCE)
+        for k in range(slices):
+            part = shared.where(F.pmod(F.xxhash64("fp"), F.lit(slices)) == k).toArrow()["fp"].to_numpy()
+            again.append(counted_by_words(rows, part, n, size).where(F.col("f") >= least))
         if n < max_words:
             if known is not None:
                 known.unpersist()
-            known = docs.sparkSession.sparkContext.broadcast(bitmap_of(kept[-1].where(F.col("n") == n), bits))
-    every = kept[0]
-    for k in kept[1:]:
-        every = every.unionByName(k)
-    exact = phrase_texts(rows, every).groupBy("lang", "n", "phrase").agg(F.sum("cnt").alias("f"))
-    return staged(exact.where((F.col("f") >= least) | (F.col("n") == 0)), "phrases")
+            known = docs.sparkSession.sparkContext.broadcast(bitmap_of(kept.where("not total"), bits))
+    pointers = found[0]
+    for k in found[1:]:
+        pointers = pointers.unionByName(k)
+    out = followed(rows, pointers, size)
+    for more in again:
+        out = out.unionByName(more)
+    return staged(out, "phrases")
 
 
 def words_between(words: Column, first: Column, count: Column) -> Column:
