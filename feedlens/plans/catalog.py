@@ -28,7 +28,8 @@ from ..operators.dedup import exact_attribution, exact_dedup, deduplicate, fuzzy
 from ..operators.similarity import similar_title_pairs
 from ..operators.topics import cluster, shared_keyword_classes, shared_keyword_pairs, topic_components, with_keywords
 from ..session import checkpoint_dir, cut_lineage
-from ..sources.tables import news_items
+from ..sources.store import of_active_categories, read_items, write_items
+from ..sources.tables import CATEGORY_BY_MOD6, news_items
 from . import oracle_sql as O
 from .digest import news_digest
 from .incidents import incident_report
@@ -1118,6 +1119,34 @@ def q_manifest_guard(spark, sf):
     return SRC.archive_manifest_guard(_manifest(spark, sf)).select("page_id", "ecosystem", "filename", "file_size")
 
 
+# ---------------------------------------------------------------- filters over the item store
+
+def _store(spark, sf) -> str:
+    path = _landed(spark, "store")
+    write_items(_items(spark, sf), path)
+    return path
+
+
+@register("stored_lookback", ORACLES["lookback_filter"])
+def q_stored_lookback(spark, sf):
+    return read_items(spark, _store(spark, sf), NOW, INCIDENT_DAYS * 24).select("seq", "published")
+
+
+@register(
+    "stored_categories",
+    _with(NI, "on_now AS (SELECT DISTINCT CASE CAST(substr(source, 4, 10) AS INT) % 6 "
+          + " ".join(f"WHEN {i} THEN {O.q(c)}" for i, c in enumerate(CATEGORY_BY_MOD6))
+          + " END AS c FROM documents WHERE CAST(substr(source, 4, 10) AS INT) % 6 IN (1, 4))")
+    + "\nSELECT seq, source_category FROM news_items WHERE source_category IN (SELECT c FROM on_now)",
+)
+def q_stored_categories(spark, sf):
+    registry = _landed(spark, "landing")
+    n = F.substring("name", 4, 10).cast("int") % 6
+    # a registry file in which only two categories have enabled sources
+    _registry(spark, sf).withColumn("enabled", n.isin(1, 4)).write.parquet(registry)
+    return of_active_categories(read_items(spark, _store(spark, sf)), spark.read.parquet(registry)).select("seq", "source_category")
+
+
 # ---------------------------------------------------------------- dictionaries as tables
 
 _TERMS_SQL = """terms AS (
