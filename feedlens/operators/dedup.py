@@ -11,6 +11,8 @@ shows (see ``report.first_sources``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +90,11 @@ def scan_rank_cols(df: DataFrame) -> DataFrame:
 RANK_COLS = ["r_tier", "r_neg_pub", "r_pos"]
 
 
-def fuzzy_groups(canon: DataFrame, threshold: float = C.DEFAULT_SIMILARITY_THRESHOLD) -> DataFrame:
+#: (titles (tid, nt), threshold) -> similar pairs (a, b)
+PairFinder = Callable[[DataFrame, float], DataFrame]
+
+
+def fuzzy_groups(canon: DataFrame, threshold: float = C.DEFAULT_SIMILARITY_THRESHOLD, pairs_of: PairFinder = similar_title_pairs) -> DataFrame:
     """A3: greedy leader assignment over exact-dedup survivors.
 
     Items are compared through their normalised titles. Identical titles
@@ -107,7 +113,7 @@ def fuzzy_groups(canon: DataFrame, threshold: float = C.DEFAULT_SIMILARITY_THRES
         "nt", F.xxhash64("nt").alias("tid"), *[F.col(f"f.{k}").alias(k) for k in RANK_COLS], F.col("f.fp").alias("first_fp")
     )
     titles = cut_lineage(titles)
-    pairs = similar_title_pairs(titles.select("tid", "nt"), threshold)
+    pairs = pairs_of(titles.select("tid", "nt"), threshold)
     lead = greedy_leaders(titles.select(F.col("tid").alias("id"), *RANK_COLS), pairs, RANK_COLS)
     # leader title -> its first item's fingerprint
     title_lead = (
@@ -119,7 +125,9 @@ def fuzzy_groups(canon: DataFrame, threshold: float = C.DEFAULT_SIMILARITY_THRES
     return c.join(title_map, "nt").withColumn("is_leader", F.col("fp") == F.col("leader_fp")).drop("first_fp")
 
 
-def deduplicate(items: DataFrame, threshold: float = C.DEFAULT_SIMILARITY_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def deduplicate(
+    items: DataFrame, threshold: float = C.DEFAULT_SIMILARITY_THRESHOLD, pairs_of: PairFinder = similar_title_pairs
+) -> tuple[DataFrame, DataFrame]:
     """A1–A4. Returns (survivors, attribution).
 
     survivors: one row per fuzzy leader, with ``fp``, ``pos``, scan ranks
@@ -127,7 +135,7 @@ def deduplicate(items: DataFrame, threshold: float = C.DEFAULT_SIMILARITY_THRESH
     attribution: (fp, stage, ord, source_name) for every survivor.
     """
     canon = cut_lineage(exact_dedup(items))
-    grouped = cut_lineage(fuzzy_groups(canon, threshold))
+    grouped = cut_lineage(fuzzy_groups(canon, threshold, pairs_of))
     survivors = grouped.where("is_leader").drop("is_leader", "leader_fp")
     # a fingerprint can hold a large share of all copies: keep the rows of
     # surviving fingerprints with a join that splits hot keys

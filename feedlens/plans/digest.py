@@ -15,7 +15,8 @@ from ..functions import text as T
 from ..functions.scoring import age_hours, relevance_score
 from ..operators import filters as FL
 from ..operators import report as R
-from ..operators.dedup import deduplicate
+from ..operators.dedup import PairFinder, deduplicate
+from ..operators.similarity import similar_title_pairs
 from ..operators.topics import cluster, with_keywords
 
 
@@ -35,11 +36,12 @@ def scored_survivors(
     threshold: float,
     watchlist: list[str] | None,
     weights: dict | None,
+    pairs_of: PairFinder = similar_title_pairs,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Shared front half of both reports: look-back + categories (the
     fetch step), exact+fuzzy dedup, scoring. Returns (window, scored, attribution)."""
     window = FL.categories(FL.lookback(raw, now, hours), categories)
-    survivors, attribution = deduplicate(window, threshold)
+    survivors, attribution = deduplicate(window, threshold, pairs_of)
     scored = survivors.withColumn("score", relevance_score(now, watchlist, weights))
     return window, scored, attribution
 

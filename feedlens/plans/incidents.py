@@ -17,6 +17,8 @@ from ..functions import text as T
 from ..functions.scoring import age_hours
 from ..operators import filters as FL
 from ..operators import report as R
+from ..operators.dedup import PairFinder
+from ..operators.similarity import similar_title_pairs
 from .digest import scored_survivors
 
 
@@ -38,10 +40,11 @@ def incident_candidates(
     threshold: float = C.DEFAULT_SIMILARITY_THRESHOLD,
     watchlist: list[str] | None = None,
     weights: dict | None = None,
+    pairs_of: PairFinder = similar_title_pairs,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Window → dedup → score → incident filter (F6) → keyword (F7) → min score (F8)."""
     cats = C.DEFAULT_INCIDENT_CATEGORIES if categories is None else categories
-    window, scored, attribution = scored_survivors(raw, now, days * 24, cats, threshold, watchlist, weights)
+    window, scored, attribution = scored_survivors(raw, now, days * 24, cats, threshold, watchlist, weights, pairs_of)
     items = FL.min_score(FL.keyword_filter(FL.incident_related(scored), keyword), min_score)
     return window, items, attribution
 

@@ -20,12 +20,14 @@ a restarted job resumes where it stopped.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import checkpoint_dir
+from ..operators.similarity import similar_title_pairs
+from ..session import checkpoint_dir, cut_lineage
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -61,6 +63,51 @@ def stream_ingest_dedup(spark: SparkSession, landing: str, schema, sink: str, ch
     q.awaitTermination()
 
 
+class WindowPairs:
+    """Similar title pairs of the look-back window, kept up to date from batch to batch (J1 under ST2).
+
+    After each batch a folder holds the window's titles and their pairs. The next batch compares only titles
+    that the last window didn't have with all titles of its own, and takes over the stored pairs of titles
+    that are still there. What leaves the window leaves the store, so it doesn't grow. A batch writes folders of its
+    own number, so a replayed one reads what it read before. ``compared`` counts new titles of the last call.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, epoch: int):
+        self.spark, self.path, self.epoch = spark, path, epoch
+        self.compared = 0
+
+    def stored(self, what: str, schema: str) -> DataFrame:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}/batch={self.epoch - 1}")
+        there = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        return self.spark.read.schema(schema).parquet(folder.toString()) if there else self.spark.createDataFrame([], schema)
+
+    def __call__(self, titles: DataFrame, threshold: float) -> DataFrame:
+        old = self.stored("titles", "tid bigint").withColumn("_old", F.lit(True))
+        marked = cut_lineage(titles.join(old, "tid", "left").select("tid", "nt", F.col("_old").isNull().alias("fresh")))
+        self.compared = marked.where("fresh").count()
+        here = marked.where(~F.col("fresh")).select("tid")
+        kept = self.stored("pairs", "a bigint, b bigint").join(here.withColumnRenamed("tid", "a"), "a", "left_semi").join(here.withColumnRenamed("tid", "b"), "b", "left_semi")
+        found = similar_title_pairs(marked, threshold, new_col="fresh")
+        now = f"{self.path}/pairs/batch={self.epoch}"
+        kept.select("a", "b").unionByName(found).write.mode("overwrite").parquet(now)
+        marked.select("tid").write.mode("overwrite").parquet(f"{self.path}/titles/batch={self.epoch}")
+        drop_folders(self.spark, f"{self.path}/*/batch=*", lambda n: int(n.rpartition("=")[2]) < self.epoch - 1)
+        return self.spark.read.schema("a bigint, b bigint").parquet(now)
+
+
+def drop_folders(spark: SparkSession, pattern: str, gone: Callable[[str], bool]) -> list[str]:
+    """Delete the folders of a pattern whose name ``gone`` accepts; returns their names."""
+    jvm = spark.sparkContext._jvm
+    glob = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = []
+    for found in fs.globStatus(glob) or []:
+        if gone(found.getPath().getName()):
+            fs.delete(found.getPath(), True)
+            names.append(found.getPath().getName())
+    return sorted(names)
+
+
 def stream_report_refresh(
     spark: SparkSession, landing: str, schema, store: str, report: str, checkpoint: str, now, days: int = 14, **kw
 ) -> None:
@@ -68,7 +115,8 @@ def stream_report_refresh(
 
     The store has one folder per batch and day. A replayed batch overwrites its own
     folder, so rows are never doubled; the report reads only the days of the
-    look-back window, and each batch writes its report to a folder of its own.
+    look-back window, days before it are deleted, and each batch writes its report to a folder of its own.
+    Title pairs, the dear part, are kept from batch to batch (``WindowPairs``).
     """
     from ..plans.incidents import incident_report
 
@@ -76,8 +124,12 @@ def stream_report_refresh(
         days_of = batch.withColumn("day", F.to_date("published"))
         days_of.write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch={epoch_id}")
         first = F.date_sub(F.to_date(F.lit(now).cast("timestamp")), days)
+        # a folder's day is after all of its rows' look-back once it lies before the first day
+        oldest = spark.range(1).select(first.cast("string")).first()[0]
+        drop_folders(spark, f"{store}/batch=*/day=*", lambda n: n[len("day=") :] < oldest)
         stored = spark.read.schema(f"{batch.schema.toDDL()}, batch int, day date").parquet(store).where(F.col("day") >= first)
-        rep = incident_report(stored.drop("batch", "day"), now, days=days, **kw)
+        pairs = WindowPairs(spark, f"{store}-pairs", epoch_id)
+        rep = incident_report(stored.drop("batch", "day"), now, days=days, pairs_of=pairs, **kw)
         rep.rows.write.mode("overwrite").parquet(f"{report}/batch={epoch_id}")
 
     q = (

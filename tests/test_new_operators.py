@@ -125,3 +125,38 @@ def test_the_store_reads_only_the_folders_it_needs(spark):
     assert sorted(r.seq for r in active.collect()) == [i for i in range(80) if cats[i % 4] in ("cve", "incidents")]
     gone = store.drop_days(spark, f"{base}/items", (NOW - dt.timedelta(days=5)).date())
     assert gone and min(r.published for r in store.read_items(spark, f"{base}/items").collect()).date() >= (NOW - dt.timedelta(days=5)).date()
+
+
+def test_kept_pairs_equal_those_of_the_whole_window(spark):
+    from feedlens.operators.similarity import similar_title_pairs
+    from feedlens.streaming.ingest import WindowPairs
+
+    rng = random.Random(8)
+    base = ["printer firmware hides a botnet", "court fines a data broker", "mail gateway breaks logins"]
+    pool = sorted({rng.choice(base)[: rng.randint(15, 40)] + rng.choice(["", "s", " now", "!!"]) for _ in range(120)})
+    path = tempfile.mkdtemp(prefix="pairs-")
+    last = set()
+    for epoch in range(4):
+        window = {t for t in pool if rng.random() < 0.6} if epoch != 2 else set(pool)
+        titles = spark.createDataFrame([(pool.index(t), t) for t in sorted(window)], "tid bigint, nt string")
+        keeper = WindowPairs(spark, path, epoch)
+        got = {(r.a, r.b) for r in keeper(titles, 85).collect()}
+        assert got == {(r.a, r.b) for r in similar_title_pairs(titles, 85).collect()}
+        assert keeper.compared == len(window - last)
+        last = window
+
+
+def test_old_days_leave_the_stream_store(spark):
+    from feedlens.streaming.ingest import latest_report, stream_report_refresh
+
+    base = tempfile.mkdtemp(prefix="refresh-")
+    heads = ["Ransomware gang halts a ferry line", "Data breach at a toy shop", "Phishing wave hits a payroll firm"]
+    for k, age in enumerate([24 * 40, 24 * 5, 24]):
+        items = make_items(spark, [{"seq": 10 * k + i, "title": f"{heads[k]} {w}", "url": f"https://x.example/{k}/{i}", "age": age, "cvss": 9.9, "category": "incidents", "tier": 1} for i, w in enumerate(["north", "south"])])
+        items.write.mode("append").partitionBy("source_category").parquet(f"{base}/landing")
+        schema = spark.read.parquet(f"{base}/landing").schema
+        stream_report_refresh(spark, f"{base}/landing", schema, f"{base}/store", f"{base}/report", f"{base}/state", NOW, 14, min_score=0)
+    days = {r.day for r in spark.read.parquet(f"{base}/store").select("day").distinct().collect()}
+    assert days == {(NOW - dt.timedelta(hours=h)).date() for h in (24 * 5, 24)}
+    # titles that differ by a word are one story each
+    assert {r.title.rpartition(" ")[0] for r in latest_report(spark, f"{base}/report").collect()} == set(heads[1:])
