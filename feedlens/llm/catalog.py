@@ -165,5 +165,86 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM newest
 """
 
-#: Models, tokenizers, signatures and shard keys have no SQL form; their tests use brute force.
-ORACLES: dict[str, str] = {"op1_mtree_topk": _TOP_K_SQL, "op8_warc": _WARC_SQL}
+_PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, p FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents)
+),
+words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS n, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words WHERE len(w) > 1
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM words WHERE len(w) > 2
+),
+f AS (SELECT lang, n, phrase, count(*) AS c FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE n = 1 GROUP BY lang),
+cand AS (SELECT lang, n, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE n > 1 AND c >= 10),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:n], ' ') AS rp
+  FROM cand, (VALUES (1), (2)) ks(k) WHERE k < n
+),
+scored AS (
+  SELECT x.lang, x.phrase, x.a, k, fl.c AS l, fr.c AS r, (1000000::HUGEINT * x.a * x.a) // (fl.c::HUGEINT * fr.c) AS score
+  FROM cuts x JOIN f fl ON fl.lang = x.lang AND fl.phrase = x.lp JOIN f fr ON fr.lang = x.lang AND fr.phrase = x.rp
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, sub, max(a) AS most FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS sub FROM cand WHERE n = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total.n, score::BIGINT AS score
+FROM best b JOIN total ON total.lang = b.lang LEFT JOIN longer g ON g.lang = b.lang AND g.sub = b.phrase
+WHERE g.most IS NULL OR 100 * g.most < 50 * a
+QUALIFY rank <= 2000
+"""
+
+
+def _tree_sql(first: str, levels: int, name: str) -> str:
+    """CTEs ``<name>0 ..`` of a tree's levels over ``first`` (g, i, h) and ``<name>f0 ..`` of each node's siblings."""
+    ctes = [f"{name}0 AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS m FROM {first})"]
+    for k in range(levels):
+        run = "PARTITION BY g, i // 3 ORDER BY i ROWS BETWEEN"
+        ctes.append(
+            f"{name}f{k} AS (SELECT g, i, m > 1 AS up, "
+            f"CASE WHEN m > 1 THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS lf, "
+            f"CASE WHEN m > 1 THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS rf FROM {name}{k})"
+        )
+        up = f"SELECT g, i // 3 AS i, CASE WHEN any_value(m) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY g, i // 3"
+        ctes.append(f"{name}{k + 1} AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS m FROM ({up}))")
+    return ",\n".join(ctes)
+
+
+def _merkle_sql(low: int = 13, high: int = 6) -> str:
+    """The manifest as SQL, for up to 3^low documents of a source and 3^high sources."""
+
+    def leaf(text: str) -> str:
+        fields = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return "sha256(" + " || ".join(fields) + ")"
+
+    bits = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    # all bits of a CRC-32 but the last complement: its lowest bit is set where the CRC is even
+    crc = f"list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda acc, e: xor(xor(acc, e) >> 1, 3988292384 * (xor(acc, e) & 1)))"
+    path = [f"f{k}" for k in range(low)] + [f"t{k}" for k in range(high)]
+    joins = [f"JOIN sf{k} f{k} ON f{k}.g = d.g AND f{k}.i = d.i // {3**k}" for k in range(low)]
+    joins += [f"JOIN tf{k} t{k} ON t{k}.i = d.j // {3**k}" for k in range(high)]
+    folds = "SELECT *, other AS r0 FROM walked"
+    for k in range(low + high):
+        folds = f"SELECT *, CASE WHEN up{k} THEN sha256(lf{k} || r{k} || rf{k}) ELSE r{k} END AS r{k + 1} FROM ({folds})"
+    cols = ", ".join(f"{p}.up AS up{k}, {p}.lf AS lf{k}, {p}.rf AS rf{k}" for k, p in enumerate(path))
+    proof = " || ".join(f"lf{k} || rf{k}" for k in range(low + high))
+    return f"""
+WITH leaves AS (
+  SELECT coalesce('=' || source, '') AS g, doc_id, {leaf("text")} AS h,
+         CASE WHEN doc_id IS NOT NULL AND {crc} & 1 = 1 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS other
+  FROM documents
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM leaves),
+{_tree_sql("ranked", low, "s")},
+tops AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, g AS source FROM s{low}),
+{_tree_sql("tops", high, "t")},
+d AS (SELECT r.*, tops.i AS j, tops.h AS subroot, (SELECT h FROM t{high}) AS root FROM ranked r JOIN tops ON tops.source = r.g),
+walked AS (SELECT d.*, {cols} FROM d {" ".join(joins)})
+SELECT doc_id, h AS leaf, subroot, root, sha256({proof}) AS proof_sha256, r{low + high} AS folded_root, r{low + high} = root AS verified FROM ({folds})
+"""
+
+
+#: Models, tokenizers, signatures, shard keys and randomness tests have no SQL form; their tests use brute force.
+ORACLES: dict[str, str] = {"op1_mtree_topk": _TOP_K_SQL, "op8_warc": _WARC_SQL, "op12_phrases": _PHRASES_SQL, "op13_merkle_manifest": _merkle_sql()}
