@@ -77,11 +77,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: First parts of the names of all folders that this package makes in the shared folder.
+FOLDERS = ("cut-", "llm-", "landing-", "report-", "store-", "stream-")
+
+
 def drop_cuts(spark: SparkSession) -> None:
-    """Delete every cut point of this session; call when its results have been written."""
+    """Delete every cut point and landed or staged table of this session; call when its results have been written."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for kind in ("cut-", "llm-"):
+    for kind in FOLDERS:
         for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, f"{kind}*")) or []:
             fs.delete(found.getPath(), True)
