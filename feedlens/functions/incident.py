@@ -83,11 +83,11 @@ def victim(text: Column) -> Column:
     expr = F.when(text.rlike(known_pat), F.regexp_extract(text, known_pat, 1))
     reject = "^(?:" + "|".join(re.escape(p) for p in C.VICTIM_REJECT_PREFIXES) + ")"
     trail = "[" + re.escape(C.VICTIM_TRAILING_CHARS) + "]+$"
-    for pat, guard in zip(C.VICTIM_RULES, C.VICTIM_GUARDS):
+    for pat, needed in zip(C.VICTIM_RULES, C.VICTIM_GUARDS):
         rx = _rx(pat)
         cand = F.regexp_replace(py_strip(F.regexp_extract(text, rx, 1)), trail, "")
         ok = (
-            (text.rlike(_rx(guard)) if guard else F.lit(True))
+            (text.rlike(_rx(needed)) if needed else F.lit(True))
             & text.rlike(rx)
             & (F.length(cand) >= C.VICTIM_MIN_LEN)
             & (F.length(cand) <= C.VICTIM_MAX_LEN)
