@@ -52,8 +52,6 @@ GRAM_DDL = "bucket int, fp array<bigint>, row array<bigint>, cnt array<bigint>,
 #: Bytes of text whose entries one bucket takes, and buckets at most.
 BUCKET_BYTES = 8 << 20
 MAX_BUCKETS = 1 << 16
-#: Frequent fingerprints with their pointers are broadcast below this many bytes (counted), else joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
 #: Fingerprints of unlike phrases that one scan looks for.
 SHARED_AT_ONCE = 1 << 20
 
@@ -249,17 +247,31 @@ def phrase_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, PHRASE.values())], names=list(PHRASE))
 
 
-def followed(docs: DataFrame, pointers: DataFrame, size: int) -> DataFrame:
+def pointed_at(docs: DataFrame, pointers: DataFrame, bits: int) -> DataFrame:
+    """The documents that some pointer names (and a few more): a bitmap keeps the texts of others out of the shuffle.
+
+    A pointer is the smallest row that holds the phrase, so pointers gather in few documents.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(bitmap_of(pointers.select(F.xxhash64("row").alias("fp")), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = in_bitmap(known.value, b.column(3).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(hit)) for k in range(3)], names=["row", "lang", "text"])
+
+    return docs.select("row", "lang", "text", F.xxhash64("row").alias("h")).mapInArrow(run, "row bigint, lang string, text string")
+
+
+def followed(docs: DataFrame, pointers: DataFrame, size: int, bits: int) -> DataFrame:
     """(fp, lang, n, phrase, cnt): every pointer followed into its document's text.
 
     The document is hashed again to find the fingerprint, so a pointer is a row number, and a list of
     pointers has at most ``max_words`` entries for each word of its document.
     """
-    per_row = pointers.groupBy("row").agg(F.collect_list(F.struct("fp", "check", "cnt", "n")).alias("found"))
-    small = pointers.count() * 40 <= BROADCAST_BYTES
-    joined = docs.join(F.broadcast(per_row) if small else per_row, "row").select("lang", "text", "found")
     ship_by_value()
     small_batches(docs.sparkSession)
+    per_row = pointers.groupBy("row").agg(F.collect_list(F.struct("fp", "check", "cnt", "n")).alias("found"))
+    joined = pointed_at(docs, pointers, bits).join(per_row, "row").select("lang", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def texts():
@@ -339,7 +351,7 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, least: int = 10, bits: in
     pointers = found[0]
     for k in found[1:]:
         pointers = pointers.unionByName(k)
-    out = followed(rows, pointers, size)
+    out = followed(rows, pointers, size, bits)
     for more in again:
         out = out.unionByName(more)
     return staged(out, "phrases")
