@@ -106,7 +106,7 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {"pipeline", *catalog.QUERIES} <= names and len(catalog.QUERIES) == 10
+    assert {"pipeline", *catalog.QUERIES} <= names and len(catalog.QUERIES) == 13
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
 
 
