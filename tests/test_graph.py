@@ -63,6 +63,20 @@ def test_leaders_equal_the_sequential_scan(spark, local):
     assert all(r.is_leader == (r.leader == r.id) for r in got)
 
 
+@pytest.mark.parametrize("rounds", [1, 8])
+def test_dense_graphs_lose_their_decided_nodes_in_rounds(spark, monkeypatch, rounds):
+    rng = random.Random(rounds)
+    ids = list(range(300))
+    edges = [(a, b) for a in ids for b in ids if a < b and (a % 7 == b % 7 or rng.random() < 0.02)]
+    if rounds == 8:  # the edges left after some rounds fit one task: no component is looked for
+        monkeypatch.setattr(graph, "star_components", None)
+    monkeypatch.setattr(graph.leaders_by_rounds, "__defaults__", (graph.LOCAL_EDGES, rounds))
+    rank = {x: rng.randrange(300) for x in ids}
+    nodes = spark.createDataFrame([(x, rank[x]) for x in ids], "id bigint, r int")
+    got = graph.greedy_leaders(nodes, frame(spark, edges + edges[:50]), ["r"], local_edges=1500 if rounds == 8 else 5).collect()
+    assert {r.id: r.leader for r in got} == sequential_leaders(sorted(ids, key=lambda x: (rank[x], x)), edges)
+
+
 def test_a_long_path_is_scanned_in_a_fixed_number_of_jobs(spark):
     n = 20_000
     rng = random.Random(1)
