@@ -28,6 +28,12 @@ def with_keywords(items: DataFrame) -> DataFrame:
     return items.withColumn("keywords", kw)
 
 
+#: Classes that hold one pair of keywords and meet in one group, and members of a class that are paired as one row.
+BLOCK, MEMBERS = 1000, 500
+#: Pairs of rows that a task of the join compares on average, and its tasks at most.
+TASK_PAIRS, MAX_PARTITIONS = 4_000_000, 20_000
+
+
 def keyword_pairs(items: DataFrame, item_col: str = "item") -> DataFrame:
     """(item, k1, k2) for every pair k1 < k2 of an item's distinct keywords."""
     kws = F.array_sort(F.array_distinct(F.col("keywords")))
@@ -59,11 +65,12 @@ def keyword_classes(items: DataFrame, item_col: str = "item") -> tuple[DataFrame
     return classes.select("cls", "keywords", "n_items"), members
 
 
-def shared_keyword_classes(items: DataFrame, item_col: str = "item", min_shared: int = C.CLUSTER_MIN_SHARED) -> tuple[DataFrame, DataFrame]:
+def shared_keyword_classes(items: DataFrame, item_col: str = "item", min_shared: int = C.CLUSTER_MIN_SHARED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """J2 between classes: (cls_a, cls_b, n_shared, n_links) with cls_a <= cls_b, and (item, cls).
 
     ``n_links`` is the number of item pairs that a row stands for. Classes meet on a *pair* of keywords, so a
     keyword that all items hold joins nothing by itself; two classes are given once, by the first pair that they share.
+    The classes of a popular pair are dealt to blocks of about ``block``, and every two blocks meet in a group of their own.
     """
     classes, members = keyword_classes(items, item_col)
     same = classes.where(F.size("keywords") >= min_shared).where(F.col("n_items") > 1).select(
@@ -77,20 +84,50 @@ def shared_keyword_classes(items: DataFrame, item_col: str = "item", min_shared:
         kws = F.col("keywords")
         pairs = F.flatten(F.transform(kws, lambda k, i: F.transform(F.slice(kws, i + 2, 1 << 30), lambda k2: F.struct(k.alias("k1"), k2.alias("k2")))))
         keyed = ready.select("cls", "n_items", "keywords", F.explode(pairs).alias("p")).select("cls", "n_items", "keywords", "p.*")
-    a = keyed.select("k1", "k2", F.col("cls").alias("cls_a"), F.col("n_items").alias("n_a"), F.col("keywords").alias("w_a"))
-    b = keyed.select("k1", "k2", F.col("cls").alias("cls_b"), F.col("n_items").alias("n_b"), F.col("keywords").alias("w_b"))
+    left, right, parts = blocks_that_meet(keyed, block)
+    a = left.select("k1", "k2", "i", "j", F.col("cls").alias("x"), F.col("n_items").alias("n_a"), F.col("keywords").alias("w_a")).repartition(parts, "k1", "k2", "i", "j")
+    b = right.select("k1", "k2", "i", "j", F.col("cls").alias("y"), F.col("n_items").alias("n_b"), F.col("keywords").alias("w_b")).repartition(parts, "k1", "k2", "i", "j")
     both = F.array_intersect("w_a", "w_b")  # in the order of the first, which is sorted
     first = (F.get(both, F.lit(0)) == F.col("k1")) & ((F.lit(min_shared) == 1) | (F.get(both, F.lit(1)) == F.col("k2")))
-    met = a.join(b, ["k1", "k2"]).where((F.col("cls_a") < F.col("cls_b")) & first & (F.size(both) >= min_shared))
-    unlike = met.select("cls_a", "cls_b", F.size(both).alias("n_shared"), (F.col("n_a") * F.col("n_b")).alias("n_links"))
+    once = F.when(F.col("i") == F.col("j"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
+    met = a.hint("shuffle_hash").join(b.hint("shuffle_hash"), ["k1", "k2", "i", "j"]).where(once & first & (F.size(both) >= min_shared))
+    unlike = met.select(F.least("x", "y").alias("cls_a"), F.greatest("x", "y").alias("cls_b"), F.size(both).alias("n_shared"), (F.col("n_a") * F.col("n_b")).alias("n_links"))
     return same.unionByName(unlike), members
 
 
-def expand_classes(links: DataFrame, members: DataFrame) -> DataFrame:
-    """J2's item pairs (a < b, n_shared), for those who need every single one."""
-    ma = members.select(F.col("cls").alias("cls_a"), F.col("item").alias("x"))
-    mb = members.select(F.col("cls").alias("cls_b"), F.col("item").alias("y"))
-    pairs = links.join(ma, "cls_a").join(mb, "cls_b").where((F.col("cls_a") != F.col("cls_b")) | (F.col("x") < F.col("y")))
+def blocks_that_meet(keyed: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, int]:
+    """The rows of each (k1, k2) as both sides of a self-join on (k1, k2, i, j), with i <= j, and a number of partitions.
+
+    A key of more than ``block`` rows has several blocks, dealt by the hash of cls; a row goes to its own block's
+    meetings only, so no group holds much more than ``block`` rows of a side.
+    """
+    counts = cut_lineage(keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
+    work = counts.agg(F.sum(F.col("_n") * F.col("_n").cast("double"))).first()[0] or 0.0
+    par = keyed.sparkSession.sparkContext.defaultParallelism
+    parts = int(max(2 * par, min(work / TASK_PAIRS, MAX_PARTITIONS)))
+    of_key = counts.select("k1", "k2", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_s"))
+    placed = cut_lineage(skew_safe_join(keyed, of_key, ["k1", "k2"]).withColumn("_c", F.pmod(F.xxhash64("cls"), F.col("_s")).cast("int")))
+    left = placed.select("*", F.col("_c").alias("i"), F.explode(F.sequence("_c", F.col("_s") - 1)).alias("j"))
+    right = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("_c"))).alias("i"), F.col("_c").alias("j"))
+    return left, right, parts
+
+
+def expand_classes(links: DataFrame, members: DataFrame, most: int = MEMBERS) -> DataFrame:
+    """J2's item pairs (a < b, n_shared), for those who need every single one.
+
+    A class of many members is cut into lists of about ``most``; a link becomes one row for every two lists.
+    """
+    sizes = cut_lineage(members.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("_s")))
+    dealt = skew_safe_join(members, sizes, ["cls"]).withColumn("_c", F.pmod(F.xxhash64("item"), F.col("_s")).cast("int"))
+    lists = cut_lineage(dealt.groupBy("cls", "_c").agg(F.collect_list(F.struct("item")).alias("list")))
+    every = cut_lineage(links)
+    for cls, c in (("cls_a", "_ca"), ("cls_b", "_cb")):
+        cut = skew_safe_join(every, sizes.select(F.col("cls").alias(cls), "_s"), [cls])
+        every = cut_lineage(cut.withColumn(c, F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s"))
+    for cls, c, side in (("cls_a", "_ca", "_x"), ("cls_b", "_cb", "_y")):
+        every = cut_lineage(skew_safe_join(every, lists.select(F.col("cls").alias(cls), F.col("_c").alias(c), F.col("list").alias(side)), [cls, c]))
+    pairs = every.select("cls_a", "cls_b", "n_shared", "_y", F.explode("_x").alias("_x")).select("cls_a", "cls_b", "n_shared", F.col("_x.item").alias("x"), F.explode("_y").alias("_y"))
+    pairs = pairs.withColumn("y", F.col("_y.item")).where((F.col("cls_a") != F.col("cls_b")) | (F.col("x") < F.col("y")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n_shared")
 
 

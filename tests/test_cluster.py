@@ -82,3 +82,28 @@ def test_components_match_union_find(spark):
         assert got == _uf_components(kw)
         pairs = {(r.a, r.b) for r in shared_keyword_pairs(df).collect()}
         assert pairs == {(i, j) for i in range(30) for j in range(i + 1, 30) if len(kw[i] & kw[j]) >= 2}
+
+
+def test_classes_of_a_popular_keyword_pair_meet_in_blocks(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from feedlens.operators.topics import blocks_that_meet, expand_classes, shared_keyword_classes
+
+    rng = random.Random(4)
+    sets = {i: sorted({"hot", "pair"} | {f"k{rng.randrange(12)}" for _ in range(rng.randrange(5))}) for i in range(120)}
+    sets |= {i: sorted({f"k{rng.randrange(12)}" for _ in range(4)}) for i in range(120, 170)}
+    items = spark.createDataFrame([(i, ks) for i, ks in sets.items()], "item bigint, keywords array<string>")
+    want = {(a, b, len(set(sets[a]) & set(sets[b]))) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= 2}
+    for block, most in ((4, 3), (1000, 500)):
+        links, members = shared_keyword_classes(items, block=block)
+        pairs = expand_classes(links, members, most).collect()
+        assert len(pairs) == len(want) and {tuple(r) for r in pairs} == want
+        assert links.agg(F.sum("n_links")).first()[0] == len(want)
+    keyed = spark.range(5000).select(F.lit("a").alias("k1"), F.lit("b").alias("k2"), F.col("id").alias("cls"))
+    left, right, _ = blocks_that_meet(keyed, 100)
+    for side in (left, right):
+        assert side.groupBy("k1", "k2", "i", "j").count().agg(F.max("count")).first()[0] < 200
+    met = left.join(right.withColumnRenamed("cls", "other"), ["k1", "k2", "i", "j"])
+    assert met.where("i < j or cls < other").count() == 5000 * 4999 // 2
