@@ -115,3 +115,18 @@ def test_registry(spark):
     ], S.REGISTRY_SCHEMA)
     got = sorted((r.name, r.parser, r.tier) for r in S.active_registry(reg).collect())
     assert got == [("A", "nvd", 1), ("B", "kev", 3)]
+
+
+def test_description_of_any_text_collapses_it_whole(spark):
+    from feedlens.functions import text as T
+    from feedlens.sources import tables as TB
+
+    gaps = ["a" + " " * n + "b " * 600 for n in (1, 600, 624, 625, 626, 1999, 2001, 5000)]
+    texts = [*gaps, "x" * 500, "x " * 250, "x　 " * 700, "w" * 10_000, " " * 3000, "short", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = TB.with_lead(rows, "text", "description").withColumn("whole", T.collapse_truncate("text"))
+    assert got.columns == ["id", "text", "description", "whole"]
+    assert got.where(~F.col("description").eqNullSafe(F.col("whole"))).count() == 0
+    # the prefix is collapsed once, and longer ones stand in a branch of their own
+    plan = TB.with_lead(rows, "text", "description")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 4
