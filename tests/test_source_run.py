@@ -156,3 +156,18 @@ def test_run_over_all_kinds_of_source(spark):
         ("Hn", "Ransomware attack"), ("Json", "Breach at one bank"), ("Kev", "[CISA KEV] CVE-2024-1 — v p: n"), ("Nvd", "CVE-2024-7: Overflow"),
         ("Osv", "GHSA-1: Flaw"), ("Rss", "Atom story"), ("Rss", "Rss story"),
     ]
+
+
+def test_records_of_a_run_start_from_given_items(spark, monkeypatch):
+    from conftest import make_items
+    from feedlens.plans import catalog as K
+
+    def derived(*_):
+        raise AssertionError("the items are derived again")
+
+    monkeypatch.setattr(K, "_items", derived)
+    items = make_items(spark, [{"title": f"Story {i}", "source_name": f"src{i}", "points": i} for i in range(20)])
+    for made in (K._kev_rows, K._nvd_records, K._osv_records, K._feed_docs, K._archive_members):
+        assert made(spark, None, items).count() > 0
+    ranked, stories = K._story_rows(spark, None, items)
+    assert ranked.count() == stories.count() == 20
