@@ -160,3 +160,17 @@ def test_old_days_leave_the_stream_store(spark):
     assert days == {(NOW - dt.timedelta(hours=h)).date() for h in (24 * 5, 24)}
     # titles that differ by a word are one story each
     assert {r.title.rpartition(" ")[0] for r in latest_report(spark, f"{base}/report").collect()} == set(heads[1:])
+
+
+def test_streamed_items_are_derived_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def name_of(x):
+        made.add(1)
+        return x
+
+    rows = [{"title": f"Story {i}", "source_name": f"s{i}"} for i in range(30)]
+    items = make_items(spark, rows).withColumn("source_name", F.udf(name_of)("source_name"))
+    monkeypatch.setattr(winners, "run_winners", lambda spark, landing, schema, log, *_: spark.read.parquet(landing).write.mode("overwrite").parquet(log))
+    assert winners.stream_in_parts(items, tempfile.mkdtemp(prefix="win-"), parts=3).count() == 30
+    assert made.value == 30
