@@ -31,6 +31,20 @@ def test_dictionary_hits_are_those_of_contains(spark, slice_bytes):
     assert long == want
 
 
+def test_a_row_has_its_terms_together_however_many_slices_there_are(spark, monkeypatch):
+    from feedlens.operators import dictionary
+
+    monkeypatch.setattr(dictionary, "HELD_BYTES", 200, raising=False)
+    rng = random.Random(5)
+    terms = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(2, 4))) for _ in range(80)})
+    texts = ["".join(rng.choice("abcd ") for _ in range(30)) for _ in range(120)] + [None, "", "zzz"]
+    rows = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts * 2)], "id bigint, text string").repartition(3)
+    listed = spark.createDataFrame([(t,) for t in terms], "term string")
+    want = sorted((i // 2, [t for t in terms if t in x]) for i, x in enumerate(texts * 2) if x and any(t in x for t in terms))
+    for slice_bytes in (1 << 20, 60):
+        assert sorted((r.id, r.terms) for r in dictionary_hits(rows, listed, "text", slice_bytes=slice_bytes).collect()) == want
+
+
 def test_no_terms_and_no_rows(spark):
     rows = spark.createDataFrame([(1, "a text")], "id bigint, text string")
     none = spark.createDataFrame([], "term string")
