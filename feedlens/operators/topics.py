@@ -10,6 +10,8 @@ input, with the same components.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,21 @@ def with_keywords(items: DataFrame) -> DataFrame:
 BLOCK, MEMBERS = 1000, 500
 #: Pairs of rows that a task of the join compares on average, and its tasks at most.
 TASK_PAIRS, MAX_PARTITIONS = 4_000_000, 20_000
+#: Classes of a pair of keywords up to which a join costs less than a group of its own.
+FEW = 64
+#: Words whose rows are held as a matrix at a time.
+WORDS = 1024
+
+
+def _ship_by_value() -> None:
+    """Pickle this module's task code by value, so executors need no installed copy of the package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    mod = sys.modules[__name__]
+    if mod.__name__ not in getattr(cloudpickle.cloudpickle, "_PICKLE_BY_VALUE_MODULES", set()):
+        cloudpickle.register_pickle_by_value(mod)
 
 
 def keyword_pairs(items: DataFrame, item_col: str = "item") -> DataFrame:
@@ -70,7 +87,8 @@ def shared_keyword_classes(items: DataFrame, item_col: str = "item", min_shared:
 
     ``n_links`` is the number of item pairs that a row stands for. Classes meet on a *pair* of keywords, so a
     keyword that all items hold joins nothing by itself; two classes are given once, by the first pair that they share.
-    The classes of a popular pair are dealt to blocks of about ``block``, and every two blocks meet in a group of their own.
+    The classes of a popular pair are dealt to blocks of about ``block``, and every two blocks meet in a group of their own,
+    where matrices of rows and words count the words of all their pairs at once. Pairs with few classes are joined.
     """
     classes, members = keyword_classes(items, item_col)
     same = classes.where(F.size("keywords") >= min_shared).where(F.col("n_items") > 1).select(
@@ -85,14 +103,83 @@ def shared_keyword_classes(items: DataFrame, item_col: str = "item", min_shared:
         pairs = F.flatten(F.transform(kws, lambda k, i: F.transform(F.slice(kws, i + 2, 1 << 30), lambda k2: F.struct(k.alias("k1"), k2.alias("k2")))))
         keyed = ready.select("cls", "n_items", "keywords", F.explode(pairs).alias("p")).select("cls", "n_items", "keywords", "p.*")
     left, right, parts = blocks_that_meet(keyed, block)
-    a = left.select("k1", "k2", "i", "j", F.col("cls").alias("x"), F.col("n_items").alias("n_a"), F.col("keywords").alias("w_a")).repartition(parts, "k1", "k2", "i", "j")
-    b = right.select("k1", "k2", "i", "j", F.col("cls").alias("y"), F.col("n_items").alias("n_b"), F.col("keywords").alias("w_b")).repartition(parts, "k1", "k2", "i", "j")
+    few = F.col("_n") <= F.lit(FEW)
+    a = left.where(few).select("k1", "k2", "i", "j", F.col("cls").alias("x"), F.col("n_items").alias("n_a"), F.col("keywords").alias("w_a")).repartition(parts, "k1", "k2", "i", "j")
+    b = right.where(few).select("k1", "k2", "i", "j", F.col("cls").alias("y"), F.col("n_items").alias("n_b"), F.col("keywords").alias("w_b")).repartition(parts, "k1", "k2", "i", "j")
     both = F.array_intersect("w_a", "w_b")  # in the order of the first, which is sorted
     first = (F.get(both, F.lit(0)) == F.col("k1")) & ((F.lit(min_shared) == 1) | (F.get(both, F.lit(1)) == F.col("k2")))
     once = F.when(F.col("i") == F.col("j"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
     met = a.hint("shuffle_hash").join(b.hint("shuffle_hash"), ["k1", "k2", "i", "j"]).where(once & first & (F.size(both) >= min_shared))
     unlike = met.select(F.least("x", "y").alias("cls_a"), F.greatest("x", "y").alias("cls_b"), F.size(both).alias("n_shared"), (F.col("n_a") * F.col("n_b")).alias("n_links"))
-    return same.unionByName(unlike), members
+    # a block that meets itself is there once (role 2), else both blocks are (0 and 1)
+    role = F.when(F.col("i") == F.col("j"), 2).otherwise(0).alias("role")
+    columns = ["k1", "k2", "i", "j", "cls", "n_items", "keywords"]
+    sent = left.where(~few).select(*columns, role).unionByName(right.where(~few & (F.col("i") < F.col("j"))).select(*columns, F.lit(1).alias("role")))
+    sent = sent.where(F.col("cls").isNotNull()).repartition(parts, "k1", "k2", "i", "j")
+    kind = classes.schema["cls"].dataType.simpleString()
+    _ship_by_value()
+
+    def run(group: pa.Table) -> pa.Table:
+        role = group["role"].to_numpy()
+        word, last = group["k1" if min_shared == 1 else "k2"][0].as_py(), min(min_shared, 2)
+        rows = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+        row, code, before = words_of(group["keywords"].combine_chunks(), word)
+        x, y, n_shared = pairs_that_begin_here(row, code, before, *rows, last, min_shared)
+        x, y = rows[0][x], rows[1][y]
+        cls, n_items = group["cls"].combine_chunks(), group["n_items"].to_numpy()
+        place = np.unique(cls.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        # rows that meet themselves give each pair both ways
+        once = place[x] < place[y] if role[0] == 2 else place[x] != place[y]
+        x, y, n_shared = x[once], y[once], n_shared[once]
+        low, high = np.where(place[x] < place[y], x, y), np.where(place[x] < place[y], y, x)
+        return pa.table({"cls_a": cls.take(pa.array(low)), "cls_b": cls.take(pa.array(high)), "n_shared": pa.array(n_shared, pa.int32()), "n_links": pa.array(n_items[x] * n_items[y], pa.int64())})
+
+    of_many = sent.groupBy("k1", "k2", "i", "j").applyInArrow(run, f"cls_a {kind}, cls_b {kind}, n_shared int, n_links bigint")
+    return same.unionByName(unlike).unionByName(of_many), members
+
+
+def words_of(keywords: pa.ListArray, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number of the word, whether it stands before ``word``) for all words of sorted lists that all hold ``word``."""
+    size = keywords.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    encoded = keywords.flatten().dictionary_encode(null_encoding="encode")
+    code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    here = code == encoded.dictionary.index(word).as_py()
+    place = np.zeros(len(size), np.int64)
+    place[row[here]] = np.flatnonzero(here)
+    return row, code, np.arange(len(row)) < place[row]
+
+
+def pairs_that_begin_here(row, code, before, left: np.ndarray, right: np.ndarray, last: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``left``, place in ``right``, shared words) of the rows that share ``least`` words or more, where only ``last`` - 1 of them stand before the group's last word."""
+    n_words = int(code.max()) + 1
+    shared = np.zeros((2, len(left), len(right)), np.float32)  # whole numbers; before the group's last word, and from it on
+    sides = []
+    for rows in (left, right):
+        at = np.full(int(row.max()) + 1, -1, np.int64)
+        at[rows] = np.arange(len(rows))
+        mine = at[row] >= 0
+        sides.append((at[row[mine]], code[mine], before[mine], len(rows)))
+    of_side = [np.bincount(c, minlength=n_words) for _, c, _, _ in sides]
+    # a word of all rows is a number for all pairs, and one of a single row, or of one side, none
+    full = (of_side[0] == len(left)) & (of_side[1] == len(right))
+    single = (of_side[0] < 2) & (len(left) == len(right)) & np.array_equal(left, right)
+    for part, wanted in enumerate((True, False)):
+        held = [(r[b == wanted], c[b == wanted]) for r, c, b, _ in sides]
+        counts = [np.bincount(c, minlength=n_words) for _, c in held]
+        shared[part] += int(((counts[0] == len(left)) & (counts[1] == len(right)) & full).sum())
+        some = np.flatnonzero((counts[0] > 0) & (counts[1] > 0) & ~full & ~single)
+        for f in range(0, len(some), WORDS):
+            number = np.full(n_words, -1, np.int64)
+            number[some[f : f + WORDS]] = np.arange(len(some[f : f + WORDS]))
+            x, y = (np.zeros((n, len(some[f : f + WORDS])), np.float32) for n in (len(left), len(right)))
+            for m, (r, c) in zip((x, y), held):
+                in_part = number[c] >= 0
+                m[r[in_part], number[c[in_part]]] = 1
+            shared[part] += x @ y.T
+    total = shared[0] + shared[1]
+    x, y = np.nonzero((shared[0] == last - 1) & (total >= least))
+    return x, y, total[x, y].astype(np.int32)
 
 
 def blocks_that_meet(keyed: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, int]:
@@ -105,7 +192,7 @@ def blocks_that_meet(keyed: DataFrame, block: int = BLOCK) -> tuple[DataFrame, D
     work = counts.agg(F.sum(F.col("_n") * F.col("_n").cast("double"))).first()[0] or 0.0
     par = keyed.sparkSession.sparkContext.defaultParallelism
     parts = int(max(2 * par, min(work / TASK_PAIRS, MAX_PARTITIONS)))
-    of_key = counts.select("k1", "k2", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_s"))
+    of_key = counts.select("k1", "k2", "_n", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_s"))
     placed = cut_lineage(skew_safe_join(keyed, of_key, ["k1", "k2"]).withColumn("_c", F.pmod(F.xxhash64("cls"), F.col("_s")).cast("int")))
     left = placed.select("*", F.col("_c").alias("i"), F.explode(F.sequence("_c", F.col("_s") - 1)).alias("j"))
     right = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("_c"))).alias("i"), F.col("_c").alias("j"))

@@ -107,3 +107,27 @@ def test_classes_of_a_popular_keyword_pair_meet_in_blocks(spark):
         assert side.groupBy("k1", "k2", "i", "j").count().agg(F.max("count")).first()[0] < 200
     met = left.join(right.withColumnRenamed("cls", "other"), ["k1", "k2", "i", "j"])
     assert met.where("i < j or cls < other").count() == 5000 * 4999 // 2
+
+
+def test_every_pair_of_classes_is_given_once_however_its_keywords_meet(spark, monkeypatch):
+    """Keywords in groups counted by matrices and in the join give the same links; a popular pair isn't joined row by row."""
+    import random
+
+    from feedlens.operators import topics
+
+    rng = random.Random(9)
+    sets = {i: sorted({"a0", "hot", "pair"}.union(f"{rng.choice('aqz')}{rng.randrange(9)}" for _ in range(rng.randrange(6)))) for i in range(90)}
+    sets |= {i: sorted({f"{rng.choice('aqz')}{rng.randrange(9)}" for _ in range(4)}) + [None] * (i % 2) for i in range(90, 140)}
+    items = spark.createDataFrame([(i, ks) for i, ks in sets.items()], "item bigint, keywords array<string>")
+    # a null keyword is a word like others, but leads no pair to one another
+    first = {i: min(j for j in sets if set(sets[j]) == set(sets[i])) for i in sets}
+    share = {(a, b): set(sets[a]) & set(sets[b]) for a in first.values() for b in first.values() if a < b}
+    want = sorted((a, b, len(s)) for (a, b), s in share.items() if len(s - {None}) >= 2)
+    for few, words in ((8, 5), (10**6, 1024)):
+        monkeypatch.setattr(topics, "FEW", few, raising=False)
+        monkeypatch.setattr(topics, "WORDS", words, raising=False)
+        links = topics.shared_keyword_classes(items, block=40)[0]
+        assert sorted((r.cls_a, r.cls_b, r.n_shared) for r in links.where("cls_a < cls_b").collect()) == want
+        if few == 8:
+            plan = links._jdf.queryExecution().executedPlan().toString()
+            assert "FlatMapGroupsInArrow" in plan
