@@ -136,3 +136,40 @@ def test_exact_attribution_order(spark):
     assert names == ["s0", "s2", "s1", "s4"]
     w = exact_dedup(df).collect()[0]
     assert (w.seq, w.pos, w.n_copies) == (3, 0, 5)
+
+
+def test_blocks_of_titles_give_the_leaders_of_the_whole_scan(spark, monkeypatch):
+    """A title near a leader of an earlier block joins the first of them; its pairs with absorbed titles go nowhere."""
+    from feedlens.operators import dedup
+
+    rng = random.Random(21)
+    base = ["critical flaw in apache http server", "cisco ios auth bypass", "zero day in chrome for all users of windows", "a b"]
+    texts = set()
+    while len(texts) < 150:
+        t = rng.choice(base)
+        for _ in range(rng.randint(0, 9)):
+            p = rng.randint(0, len(t))
+            t = t[:p] + rng.choice("abcdefxyz1") + t[p + 1 :] if rng.random() < 0.5 else t[:p] + t[p + 1 :]
+        texts.add(" ".join(t.split()))
+    stories = [_story(t, "one", str(i), tier=rng.randint(1, 3), age=rng.randint(0, 9)) for i, t in enumerate(sorted(texts))]
+    rng.shuffle(stories)
+    n_pairs, want, lead = 0, {}, []
+    similar = lambda t, u: (1.0 - (len(t + u) - 2 * _lcs_len(t, u)) / max(1, len(t + u))) * 100.0 >= 85
+    for i, s in sorted(enumerate(stories), key=lambda x: (x[1]["tier"], x[1]["age"], x[0])):
+        n_pairs += sum(similar(s["title"], t) for t in want)
+        near = [t for t in lead if similar(s["title"], t)]
+        want[s["title"]] = near[0] if near else s["title"]
+        lead += [] if near else [s["title"]]
+    edges, real = [], dedup.greedy_leaders
+
+    def counted(nodes, pairs, *args):
+        edges.append(pairs.count())
+        return real(nodes, pairs, *args)
+
+    monkeypatch.setattr(dedup, "greedy_leaders", counted)
+    monkeypatch.setattr(dedup, "FIRST_BLOCK", 60, raising=False)
+    got = dedup.fuzzy_groups(exact_dedup(make_items(spark, stories)), 85).collect()
+    name = {r.fp: r.nt for r in got}
+    assert {r.nt: name[r.leader_fp] for r in got} == want
+    assert all(r.is_leader == (r.fp == r.leader_fp) for r in got)
+    assert 0 < sum(edges) < n_pairs / 2
