@@ -131,3 +131,26 @@ def test_every_pair_of_classes_is_given_once_however_its_keywords_meet(spark, mo
         if few == 8:
             plan = links._jdf.queryExecution().executedPlan().toString()
             assert "FlatMapGroupsInArrow" in plan
+
+
+def test_links_of_single_items_are_pairs_without_a_join(spark, monkeypatch):
+    from feedlens.operators import topics
+
+    sets = {1: ["a", "b"], 2: ["a", "b", "c"], 3: ["a", "b", "d"], 4: ["a", "b", "d"], 5: ["x", "y"], 6: ["x", "y"]}
+    want = sorted((i, j, len(set(sets[i]) & set(sets[j]))) for i in sets for j in sets if i < j and len(set(sets[i]) & set(sets[j])) >= 2)
+    joined, real = [], topics.skew_safe_join
+
+    def counted(big, small, keys, *args):
+        if "cls_a" in big.columns:
+            joined.append(big.count())
+        return real(big, small, keys, *args)
+
+    monkeypatch.setattr(topics, "skew_safe_join", counted)
+    items = spark.createDataFrame(list(sets.items()), "item bigint, keywords array<string>")
+    got = topics.shared_keyword_pairs(items)
+    assert sorted(map(tuple, got.collect())) == want and got.columns == ["a", "b", "n_shared"]
+    assert max(joined) == 4  # links 1-2, 1-3 and 2-3, 3-3 and 5-5: all but that of 1 and 2
+    # an item that comes twice with unlike keywords names two classes
+    twice = spark.createDataFrame([(1, ["a", "b"]), (1, ["c", "d"]), (2, ["a", "b", "e"]), (3, ["c", "d", "f"])], "item bigint, keywords array<string>")
+    links, members = topics.shared_keyword_classes(twice)
+    assert sorted(map(tuple, topics.expand_classes(links, members).collect())) == [(1, 2, 2)] * 2 + [(1, 3, 2)] * 2
